@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, quality_rules, secrets, substring_dedup, url_filter
+from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, quality_knn, quality_rules, secrets, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,6 +42,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_knn.quality_knn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.read_audio(mpeg_audio.store_audio(table(spark, sf_dir, "documents")))
     return found.select(
@@ -63,7 +72,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secrets": op2_secrets,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_knn": op5_quality_knn,
     "op6_mpeg_audio": op6_mpeg_audio,
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
