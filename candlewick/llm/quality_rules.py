@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm import textops as X
 
@@ -74,25 +75,29 @@ def measure(part: X.Slice) -> dict[str, np.ndarray]:
     return out
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, the counts of ``measure``, ``base_failed``, ``kept``.
+def quality_rules(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per input row: the columns of carry, the counts of ``measure``, ``base_failed``, ``kept``.
 
     A text fails the base rule with fewer than 50 words, or when more than half of its words lie in three-word windows
     that occur twice or more. It is kept when it passes and no share of its word characters inside repeated n-grams (5,
     8 and 12 words) or repeated lines, first occurrences excluded, is over its limit. Null and empty texts have no words
-    and fail. Ids aren't looked at: null and repeated ids give a row each. Other columns don't matter. No shuffle.
+    and fail. Ids aren't looked at: null and repeated ids give a row each. Carried columns whose
+    names clash with these results are left out. No shuffle.
     """
     names = [*COUNTS, *(f"gram_{k}_chars" for k in LIMITS)]
+    carried = [c for c in carry if c not in {*names, "base_failed", "kept"}]
+    few = docs.select(*carried, F.col(text_col).alias("_measured")) if text_col not in carried else docs.select(*carried)
+    at = few.columns.index(text_col) if text_col in carried else len(carried)
+    fields = [*few.schema.fields[: len(carried)], *(T.StructField(k, T.LongType()) for k in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.slices(batch.column(1)):
+            for part in X.slices(batch.column(at)):
                 out = measure(part)
                 a, b = part.rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(out[k], pa.int64()) for k in names)], [id_col, *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(carried)]), *(pa.array(out[k], pa.int64()) for k in names)], [f.name for f in fields])
 
-    few = docs.select(id_col, text_col)
-    found = few.mapInArrow(run, f"{id_col} {few.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{k} bigint" for k in names))
+    found = few.mapInArrow(run, T.StructType(fields))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     repeats = F.col("line_chars") > LINE_LIMIT * F.col("word_chars")
     for k, most in LIMITS.items():
