@@ -103,59 +103,66 @@ def first_of_equal(tokens: np.ndarray) -> np.ndarray:
 
 
 def distinct_tokens(tokens: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct tokens in order, whether each is in two texts or more, and for each given token its place among them."""
+    """The distinct tokens in order, the first and last text of each, as rows, and for each given token its place among them."""
     order = np.argsort(tokens)
     ordered, of = tokens[order], texts[order]
     begins = first_of_equal(ordered)
     if not len(begins):
-        return ordered, np.zeros(0, bool), np.zeros(0, np.int64)
-    many = np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
+        return ordered, np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
     marks = np.zeros(len(ordered), np.int64)
     marks[begins] = 1
     place = np.empty(len(ordered), np.int64)
     place[order] = np.cumsum(marks) - 1
-    return ordered[begins], many, place
+    return ordered[begins], np.array([np.minimum.reduceat(of, begins), np.maximum.reduceat(of, begins)]), place
 
 
 #: Of the rows of a chunk: tokens and the texts they are in.
 TokensOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
-def shared_tokens(chunks: DataFrame, tokens_of: TokensOf, buckets: int) -> DataFrame:
-    """Columns chunk, bits: the packed bits, by bucket, of which distinct tokens of the chunk are in two texts or more.
+#: A number of texts of this or more is counted as this.
+MOST_COUNTED = 65_535
 
-    A bucket compares 32 bits of each token, so with the bucket's own bits a chance meeting of different tokens has a
-    probability of 2**-14 at any size; it can only add a bit, and callers compare whole hashes of what is left.
+
+def shared_tokens(chunks: DataFrame, tokens_of: TokensOf, buckets: int, counted: bool = False) -> DataFrame:
+    """Columns chunk, bits: for the distinct tokens of the chunk, by bucket, whether each is in two texts or more, packed.
+
+    If counted, 16-bit numbers of the texts instead; then tokens_of gives each token of a text once. A bucket compares
+    32 bits of each token, so with the bucket's own bits a chance meeting of different tokens has a probability of 2**-14
+    at any size; it can only add a bit or to a number, the same for all texts, and callers compare whole hashes later.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, many, _ = distinct_tokens(*tokens_of(rows_of(blob.as_py())))
+                tokens, (first, last), place = distinct_tokens(*tokens_of(rows_of(blob.as_py())))
+                own = np.minimum(np.bincount(place, minlength=len(tokens)), MOST_COUNTED).astype("<u2") if counted else first != last
                 bounds = bucket_bounds(tokens, buckets)
                 short = tokens.astype("<u4")
                 used = np.flatnonzero(np.diff(bounds)).tolist()
                 cut = [(bounds[b], bounds[b + 1]) for b in used]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), X.binaries([short[i:j].tobytes() for i, j in cut]), X.binaries([np.packbits(many[i:j]).tobytes() for i, j in cut])],
-                    ["bucket", "chunk", "tokens", "many"],
+                    [pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), X.binaries([short[i:j].tobytes() for i, j in cut]), X.binaries([(own[i:j] if counted else np.packbits(own[i:j])).tobytes() for i, j in cut])],
+                    ["bucket", "chunk", "tokens", "own"],
                 )
 
     def meet(rows: pa.Table) -> pa.Table:
         given = [np.frombuffer(x, "<u4") for x in rows.column("tokens").to_pylist()]
+        own = [unpacked(x, len(t), counted) for x, t in zip(rows.column("own").to_pylist(), given, strict=True)]
         order = np.argsort(every := np.concatenate(given))
-        ordered = every[order]
-        same = ordered[1:] == ordered[:-1]
-        hit = np.zeros(len(every), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        bits, at = [], 0
-        for x, many in zip(given, rows.column("many").to_pylist(), strict=True):
-            bits.append(np.packbits(hit[at : at + len(x)] | np.unpackbits(np.frombuffer(many, np.uint8), count=len(x)).astype(bool)).tobytes())
+        begins = first_of_equal(every[order])
+        lengths = np.diff(np.append(begins, len(every)))
+        weights = np.concatenate(own).astype(np.int64) if counted else np.concatenate(own).astype(np.int64) + 1
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(np.add.reduceat(weights[order], begins), lengths)
+        result, at, bits = np.minimum(total, MOST_COUNTED).astype("<u2") if counted else total > 1, 0, []
+        for x in given:
+            part = result[at : at + len(x)]
+            bits.append((part if counted else np.packbits(part)).tobytes())
             at += len(x)
         return pa.table([rows.column("chunk"), rows.column("bucket"), X.binaries(bits)], ["chunk", "bucket", "bits"])
 
-    sent = chunks.select("chunk", "blob").mapInArrow(send, "bucket int, chunk bigint, tokens binary, many binary")
+    sent = chunks.select("chunk", "blob").mapInArrow(send, "bucket int, chunk bigint, tokens binary, own binary")
     return by_chunk(sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket int, bits binary"))
 
 
@@ -164,12 +171,16 @@ def by_chunk(bits: DataFrame) -> DataFrame:
     return bits.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("bits"))
 
 
-def unpack(bits: list[dict] | None, bounds: np.ndarray) -> np.ndarray:
-    """The bits of a chunk's tokens, given by ``by_chunk``, in the order of the tokens."""
-    out = np.zeros(bounds[-1], bool)
+def unpacked(data: bytes, n: int, counted: bool) -> np.ndarray:
+    return np.frombuffer(data, "<u2") if counted else np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def unpack(bits: list[dict] | None, bounds: np.ndarray, counted: bool = False) -> np.ndarray:
+    """The bits or numbers of a chunk's tokens, given by ``by_chunk``, in the order of the tokens."""
+    out = np.zeros(bounds[-1], np.int64 if counted else bool)
     for x in bits or []:
         i, j = bounds[x["bucket"]], bounds[x["bucket"] + 1]
-        out[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i)
+        out[i:j] = unpacked(x["bits"], j - i, counted)
     return out
 
 

@@ -183,35 +183,68 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
     return C.written(found.withColumn("key", F.when(F.col("tokens").isNotNull(), F.unhex(F.substring(F.sha2("tokens", 256), 1, 32)))), "sets")
 
 
+def covered(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets (id, tokens), all different, those with as many shingles that another one has as a link needs.
+
+    Column rare: of the least_overlap complement's size and one more, the shingles that the fewest sets have, without
+    those that no other set has. Linked sets have one of these in common, since the order is the same for all.
+    """
+    chunks = C.store(sets.select("id", "tokens"), "tokens")
+    buckets = C.buckets_for(chunks, 8.0)
+
+    def tokens_of(rows: pa.RecordBatch):
+        own = rows.column(1).to_pylist()
+        return np.frombuffer(b"".join(own), "<u8"), np.repeat(np.arange(len(own)), [len(x) // 8 for x in own])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, counts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows = C.rows_of(blob.as_py())
+                tokens, of = tokens_of(rows)
+                distinct, _, place = C.distinct_tokens(tokens, of)
+                count = C.unpack(counts, C.bucket_bounds(distinct, buckets), counted=True)[place]
+                n = np.bincount(of, minlength=len(rows))
+                stay = np.bincount(of[count > 1], minlength=len(rows)) >= -(-percent * n // 100)
+                order = np.lexsort((tokens, count, of))
+                rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+                rare = order[(rank < (n - -(-percent * n // 100) + 1)[of]) & (count[order] > 1)]
+                each = np.searchsorted(of[rare], np.arange(len(rows) + 1))
+                found = tokens[rare].astype("<u8")
+                rare_ones = [found[i:j].tobytes() for i, j in zip(each[:-1].tolist(), each[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, X.binaries(rare_ones)], ["id", "tokens", "rare"]).filter(pa.array(stay))
+
+    counts = C.shared_tokens(chunks, tokens_of, buckets, counted=True)
+    return C.written(chunks.select("chunk", "blob").join(counts, "chunk", "left").select("blob", "bits").mapInArrow(keep, "id bigint, tokens binary, rare binary"), "covered")
+
+
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def _clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """Columns node, component: sets that have a prefix shingle in common, directly or over others; linked sets always do."""
+def _clusters(sets: DataFrame) -> DataFrame:
+    """Columns node, component: sets that have a rare shingle in common, directly or over others; linked sets always do."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 own = [np.frombuffer(x, "<i8") for x in part.column(1).to_pylist()]
-                own = [x[: len(x) - least_overlap(len(x), percent) + 1] for x in own]
                 ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], ["token", "id"])
 
-    tokens = sets.select("id", "tokens").mapInArrow(prefixes, "token bigint, id bigint")
+    tokens = sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint")
     least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
     return components(tokens.join(least, "token").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
 
 
 def _linked(sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Columns a, b: links that join the same sets as all links do. Columns of sets: id, tokens.
+    """Columns a, b: links that join the same sets as all links do. Columns of sets: id, tokens, rare.
 
     Sets meet only inside a cluster. A cluster is dealt out in blocks, and its least set, the pivot, is in each: sets
     linked to the pivot inside their blocks are in one component, whatever else links them. Every other set, if there
     are several blocks, is then searched in all blocks.
     """
-    clusters = _clusters(sets, percent)
+    clusters = _clusters(sets)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "component").select(
         F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks")
@@ -263,14 +296,15 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id
     sets one stands for all, so copies don't meet; rows with equal ids are one node. A row without an id links with
     nothing and its component_id is null. Ids are integers; other columns don't matter. Shingles are compared by 64 bits.
 
-    First an exchange of prefix shingles drops rows that can't link. The others fall into clusters with a prefix shingle
-    in common; inside a cluster, blocks of bounded size are searched by DivideSkip.
+    First an exchange of prefix shingles drops rows that can't link, then one of all shingles does among the different
+    sets that are left. The others fall into clusters with a prefix shingle in common; inside a cluster, blocks of bounded
+    size are searched by DivideSkip.
     """
     sets = shingle_sets(docs, id_col, text_col, percent)
     candidates = sets.where("tokens is not null")
     stand_ins = C.written(candidates.groupBy("key").agg(F.min("id").alias("stand_in")), "keys")
     own = C.written(candidates.join(stand_ins, "key").where("id = stand_in").groupBy("id", "key").agg(F.any_value("tokens").alias("tokens")), "own")
     copies = candidates.select("id", "key").join(stand_ins, "key").select(F.col("id").alias("a"), F.col("stand_in").alias("b"))
-    groups = components(_linked(own.select("id", "tokens"), percent, block).union(copies))
+    groups = components(_linked(covered(own, percent), percent, block).union(copies))
     names = [F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")]
     return sets.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left").select(*names)

@@ -41,8 +41,10 @@ class Slice:
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of a string column, a null as an empty text, in order."""
-    column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    """The values of a string or binary column, a null as an empty one, in order."""
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     n = len(column)
     if not n:
         return
