@@ -44,8 +44,8 @@ def carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], carr
 def index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "bar_index", chunks: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row within its key."""
     own = chunked(df, order[0], chunks).withColumn("_local", F.row_number().over(inside(keys, *order)) - 1)
-    out = carried(own, keys, {"_n": F.count("*")}, {"_before": F.sum("_n")})
-    return out.withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_local")).cast("bigint")).drop(CHUNK, "_local", "_before")
+    out = carried(own, keys, {"_n": F.count("*")}, {"_rows_before": F.sum("_n")})
+    return out.withColumn(name, (F.coalesce("_rows_before", F.lit(0)) + F.col("_local")).cast("bigint")).drop(CHUNK, "_local", "_rows_before")
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], chunks: int | None = None, keep_chunk: bool = False) -> DataFrame:
@@ -122,6 +122,10 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict
     ends = local.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*(f"_{x}_{n}" for n in names for x in "yf")), F.struct(*order)).alias("_end"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     into = ends.select(*keys, CHUNK, F.collect_list("_end").over(before).alias("_ends"))
-    into = into.select(*keys, CHUNK, *(F.aggregate("_ends", F.lit(0.0), lambda y, e, n=n: e[f"_f_{n}"] * y + e[f"_y_{n}"]).alias(f"_in_{n}") for n in names))
+
+    def fold(n: str) -> Column:
+        return F.aggregate("_ends", F.lit(0.0), lambda y, e: e[f"_f_{n}"] * y + e[f"_y_{n}"]).alias(f"_in_{n}")
+
+    into = into.select(*keys, CHUNK, *map(fold, names))
     solved = local.join(into, [*keys, CHUNK]).select(*keys, *order, *((F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}")).alias(n) for n in names))
     return df.join(solved, [*keys, *order])
