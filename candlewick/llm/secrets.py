@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The base patterns, in the order in which kinds are listed.
@@ -21,6 +21,8 @@ LETTERS = string.ascii_letters + string.digits + "+/_=-"
 CODES = len(LETTERS) + 1
 #: A candidate is a secret if random strings explain it better by so many nats: a secret is that much rarer beforehand.
 LEAST_EVIDENCE = 12.0
+#: Transitions seen after a character that weigh as much as how frequent the next one is anywhere.
+BACKOFF = 10
 
 KINDS = ("assign", "access", "hex", "random")
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
@@ -65,7 +67,8 @@ def model(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Columns code, weight: for each transition the logarithm of its probability in random over that in ordinary strings.
 
     Random samples are the values that the base patterns find, ordinary ones the strings of 12 characters or more that
-    are left without these, in all texts. Counts are smoothed by one. The table has a fixed size.
+    are left without these, in all texts. Transitions are mixed with the frequencies of single characters, and these are
+    smoothed by one, so a character that ordinary strings seldom have counts wherever it stands. The table's size is fixed.
     """
     text = F.coalesce(text_col, F.lit(""))
     values = F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= LEAST_VALUE)
@@ -77,11 +80,15 @@ def model(docs: DataFrame, text_col: str = "text") -> DataFrame:
     steps = strings.select("random", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
     at = lambda i: _letter(F.substring("s", i, F.lit(1)))
     counts = steps.groupBy((at(F.col("i")) * CODES + at(F.col("i") + 1)).alias("code")).agg(F.count_if("random").alias("random"), F.count_if(~F.col("random")).alias("ordinary"))
-    before = counts.groupBy(F.floor(F.col("code") / CODES).alias("before")).agg(F.sum("random").alias("all_random"), F.sum("ordinary").alias("all_ordinary"))
-    grid = docs.sparkSession.range(0, CODES * CODES, 1, 1).withColumnRenamed("id", "code").withColumn("before", F.floor(F.col("code") / CODES))
-    filled = grid.join(counts, "code", "left").join(before, "before", "left").na.fill(0)
-    share = lambda n, total: F.ln((F.col(n) + 1) / (F.col(total) + len(LETTERS)))
-    return filled.select("code", (share("random", "all_random") - share("ordinary", "all_ordinary")).alias("weight"))
+    grid = docs.sparkSession.range(0, CODES * CODES, 1, 1).withColumnRenamed("id", "code").join(counts, "code", "left").na.fill(0)
+    grid = grid.withColumns({"before": F.floor(F.col("code") / CODES), "after": F.col("code") % CODES})
+    over = {"before": Window.partitionBy("before"), "after": Window.partitionBy("after"), "all": Window.partitionBy(F.lit(1))}  # of a table of fixed size
+
+    def probability(n: str) -> Column:
+        one = (F.sum(n).over(over["after"]) + 1) / (F.sum(n).over(over["all"]) + len(LETTERS))
+        return (F.col(n) + BACKOFF * one) / (F.sum(n).over(over["before"]) + BACKOFF)
+
+    return grid.select("code", (F.ln(probability("random")) - F.ln(probability("ordinary"))).alias("weight"))
 
 
 def _table(weights: DataFrame) -> Column:
