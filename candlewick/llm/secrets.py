@@ -22,7 +22,7 @@ CODES = len(LETTERS) + 1
 #: A candidate is a secret if random strings explain it better by so many nats: a secret is that much rarer beforehand.
 LEAST_EVIDENCE = 12.0
 #: Transitions seen after a character that weigh as much as how frequent the next one is anywhere.
-BACKOFF = 10
+BACKOFF = 1000
 
 KINDS = ("assign", "access", "hex", "random")
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
