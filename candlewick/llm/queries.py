@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, quality_knn, quality_rules, secrets, substring_dedup, toxicity, url_filter
+from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, quality_knn, quality_rules, secrets, sql, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,4 +81,4 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
