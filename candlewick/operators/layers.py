@@ -44,7 +44,8 @@ def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = No
     Chunks are solved alone, with the open prices in a sorted list. What stays open goes to the first later chunk whose
     range has the price; the lines of a chunk join end to end, so one of them covers it. order counts a symbol's lines.
     """
-    own = scan.chunked(lines.select("symbol", "start_trade_id", "end_trade_id", F.col("start_price").cast("double").alias("start_price"), F.col("end_price").cast("double").alias("end_price")), "start_trade_id", chunks)
+    narrow = lines.select("symbol", "start_trade_id", "end_trade_id", F.col("start_price").cast("double").alias("start_price"), F.col("end_price").cast("double").alias("end_price"))
+    own = scan.chunked(scan.saved(narrow), "start_trade_id", chunks)
     schema = "symbol string, _chunk bigint, price double, start_trade_id bigint, end_trade_id bigint"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +68,7 @@ def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = No
         made.insert(0, "symbol", rows["symbol"].iloc[0])
         return made.astype({"end_trade_id": "Int64"})
 
-    first = own.groupBy("symbol", "_chunk").applyInPandas(solve, schema)
+    first = scan.saved(own.groupBy("symbol", "_chunk").applyInPandas(solve, schema))
     ranges = own.groupBy("symbol", "_chunk").agg(F.min(F.least("start_price", "end_price")).alias("low"), F.max(F.greatest("start_price", "end_price")).alias("high"))
     ranges = ranges.select("symbol", F.col("_chunk").alias("_later"), "low", "high")
     still = first.where("end_trade_id is null").drop("end_trade_id")

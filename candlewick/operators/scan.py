@@ -18,6 +18,14 @@ ROWS_PER_CHUNK = 1_000_000
 CHUNK = "_chunk"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's checkpoint folder; where none is set, one beside the warehouse is."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return df.checkpoint()
+
+
 def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     """Adds the chunk of each row: equal ranges of the order column, about a million rows each unless a number is given."""
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
