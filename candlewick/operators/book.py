@@ -163,16 +163,34 @@ def interval_trade_stats(trades: DataFrame, events: DataFrame, chunks: int | Non
     return placed.groupBy(*keys).agg(*aggregates)
 
 
-def interval_records(trades: DataFrame, changes: DataFrame, chunks: int | None = None) -> DataFrame:
+def interval_records(trades: DataFrame, changes: DataFrame, carry_empty_intervals: bool = False, chunks: int | None = None) -> DataFrame:
     """Interval records: the book before and after the event that ends each interval, and the interval's trades; intervals without trades give none.
 
-    changes: level changes with data_set_idx. record_idx counts the records of a data set.
+    changes: level changes with data_set_idx. record_idx counts the records of a data set. With carry_empty_intervals a
+    record starts where the one before it in the data set ended, over all intervals without trades between them.
     """
     stats = state_stats(changes)
     as_of = lambda e: stats.select("symbol", "data_set_idx", F.col("event_id").alias(f"{e}_event_id"), *(F.col(f"{s}_{x}").alias(_record_name(e, s, x)) for s in ("ask", "bid") for x in STATS))
-    mine = interval_trade_stats(trades, changes, chunks).join(as_of("start"), ["symbol", "data_set_idx", "start_event_id"]).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
+    mine = interval_trade_stats(trades, changes, chunks).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
     w = Window.partitionBy("symbol", "data_set_idx").orderBy("end_timestamp_ms", "end_event_id")
-    return mine.withColumn("record_idx", (F.row_number().over(w) - 1).cast("bigint")).drop("start_event_id", "end_event_id")
+    mine = mine.withColumn("record_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    if carry_empty_intervals:
+        starts = _carried_starts(mine, intervals(changes).join(as_of("start"), ["symbol", "data_set_idx", "start_event_id"]))
+        return mine.drop("start_timestamp_ms", "start_event_id", "end_event_id").join(starts, ["symbol", "data_set_idx", "record_idx"])
+    return mine.join(as_of("start"), ["symbol", "data_set_idx", "start_event_id"]).drop("start_event_id", "end_event_id")
+
+
+def _carried_starts(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """For each record the start of the first interval after the record before, and of each side the first start statistics from there on with levels."""
+    keys = ["symbol", "data_set_idx"]
+    made = records.select(*keys, "end_event_id", F.lit(1).alias("_made"))
+    w = Window.partitionBy(*keys).orderBy("end_timestamp_ms", "end_event_id").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = spans.join(made, [*keys, "end_event_id"], "left").withColumn("record_idx", F.count("_made").over(w))
+    names = {s: [_record_name("start", s, x) for x in STATS] for s in ("ask", "bid")}
+    with_levels = {s: F.when(F.col(_record_name("start", s, "total_volume")) > 0, F.struct("end_timestamp_ms", "end_event_id")) for s in names}
+    first = numbered.groupBy(*keys, "record_idx").agg(F.min("start_timestamp_ms").alias("start_timestamp_ms"), *(F.min_by(F.struct(*names[s]), with_levels[s]).alias(f"_{s}") for s in names))
+    value = lambda s, n: F.coalesce(f"_{s}.{n}", F.lit(0.0)) if "_total_" in n else F.col(f"_{s}.{n}")
+    return first.select(*keys, "record_idx", "start_timestamp_ms", *(value(s, n).alias(n) for s in names for n in names[s]))
 
 
 def _record_name(end: str, side: str, stat: str) -> str:

@@ -128,12 +128,18 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name in {*keys, CHUNK, *order}), *(f"_{x}_{n} double" for n in names for x in "yf")])
     local = narrow.groupBy(*keys, CHUNK).applyInPandas(run, schema)
     ends = local.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*(f"_{x}_{n}" for n in names for x in "yf")), F.struct(*order)).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    into = ends.select(*keys, CHUNK, F.collect_list("_end").over(before).alias("_ends"))
+    ends = ends.select(*keys, CHUNK, "_end.*")
 
-    def fold(n: str) -> Column:
-        return F.aggregate("_ends", F.lit(0.0), lambda y, e: e[f"_f_{n}"] * y + e[f"_y_{n}"]).alias(f"_in_{n}")
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(CHUNK)
+        out = {c: rows[c] for c in (*keys, CHUNK)}
+        for n in names:
+            pairs = zip(rows[f"_f_{n}"].tolist(), rows[f"_y_{n}"].tolist(), strict=True)
+            out[f"_in_{n}"] = list(accumulate(pairs, lambda y, fy: fy[0] * y + fy[1], initial=0.0))[:-1]
+        return pd.DataFrame(out)
 
-    into = into.select(*keys, CHUNK, *map(fold, names))
+    # a row for each chunk of a million rows, folded in one pass over a key's chunks
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema if f.name in {*keys, CHUNK}), *(f"_in_{n} double" for n in names)])
+    into = ends.groupBy(*keys).applyInPandas(carry, schema)
     solved = local.join(into, [*keys, CHUNK]).select(*keys, *order, *((F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}")).alias(n) for n in names))
     return df.join(solved, [*keys, *order])

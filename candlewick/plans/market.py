@@ -632,6 +632,23 @@ def book_interval_records(spark, d):
     return records_of(spark, d)
 
 
+CARRIED = {
+    "all_spans": "SELECT s.symbol, s.data_set_idx, s.start_timestamp_ms, s.end_timestamp_ms, s.end_event_id, st.* EXCLUDE (symbol, data_set_idx, timestamp_ms, event_id), (SELECT count(*) FROM span_stats r WHERE r.symbol = s.symbol AND r.data_set_idx = s.data_set_idx AND (r.to_ms, r.end_event_id) < (s.end_timestamp_ms, s.end_event_id)) AS record_idx FROM spans s JOIN states st ON st.symbol = s.symbol AND st.event_id = s.start_event_id",
+    "first_spans": "SELECT symbol, data_set_idx, record_idx, min(start_timestamp_ms) AS start_timestamp_ms, "
+    + ", ".join(f"arg_min(ROW({n}), ROW(end_timestamp_ms, end_event_id)) FILTER ({n.split('_')[0]}_total_volume > 0) AS {n}" for n in STAT_NAMES)
+    + " FROM all_spans GROUP BY symbol, data_set_idx, record_idx",
+    "carried": "SELECT r.* EXCLUDE (start_timestamp_ms, " + ", ".join(f"start_{n}" for n in STAT_NAMES) + "), f.start_timestamp_ms, "
+    + ", ".join((f"coalesce(f.{n}[1], 0)" if "_total_" in n else f"f.{n}[1]") + f" AS start_{n}" for n in STAT_NAMES)
+    + " FROM records r JOIN first_spans f ON f.symbol = r.symbol AND f.data_set_idx = r.data_set_idx AND f.record_idx = r.record_idx",
+}
+
+
+@query(sql(f"SELECT {RECORD_SQL} FROM carried", **CARRIED))
+def book_interval_records_carried(spark, d):
+    """Records that start where the one before ended, over the intervals without trades."""
+    return K.interval_records(trades_of(spark, d), changes_of(spark, d), carry_empty_intervals=True)
+
+
 HEAT = {
     "numbered": "SELECT symbol, data_set_idx, timestamp_ms, event_id, row_number() OVER (PARTITION BY symbol, data_set_idx ORDER BY timestamp_ms, event_id) AS no FROM changes",
     "placed_events": "SELECT n.symbol, n.data_set_idx, n.event_id, n.no, CAST(floor((coalesce(max(b.start_trade_id), max(f.first_bar)) - max(x.min_trade_id)) / max(x.scale)) AS BIGINT) AS x FROM numbered n JOIN extent x ON x.symbol = n.symbol JOIN (SELECT symbol, min(start_trade_id) AS first_bar FROM bars GROUP BY symbol) f ON f.symbol = n.symbol LEFT JOIN bars b ON b.symbol = n.symbol AND b.start_timestamp_ms <= n.timestamp_ms GROUP BY 1, 2, 3, 4",
