@@ -34,9 +34,10 @@ def sma_partial(df: DataFrame, order: str, value: str, n: int, chunks: int | Non
 
 def ema(df: DataFrame, order: str, value: str, alpha: float = 0.1, name: str = "ema", chunks: int | None = None) -> DataFrame:
     """Adds the exponential average: the first value, then alpha * x + (1 - alpha) * the one before."""
-    own = scan.index(df, SYMBOL, [order], "_i", chunks)
+    own = scan.index(scan.chunked(df, order, chunks), SYMBOL, [order], "_i")
     first, x = F.col("_i") == 0, F.col(value).cast("double")
-    return scan.affine(own, SYMBOL, [order], {name: (F.when(first, 0.0).otherwise(1 - alpha), F.when(first, x).otherwise(alpha * x))}, chunks).drop("_i")
+    out = scan.affine(own, SYMBOL, [order], {name: (F.when(first, 0.0).otherwise(1 - alpha), F.when(first, x).otherwise(alpha * x))})
+    return out.drop("_i", *([] if scan.CHUNK in df.columns else [scan.CHUNK]))
 
 
 def wilder_ma(df: DataFrame, order: str, value: str, n: int, chunks: int | None = None) -> DataFrame:
@@ -46,20 +47,20 @@ def wilder_ma(df: DataFrame, order: str, value: str, n: int, chunks: int | None
 
 def rsi(df: DataFrame, order: str = "start_trade_id", value: str = "close_price", n: int = 14, chunks: int | None = None) -> DataFrame:
     """Adds rsi, null for the first n rows: averages of gains and losses, means of the first n changes, then Wilder's; 100 without losses."""
-    own = scan.index(scan.previous(df, SYMBOL, [order], {"_before": value}, chunks), SYMBOL, [order], "_i", chunks)
+    own = scan.index(scan.previous(scan.chunked(df, order, chunks), SYMBOL, [order], {"_before": value}), SYMBOL, [order], "_i")
     change = F.col(value).cast("double") - F.col("_before").cast("double")
     keep, step = F.when(F.col("_i") <= n, 1.0).otherwise((n - 1) / n), lambda x: F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0)) / n
-    out = scan.affine(own, SYMBOL, [order], {"_gain": (keep, step(change)), "_loss": (keep, step(-change))}, chunks)
+    out = scan.affine(own, SYMBOL, [order], {"_gain": (keep, step(change)), "_loss": (keep, step(-change))})
     value_ = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_gain") / F.col("_loss")))
-    return out.withColumn("rsi", F.when(F.col("_i") >= n, value_)).drop("_i", "_before", "_gain", "_loss")
+    return out.withColumn("rsi", F.when(F.col("_i") >= n, value_)).drop("_i", "_before", "_gain", "_loss", scan.CHUNK)
 
 
 def candle_velocity(candles: DataFrame, kinds: tuple[str, ...] = ("trades_count", "volume", "close_price"), alpha: float = 0.1, chunks: int | None = None) -> DataFrame:
     """Adds velocity, the mean of the kinds' differences to the candle before (0 for the first), and its ema, smoothed_velocity."""
-    own = scan.previous(candles, SYMBOL, ["start_timestamp_ms"], {f"_{k}": k for k in kinds}, chunks)
+    own = scan.previous(scan.chunked(candles, "start_timestamp_ms", chunks), SYMBOL, ["start_timestamp_ms"], {f"_{k}": k for k in kinds})
     total = sum((F.col(k).cast("double") - F.col(f"_{k}").cast("double") for k in kinds), F.lit(0.0)) / len(kinds)
     own = own.withColumn("velocity", F.coalesce(total, F.lit(0.0))).drop(*(f"_{k}" for k in kinds))
-    return ema(own, "start_timestamp_ms", "velocity", alpha, "smoothed_velocity", chunks)
+    return ema(own, "start_timestamp_ms", "velocity", alpha, "smoothed_velocity").drop(scan.CHUNK)
 
 
 def trade_velocity(trades: DataFrame, ms: int = 60_000, alpha: float = 0.1, chunks: int | None = None) -> DataFrame:

@@ -16,9 +16,10 @@ def trade_volume() -> Column:
 
 def run_ids(df: DataFrame, kind: Column, order: str, name: str = "run_id", chunks: int | None = None) -> DataFrame:
     """Adds the number of the run of equal kind that a row is in, from 1, per symbol."""
-    own = scan.previous(df.withColumn("_kind", kind), SYMBOL, [order], {"_kind_before": "_kind"}, chunks)
+    own = scan.previous(scan.chunked(df.withColumn("_kind", kind), order, chunks), SYMBOL, [order], {"_kind_before": "_kind"})
     first = F.col("_kind_before").isNull() | (F.col("_kind") != F.col("_kind_before"))
-    return scan.running_sum(own, SYMBOL, [order], {name: first.cast("bigint")}, chunks).drop("_kind", "_kind_before")
+    out = scan.running_sum(own, SYMBOL, [order], {name: first.cast("bigint")}).drop("_kind", "_kind_before")
+    return out if scan.CHUNK in df.columns else out.drop(scan.CHUNK)
 
 
 def side_runs(trades: DataFrame, chunks: int | None = None) -> DataFrame:
@@ -100,11 +101,11 @@ def zigzag_lines(trades: DataFrame, chunks: int | None = None) -> DataFrame:
     starts where the one before it ended; the trade it starts with counts in the earlier line's quantity and volume. A
     symbol with one trade has no line.
     """
-    own = scan.previous(trades, SYMBOL, ["trade_id"], {"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"}, chunks)
+    own = scan.previous(scan.chunked(trades, "trade_id", chunks), SYMBOL, ["trade_id"], {"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"})
     step = F.signum(F.col("price") - F.col("_price")).cast("int")
-    known = scan.last_known(own.withColumn("_step", step), SYMBOL, ["trade_id"], {"_way": F.when(F.col("_step") != 0, F.col("_step"))}, chunks)
+    known = scan.last_known(own.withColumn("_step", step), SYMBOL, ["trade_id"], {"_way": F.when(F.col("_step") != 0, F.col("_step"))})
     way = F.when(F.col("_price").isNull(), None).otherwise(F.coalesce("_way", F.lit(0)))
-    steps = run_ids(known.withColumn("way", way).where("way is not null"), F.col("way"), "trade_id", "line", chunks)
+    steps = run_ids(known.withColumn("way", way).where("way is not null"), F.col("way"), "trade_id", "line")
     first = trades.groupBy("symbol").agg(F.min("trade_id").alias("_first"), F.min_by("quantity", "trade_id").alias("_q"), F.min_by(trade_volume(), "trade_id").alias("_v"))
     lines = steps.groupBy("symbol", "line").agg(
         F.any_value("way").alias("way"), F.min_by("_price", "trade_id").alias("start_price"), F.max_by("price", "trade_id").alias("end_price"), F.min("_id").alias("start_trade_id"),

@@ -27,7 +27,13 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
-    """Adds the chunk of each row: equal ranges of the order column, about a million rows each unless a number is given."""
+    """Adds the chunk of each row: equal ranges of the order column, about a million rows each unless a number is given.
+
+    A frame that has chunks keeps them, so steps in one order share the counts and the shuffle by (keys, chunk): the
+    functions below leave chunks that they are given in place.
+    """
+    if CHUNK in df.columns:
+        return df
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     if low is None:
         return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
@@ -36,6 +42,10 @@ def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     return df.withColumn(CHUNK, F.floor((F.col(order) - low) / width).cast("bigint"))
 
 
+def _unless_given(df: DataFrame) -> list[str]:
+    return [] if CHUNK in df.columns else [CHUNK]
+
+
 def inside(keys: Sequence[str], *order: str):
     """A window over the rows of a chunk."""
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
@@ -53,10 +63,10 @@ def index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     """Adds the 0-based position of each row within its key."""
     own = chunked(df, order[0], chunks).withColumn("_local", F.row_number().over(inside(keys, *order)) - 1)
     out = carried(own, keys, {"_n": F.count("*")}, {"_rows_before": F.sum("_n")})
-    return out.withColumn(name, (F.coalesce("_rows_before", F.lit(0)) + F.col("_local")).cast("bigint")).drop(CHUNK, "_local", "_rows_before")
+    return out.withColumn(name, (F.coalesce("_rows_before", F.lit(0)) + F.col("_local")).cast("bigint")).drop("_local", "_rows_before", *_unless_given(df))
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], chunks: int | None = None, keep_chunk: bool = False) -> DataFrame:
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], chunks: int | None = None) -> DataFrame:
     """Adds columns (new name -> column) of the row before within the key, null for its first row."""
     w = inside(keys, *order)
     own = chunked(df, order[0], chunks)
@@ -67,7 +77,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     ends = ends.select(*keys, CHUNK, F.lag("_end").over(before).alias("_end"))
     out = own.withColumns({"_row": F.row_number().over(w), **{f"_lag_{n}": F.lag(c).over(w) for n, c in columns.items()}}).join(ends, [*keys, CHUNK])
     out = out.withColumns({n: F.when(F.col("_row") == 1, F.col(f"_end._v_{n}")).otherwise(F.col(f"_lag_{n}")) for n in columns})
-    return out.drop("_row", "_end", *(f"_lag_{n}" for n in columns), *([] if keep_chunk else [CHUNK]))
+    return out.drop("_row", "_end", *(f"_lag_{n}" for n in columns), *_unless_given(df))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], chunks: int | None = None) -> DataFrame:
@@ -77,7 +87,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     local = own.withColumns({f"_s_{n}": F.sum(f"_x_{n}").over(w) for n in sums})
     out = carried(local, keys, {f"_t_{n}": F.sum(f"_x_{n}") for n in sums}, {f"_b_{n}": F.sum(f"_t_{n}") for n in sums})
     out = out.withColumns({n: F.col(f"_s_{n}") + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums})
-    return out.drop(CHUNK, *(f"_{p}_{n}" for p in "xsb" for n in sums))
+    return out.drop(*_unless_given(df), *(f"_{p}_{n}" for p in "xsb" for n in sums))
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], chunks: int | None = None) -> DataFrame:
@@ -88,7 +98,7 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     ordering = F.struct(*order)
     out = carried(local, keys, {f"_t_{n}": F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), ordering)) for n in values}, {f"_b_{n}": F.last(f"_t_{n}", ignorenulls=True) for n in values})
     out = out.withColumns({n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in values})
-    return out.drop(CHUNK, *(f"_{p}_{n}" for p in "xsb" for n in values))
+    return out.drop(*_unless_given(df), *(f"_{p}_{n}" for p in "xsb" for n in values))
 
 
 def blocks(df: DataFrame, keys: Sequence[str], index_col: str, frame: int, rows: int = 100_000) -> DataFrame:
@@ -141,5 +151,6 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict
     # a row for each chunk of a million rows, folded in one pass over a key's chunks
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema if f.name in {*keys, CHUNK}), *(f"_in_{n} double" for n in names)])
     into = ends.groupBy(*keys).applyInPandas(carry, schema)
-    solved = local.join(into, [*keys, CHUNK]).select(*keys, *order, *((F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}")).alias(n) for n in names))
-    return df.join(solved, [*keys, *order])
+    solved = local.join(into, [*keys, CHUNK]).select(*keys, CHUNK, *order, *((F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}")).alias(n) for n in names))
+    given = own.drop(*(f"_{x}_{n}" for n in names for x in "ab"))
+    return given.join(solved, [*keys, CHUNK, *order]).drop(*_unless_given(df))
