@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from candlewick.llm import pretokens
 from candlewick.llm import textops as X
@@ -76,12 +78,16 @@ class Tokens:
     """Ids as the library `tokenizers` gives them for a byte-level BPE file.
 
     The vocabulary and merges of that file are run by tiktoken, several times faster; the two agree if the merged strings
-    have ascending ids in the order of the merges, which is checked here.
+    have ascending ids in the order of the merges, which is checked here. Texts that contain an added token of the file
+    are left to `tokenizers` itself, which also knows the token's flags.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        if whole.get("normalizer") is not None:
+            raise ValueError("texts aren't normalized here")
+        model = whole["model"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         unprinted = [b for b in range(256) if b not in set(printable)]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(unprinted)}
@@ -93,11 +99,20 @@ class Tokens:
         ranks = {bytes(byte[c] for c in t): model["vocab"][t] for t in named}
         self.core = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.memo = pretokens.Memo(self.resolve)
+        self.added = [t["content"] for t in whole.get("added_tokens") or [] if t["content"]]
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
 
     def resolve(self, words: list[bytes]) -> list[bytes]:
         piece = self.core._encode_single_piece
         return [np.array(piece(w), "<u4").tobytes() for w in words]
 
+    def with_added(self, texts: pa.Array) -> dict[int, np.ndarray]:
+        """The ids of those texts that contain an added token, by position."""
+        rows = sorted({i for t in self.added for i in pc.indices_nonzero(pc.match_substring(texts, t)).to_pylist()})
+        return {i: np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") for i in rows}
+
 
 _made: dict[str, Tokens] = {}
 
@@ -149,9 +164,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block:
             id_type = batch.schema.field(0).type
             for part in X.slices(batch.column(1)):
                 found = pretokens.encode(part, tokens.memo)
+                special = tokens.with_added(batch.column(1).slice(part.rows[0], len(part)))
                 names = batch.column(0).slice(part.rows[0], len(part)).to_pylist()
                 for i, doc in enumerate(names):
-                    ids = np.concatenate([found.of(i), end])
+                    ids = np.concatenate([special[i] if i in special else found.of(i), end])
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
                         if len(piece) == capacity:

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, pretokens, quality_rules, secrets, substring_dedup
 from candlewick.llm import textops as X
@@ -95,6 +95,35 @@ def test_packing(docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "it's<|endoftext|><|endoftext|>  \n x", "<|endoftext", "<|<|endoftext|>|> é日 ", "word " * 1500 + "<|endoftext|> end"]
+
+
+def packed_ids(docs, path):
+    pieces = defaultdict(dict)
+    for r in packing.pack(docs, path).collect():
+        pieces[r.doc_id, r.doc_tokens][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    return {i: ([x for _, p in sorted(found.items()) for x in p], n) for (i, n), found in pieces.items()}
+
+
+def test_packing_knows_added_tokens(spark):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(ADDED)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert packed_ids(documents(spark, list(enumerate(ADDED))), TOKENIZER) == {i: (ids, len(ids)) for i, ids in want.items()}
+
+
+def test_packing_honours_flags_of_added_tokens(tmp_path):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.add_special_tokens([AddedToken("<sep>", lstrip=True, rstrip=True)])
+    tokenizer.add_tokens([AddedToken("qqx", single_word=True, normalized=True)])
+    path = str(tmp_path / "flags.json")
+    tokenizer.save(path)
+    texts = ["a  <sep> \n b", "qqx qqxer sqqx qqx", "no such", None, "", "qqx<sep>qqx<|endoftext|>"]
+    found = packing.Tokens(path).with_added(pa.array(texts, pa.string()))
+    assert {i: x.tolist() for i, x in found.items()} == {i: tokenizer.encode(texts[i], add_special_tokens=False).ids for i in (0, 1, 5)}
+    assert {50257, 50258} <= {x for ids in found.values() for x in ids.tolist()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 1023), max_size=80))
 def test_windows_hold_every_item_once(sizes):
