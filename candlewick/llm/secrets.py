@@ -16,13 +16,16 @@ LEAST_VALUE = 6
 #: Strings that the models judge, and ordinary strings that train them.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{12,}"
+#: Of the latter, those that are judged too and may be random train no model: a digit, a small letter and a capital, or three borders of letter and digit.
+JUDGED, MIXED = 20, r"^(?:(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])|(?:.*?(?:[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z]))){3})"
 #: Characters of candidates; a model is a table of the transitions from each to each.
 LETTERS = string.ascii_letters + string.digits + "+/_=-"
 CODES = len(LETTERS) + 1
 #: A candidate is a secret if random strings explain it better by so many nats: a secret is that much rarer beforehand.
 LEAST_EVIDENCE = 12.0
-#: Transitions seen after a character that weigh as much as how frequent the next one is anywhere.
-BACKOFF = 1000
+#: Shares of all transitions: seen after a character, so many weigh as much as how frequent the next one is anywhere; and
+#: what is added to each single character. Shares, so that the size of the input doesn't matter.
+BACKOFF, FLOOR = 0.1, 0.0001
 
 KINDS = ("assign", "access", "hex", "random")
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
@@ -67,14 +70,16 @@ def model(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Columns code, weight: for each transition the logarithm of its probability in random over that in ordinary strings.
 
     Random samples are the values that the base patterns find, ordinary ones the strings of 12 characters or more that
-    are left without these, in all texts. Transitions are mixed with the frequencies of single characters, and these are
-    smoothed by one, so a character that ordinary strings seldom have counts wherever it stands. The table's size is fixed.
+    are left without these, in all texts, but for strings of 20 or more of mixed classes: they are judged, and would make
+    themselves ordinary. Transitions are mixed with the frequencies of single characters in a share of all transitions, so a
+    character that ordinary strings seldom have counts wherever it stands, however many texts there are. One more of each
+    keeps an empty table uniform. The table's size is fixed.
     """
     text = F.coalesce(text_col, F.lit(""))
     values = F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= LEAST_VALUE)
     found = F.concat(values, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
+    ordinary = F.filter(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)), lambda x: (F.length(x) < JUDGED) | ~x.rlike(MIXED))
     label = lambda strings, random: F.transform(strings, lambda x: F.struct(F.lit(random).alias("random"), x.alias("s")))
     strings = docs.select(F.explode(F.concat(label(found, True), label(ordinary, False))).alias("x")).select("x.random", "x.s").where(F.length("s") > 1)
     steps = strings.select("random", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
@@ -85,8 +90,10 @@ def model(docs: DataFrame, text_col: str = "text") -> DataFrame:
     over = {"before": Window.partitionBy("before"), "after": Window.partitionBy("after"), "all": Window.partitionBy(F.lit(1))}  # of a table of fixed size
 
     def probability(n: str) -> Column:
-        one = (F.sum(n).over(over["after"]) + 1) / (F.sum(n).over(over["all"]) + len(LETTERS))
-        return (F.col(n) + BACKOFF * one) / (F.sum(n).over(over["before"]) + BACKOFF)
+        total = F.sum(n).over(over["all"])
+        added, weight = 1 + FLOOR * total, 1 + BACKOFF * total
+        one = (F.sum(n).over(over["after"]) + added) / (total + len(LETTERS) * added)
+        return (F.col(n) + weight * one) / (F.sum(n).over(over["before"]) + weight)
 
     return grid.select("code", (F.ln(probability("random")) - F.ln(probability("ordinary"))).alias("weight"))
 

@@ -257,6 +257,18 @@ def test_random_strings_are_told_from_ordinary_ones(spark):
     assert redacted[900] == "left [SECRET] here" and redacted[901] == f"call {plain} again"
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_random_strings_are_found_at_any_size(spark, times):
+    r = random.Random(5)
+    stems = ["transform", "column", "schema", "partition", "reader", "config", "default", "handler", "session", "builder"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda alphabet: "".join(r.choices(alphabet, k=32))
+    unseen = [drawn(letters) for _ in range(60 * times)] + [drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(6 * times)]
+    texts = [f"call {'_'.join(r.choices(stems, k=3))} now" for _ in range(300 * times)] + [f"token={drawn(letters)}" for _ in range(100 * times)] + [f"left {x} here" for x in unseen]
+    rows = secrets.scan(documents(spark, list(enumerate(texts)))).selectExpr("text", "filter(spans, x -> x.kind = 'random') as found").where("size(found) > 0").collect()
+    assert Counter(r.text[s.start : s.end] for r in rows for s in r.found) == Counter(unseen)
+
+
 def test_redaction(docs):
     found = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     assert found[123] == "é😀 [SECRET] 😀 [SECRET] apikey=1 TOKEN=token:abcdefg".replace("TOKEN=token:abcdefg", found[123].rsplit(" ", 1)[1])
