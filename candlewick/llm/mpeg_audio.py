@@ -212,12 +212,27 @@ def _protected_bytes(frame: bytes, h: Header) -> bytes | None:
 
 
 def read(data: bytes) -> Stream:
-    """Reads a stream; bytes that aren't frames are skipped to the next header that another one, or the end, confirms."""
-    out = Stream()
+    """Reads a stream; bytes that aren't frames are skipped to the next header that another one, or the end, confirms.
+
+    The last 128 bytes are an ID3v1 tag if they begin like one, unless frames go on to the very end without one that ends
+    before them: then they are bytes of frames.
+    """
+    end, tag = len(data), len(data) - 128
+    out, ends = _read_to(data, end, tag)
+    if data[-128:-125] == b"TAG" and (tag in ends or end not in ends):
+        at = _read_id3(data, Stream())
+        if tag >= at:
+            out, _ = _read_to(data, tag, tag)
+            out.tags.setdefault("TIT2", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
+    return out
+
+
+def _read_to(data: bytes, end: int, since: int) -> tuple[Stream, set[int]]:
+    """What a stream holds before end, and where frames end from since on."""
+    out, ends = Stream(), set()
     at = _read_id3(data, out)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= at + 128 else len(data)
-    if end < len(data):
-        out.tags.setdefault("TIT2", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
+    if at == since:
+        ends.add(at)
     bodies, synced = [], True
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -234,6 +249,8 @@ def read(data: bytes) -> Stream:
             continue
         synced = True
         frame = data[at : at + h.length]
+        if at + h.length >= since:
+            ends.add(at + h.length)
         out.version, out.layer, out.rate = h.kind()
         out.audio_bytes += h.length
         if not (out.offsets or out.table) and h.layer == 3 and _read_table(frame, h, out):
@@ -256,7 +273,7 @@ def read(data: bytes) -> Stream:
     out.payload = b"".join(bodies)
     if out.tags.get("payload_bytes", "").isdigit():
         out.payload = out.payload[: int(out.tags["payload_bytes"])]
-    return out
+    return out, ends
 
 
 def _feature(s: Stream) -> str:

@@ -301,6 +301,22 @@ def test_damaged_audio():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+@pytest.mark.parametrize("size", [192, 1344, 1536, 2880])
+def test_a_payload_with_the_name_of_a_tag_stays_whole(size):
+    stored = mpeg_audio.store(bytes(size))
+    for at in range(size - 2):
+        payload = b"." * at + b"TAG" + b"." * (size - 3 - at)
+        media = mpeg_audio.store(payload)
+        found = mpeg_audio.read(media)
+        assert (found.payload, found.skipped, found.resyncs, set(found.tags)) == (payload, 0, 0, {"TLEN", "payload_bytes"})
+        assert len(found.payload) == int(found.tags["payload_bytes"]) and len(media) == len(stored)
+        if media[-128:-125] == b"TAG":
+            tagged = mpeg_audio.read(media + b"TAG" + b"title".ljust(125, b"\0"))
+            assert (tagged.payload, tagged.tags["TIT2"], tagged.skipped) == (payload, "title", 0)
+    cut = mpeg_audio.read(stored[:-40] + b"TAG" + b"title".ljust(125, b"\0"))
+    assert cut.tags["TIT2"] == "title" and len(cut.payload) < size
+
+
 def test_tail_checksum_matches(spark, docs):
     from candlewick.llm import queries
 
