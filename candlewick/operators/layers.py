@@ -90,12 +90,17 @@ def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = No
     return out.drop("_chunk")
 
 
-def extreme_line_raster(levels: DataFrame, extent: DataFrame, most_cells: int = 1_000_000) -> DataFrame:
-    """Cells of each level from its start to its end with 0, 1, 2, ...; of levels in one cell the one that ends last holds. A level of more cells than most_cells fails."""
+def extreme_line_raster(levels: DataFrame, extent: DataFrame, range_cells: int = 65_536) -> DataFrame:
+    """Cells of each level from its start to its end with 0, 1, 2, ...; of levels in one cell the one that ends last holds.
+
+    A level is cut into ranges of range_cells, which are dealt over the tasks before their cells are made.
+    """
     own = levels.join(F.broadcast(extent), "symbol")
     own = own.select("symbol", "price", "start_trade_id", "end_trade_id", _cell(F.col("start_trade_id"), "min_trade_id").alias("_a"), _cell(F.col("end_trade_id"), "min_trade_id").alias("_b"), _y(F.col("price")).alias("y")).where("_b > _a")
-    own = own.withColumn("_b", F.when(F.col("_b") - F.col("_a") <= most_cells, F.col("_b")).otherwise(F.raise_error(F.lit("a level has too many cells")).cast("bigint")))
-    cells = own.select("symbol", "y", "price", "start_trade_id", "end_trade_id", "_a", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("x"))
+    ranges = own.withColumn("_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_b") - F.col("_a") - 1) / range_cells))))
+    ranges = ranges.withColumn("_from", F.col("_a") + F.col("_no") * range_cells).withColumn("_to", F.least(F.col("_from") + range_cells, "_b") - 1).drop("_no", "_b")
+    ranges = ranges.repartition(int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "price", "start_trade_id", "_from")  # a number, so that small rows aren't put together
+    cells = ranges.select("symbol", "y", "price", "start_trade_id", "end_trade_id", "_a", F.explode(F.sequence("_from", "_to")).alias("x"))
     return cells.groupBy("symbol", "x", "y").agg(F.max_by(F.col("x") - F.col("_a"), F.struct("end_trade_id", "start_trade_id", "price")).alias("value"))
 
 

@@ -227,3 +227,18 @@ def test_excursions(spark):
     assert (e[1].mfe_gross, e[1].mae_gross, e[1].mfe_mark_price, e[1].bars_elapsed, e[1].bars_remaining) == pytest.approx((0.1, -0.1, 110, 3, 5))
     assert (e[2].mfe_gross, e[2].mae_gross, e[2].mfe_mark_price) == pytest.approx((0.1, -0.1, 90))
     assert e[1].unrealized_net_return_pct == pytest.approx(100 * (0.05 - 0.0005)) and e[1].progress_pct == 37.5
+
+
+def test_raster_of_levels_of_any_length(spark):
+    extent = spark.createDataFrame([("x", 0.0, 100.0, 0, 2_000_000, 1.0)], "symbol string, min_price double, max_price double, min_trade_id bigint, max_trade_id bigint, scale double")
+    levels = lambda rows: spark.createDataFrame([("x", *r) for r in rows], "symbol string, price double, start_trade_id bigint, end_trade_id bigint")
+    long = layers.extreme_line_raster(levels([(5.0, 7, 1_500_007)]), extent)
+    assert long.agg(F.count("*"), F.min("x"), F.max("x"), F.sum("value"), F.sum((F.col("x") - F.col("value") - 7) ** 2)).first() == (1_500_000, 7, 1_500_006, 1_500_000 * 1_499_999 // 2, 0)
+    rows = [(5.0, 0, 10), (5.0, 3, 12), (5.5, 4, 12), (9.0, 1, 9), (9.0, 9, 9), (99.0, 2, 10)]
+    best = {}
+    for price, a, b in rows:
+        for x in range(a, b):
+            best[x, int(price)] = max(best.get((x, int(price)), ()), (b, a, price))
+    for size in (1, 4, 8, 100):
+        got = layers.extreme_line_raster(levels(rows), extent, range_cells=size).collect()
+        assert sorted((r.x, r.y, r.value) for r in got) == sorted((x, y, x - a) for (x, y), (_, a, _) in best.items())
