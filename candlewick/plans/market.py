@@ -444,6 +444,13 @@ def count_bars_since(spark, d):
     return B.count_bars_since(bars, bars.where("start_trade_id % 50 = 0"))
 
 
+@query()
+def count_bars_since_all(spark, d):
+    """From every bar on; the SQL above compares pairs of bars, so it has a part of them."""
+    bars = bars_of(spark, d)
+    return B.count_bars_since(bars, bars)
+
+
 # Joins
 
 
@@ -467,6 +474,13 @@ def latest_snapshot_before(spark, d):
     return K.latest_snapshot(book, book.where("event_id % 7 = 0"))
 
 
+@query()
+def latest_snapshot_before_all(spark, d):
+    """At the time of every event."""
+    book = A.book_from_events(spark, d)
+    return K.latest_snapshot(book, book)
+
+
 @query(sql("SELECT DISTINCT symbol, trade_id FROM raw_lineitem WHERE trade_id % 10 >= 4"))
 def missing_trades(spark, d):
     t = A.raw_trades_from_lineitem(spark, d)

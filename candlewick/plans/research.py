@@ -145,37 +145,37 @@ def candles(spark, d) -> DataFrame:
     return B.bar_index(market.candles_of(spark, d))
 
 
-def positions(spark, d) -> DataFrame:
-    """Every 50th candle of a symbol opens a position of 8 bars, sides by turns."""
+def positions(spark, d, every: int = 50) -> DataFrame:
+    """Every 50th candle of a symbol, or as told, opens a position of 8 bars, sides by turns."""
     i = F.col("bar_index")
     name = F.concat("symbol", F.lit("-"), F.lpad(i.cast("string"), 8, "0"))
-    return candles(spark, d).where(i % 50 == 0).select(name.alias("position_id"), "symbol", F.when((i / 50).cast("int") % 2 == 0, "long").otherwise("short").alias("side"), F.col("close_price").cast("double").alias("entry_price"), F.lit(7.0).alias("notional_usd"), F.lit("x8").alias("horizon"), i.alias("entry_index"), (i + STEPS).alias("exit_index"))
+    return candles(spark, d).where(i % every == 0).select(name.alias("position_id"), "symbol", F.when((i / every).cast("int") % 2 == 0, "long").otherwise("short").alias("side"), F.col("close_price").cast("double").alias("entry_price"), F.lit(7.0).alias("notional_usd"), F.lit("x8").alias("horizon"), i.alias("entry_index"), (i + STEPS).alias("exit_index"))
 
 
-def excursions(spark, d) -> DataFrame:
-    return P.position_excursions(positions(spark, d), candles(spark, d))
+def excursions(spark, d, every: int = 50) -> DataFrame:
+    return P.position_excursions(positions(spark, d, every), candles(spark, d))
 
 
-def closed(spark, d) -> DataFrame:
-    exits = positions(spark, d).join(candles(spark, d).select("symbol", F.col("bar_index").alias("exit_index"), F.col("close_price").cast("double").alias("exit_price")), ["symbol", "exit_index"]).select("position_id", "exit_price")
-    return P.close_positions(excursions(spark, d), exits)
+def closed(spark, d, every: int = 50) -> DataFrame:
+    exits = positions(spark, d, every).join(candles(spark, d).select("symbol", F.col("bar_index").alias("exit_index"), F.col("close_price").cast("double").alias("exit_price")), ["symbol", "exit_index"]).select("position_id", "exit_price")
+    return P.close_positions(excursions(spark, d, every), exits)
 
 
 @query(sql(f"SELECT position_id, bar_index, {num('gross', net_open='gross - 0.0005', net_closed='gross - 0.001')} FROM marks"))
-def gross_net_return(spark, d):
+def gross_net_return(spark, d, every=50):
     g = X.gross_return(F.col("side"), F.col("entry_price"), F.col("mark_price"))
-    rows = P.position_bars(positions(spark, d), candles(spark, d)).withColumn("gross", g)
+    rows = P.position_bars(positions(spark, d, every), candles(spark, d)).withColumn("gross", g)
     return rows.select("position_id", "bar_index", "gross", X.net_return(F.col("gross")).alias("net_open"), X.net_return(F.col("gross"), True).alias("net_closed"))
 
 
 @query(sql(f"SELECT position_id, bar_index, mark_ms, {num('mark_price')} FROM marks"))
-def position_bars(spark, d):
-    return P.position_bars(positions(spark, d), candles(spark, d)).select("position_id", "bar_index", "mark_ms", "mark_price")
+def position_bars(spark, d, every=50):
+    return P.position_bars(positions(spark, d, every), candles(spark, d)).select("position_id", "bar_index", "mark_ms", "mark_price")
 
 
 @query(sql(f"SELECT position_id, {num('mfe_gross', 'mae_gross', 'mfe_mark_price', 'mae_mark_price', 'mark_price')}, bars_elapsed FROM excursions"))
-def position_excursions(spark, d):
-    return excursions(spark, d).select("position_id", "mfe_gross", "mae_gross", "mfe_mark_price", "mae_mark_price", "mark_price", "bars_elapsed")
+def position_excursions(spark, d, every=50):
+    return excursions(spark, d, every).select("position_id", "mfe_gross", "mae_gross", "mfe_mark_price", "mae_mark_price", "mark_price", "bars_elapsed")
 
 
 SHOWN = {"mfe_net_return_pct": "100 * (mfe - 0.0005)", "mae_net_return_pct": "100 * (mae - 0.0005)", "mfe_pnl_usd": "7 * (mfe - 0.0005)", "mae_pnl_usd": "7 * (mae - 0.0005)", "giveback_net_return_pct": "100 * (mfe - gross)", "giveback_pnl_usd": "7 * (mfe - gross)"}
@@ -184,8 +184,8 @@ LATEST = "SELECT *, mfe_gross AS mfe, mae_gross AS mae, CASE WHEN side = 'long'
 
 
 @query(sql(f"SELECT position_id, greatest(0, 8 - bars_elapsed) AS bars_remaining, {num(progress_pct='least(100, 100.0 * bars_elapsed / 8)', **METRICS)}, bars_elapsed >= 8 AS at_target_horizon FROM latest", latest=LATEST))
-def position_metrics(spark, d):
-    return P.position_metrics(excursions(spark, d)).select("position_id", "bars_remaining", "progress_pct", *METRICS, "at_target_horizon")
+def position_metrics(spark, d, every=50):
+    return P.position_metrics(excursions(spark, d, every)).select("position_id", "bars_remaining", "progress_pct", *METRICS, "at_target_horizon")
 
 
 CLOSED = {"gross_return_pct": "100 * gross", "net_return_pct": "100 * (gross - 0.001)", "realized_pnl_usd": "7 * (gross - 0.001)"} | SHOWN
@@ -193,18 +193,32 @@ FINAL = "SELECT *, greatest(mfe_gross, gross) AS mfe, least(mae_gross, gross) AS
 
 
 @query(sql(f"SELECT position_id, {num('exit_price', **CLOSED)} FROM final", final=FINAL))
-def close_positions(spark, d):
-    return closed(spark, d).select("position_id", "exit_price", *CLOSED)
+def close_positions(spark, d, every=50):
+    return closed(spark, d, every).select("position_id", "exit_price", *CLOSED)
 
 
 @query(sql(f"SELECT {num(realized_pnl_usd='sum(7 * (gross - 0.001))')}, count(*) AS n_trades FROM closed"))
-def journal_summary(spark, d):
-    return P.journal_summary(closed(spark, d))[0]
+def journal_summary(spark, d, every=50):
+    return P.journal_summary(closed(spark, d, every))[0]
 
 
 @query(sql(f"SELECT position_id, {num(realized_pnl_usd='7 * (gross - 0.001)')} FROM closed ORDER BY exit_index DESC, position_id DESC LIMIT 20"))
-def journal_last_closed(spark, d):
-    return P.journal_summary(closed(spark, d))[1].select("position_id", "realized_pnl_usd")
+def journal_last_closed(spark, d, every=50):
+    return P.journal_summary(closed(spark, d, every))[1].select("position_id", "realized_pnl_usd")
+
+
+def _of_all(f):
+    """Registers a query of positions once more, with a position for each candle."""
+
+    def run(spark, d):
+        return f(spark, d, 1)
+
+    run.__name__ = f"{f.__name__}_all"
+    query()(run)
+
+
+for _f in (gross_net_return, position_bars, position_excursions, position_metrics, close_positions, journal_summary, journal_last_closed):
+    _of_all(_f)
 
 
 # Streams: the events table read as a stream, run to its end

@@ -242,3 +242,47 @@ def test_raster_of_levels_of_any_length(spark):
     for size in (1, 4, 8, 100):
         got = layers.extreme_line_raster(levels(rows), extent, range_cells=size).collect()
         assert sorted((r.x, r.y, r.value) for r in got) == sorted((x, y, x - a) for (x, y), (_, a, _) in best.items())
+
+
+def test_queries_of_all_rows(spark):
+    from candlewick.plans import market, research
+    from candlewick.plans.registry import QUERIES
+    from candlewick.sources import adapters
+
+    d = "/root/testdata/sf0.001"
+    starts = sorted(tuple(r) for r in market.bars_of(spark, d).select("symbol", "start_trade_id").collect())
+    got = {(r.symbol, r.start_trade_id): r.bars for r in QUERIES["count_bars_since_all"](spark, d).collect()}
+    newer = {}
+    for key in reversed(starts):
+        newer[key[0]] = newer.get(key[0], 0) + 1
+        assert got.pop(key) == newer[key[0]]
+    assert not got and len(starts) > 100
+
+    book_rows = adapters.book_from_events(spark, d).select("symbol", "timestamp_ms", "action").collect()
+    snaps = {}
+    for r in book_rows:
+        if r.action == "Snapshot":
+            snaps.setdefault(r.symbol, set()).add(r.timestamp_ms)
+    want = set()
+    for s, t in {(r.symbol, r.timestamp_ms) for r in book_rows}:
+        own = snaps.get(s, ())
+        want.add((s, t, max((x for x in own if x <= t), default=None), min((x for x in own if x >= t), default=None), min((x for x in own if x > t), default=None)))
+    found = QUERIES["latest_snapshot_before_all"](spark, d).select("symbol", "timestamp_ms", "last_at_or_before", "first_at_or_after", "next_after").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+    candles = sorted((r.symbol, r.bar_index, float(r.close_price)) for r in research.candles(spark, d).collect())
+    price = {(s, i): p for s, i, p in candles}
+    gross = lambda s, i, j: (1, -1)[i % 2] * (price[s, j] - price[s, i]) / price[s, i]
+    name = lambda s, i: f"{s}-{i:08d}"
+    marks = {(name(s, i), j): (price[s, j], gross(s, i, j)) for s, i in price for j in range(i + 1, i + 9) if (s, j) in price}
+    rows = QUERIES["position_bars_all"](spark, d).collect()
+    assert {(r.position_id, r.bar_index): r.mark_price for r in rows} == {k: pytest.approx(p, abs=1e-6) for k, (p, _) in marks.items()} and len(rows) == len(marks)
+    assert {(r.position_id, r.bar_index): r.gross for r in QUERIES["gross_net_return_all"](spark, d).collect()} == {k: pytest.approx(g, abs=2e-6) for k, (_, g) in marks.items()}
+    best = {name(s, i): max([0.0, *(gross(s, i, j) for j in range(i + 1, i + 9) if (s, j) in price)]) for s, i in price}
+    assert {r.position_id: r.mfe_gross for r in QUERIES["position_excursions_all"](spark, d).collect()} == {k: pytest.approx(x, abs=2e-6) for k, x in best.items()}
+    assert QUERIES["position_metrics_all"](spark, d).count() == len(candles)
+    ended = [(s, i) for s, i in price if (s, i + 8) in price]
+    assert QUERIES["close_positions_all"](spark, d).count() == len(ended)
+    one = QUERIES["journal_summary_all"](spark, d).first()
+    assert one.n_trades == len(ended) and one.realized_pnl_usd == pytest.approx(sum(7 * (gross(s, i, i + 8) - 0.001) for s, i in ended), rel=1e-4, abs=1e-3)
+    assert QUERIES["journal_last_closed_all"](spark, d).count() == 20
