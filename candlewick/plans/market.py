@@ -346,6 +346,11 @@ def multi_interval_candles(spark, d):
     return B.multi_interval_candles(trades_of(spark, d), INTERVALS)
 
 
+@query()
+def multi_interval_candles_all(spark, d):
+    return B.multi_interval_candles(trades_of(spark, d), tuple(B.INTERVALS))
+
+
 @query(sql(f"SELECT {BAR} FROM (SELECT symbol, {BARS_OF_BARS} FROM ibars GROUP BY symbol, bar_index // 8)"))
 def aggregate_bars(spark, d):
     return B.aggregate_bars(bars_of(spark, d), 8)
@@ -359,6 +364,11 @@ def bar_pyramid(spark, d):
     return B.bar_pyramid(bars_of(spark, d), SCALES)
 
 
+@query()
+def bar_pyramid_all(spark, d):
+    return B.bar_pyramid(bars_of(spark, d))
+
+
 @query(sql(f"SELECT {BAR} FROM bars"))
 def run_bars_side(spark, d):
     return bars_of(spark, d)
@@ -568,6 +578,12 @@ def trade_velocity(spark, d):
     return I.trade_velocity(trades_of(spark, d), 3_600_000)
 
 
+@query()
+def trade_velocity_all(spark, d):
+    """Of minutes."""
+    return I.trade_velocity(trades_of(spark, d))
+
+
 @query(sql(f"SELECT symbol, trading_direction, {LINE_SQL} FROM lines"))
 def zigzag_lines(spark, d):
     return lines_of(spark, d)
@@ -702,6 +718,12 @@ def chart_fetch_limit(spark, d):
     return B.aggregate_bars(B.last_bars(bars_of(spark, d), n), 4)
 
 
+@query()
+def chart_fetch_limit_all(spark, d):
+    """The same for a chart of 50,000 points."""
+    return B.aggregate_bars(B.last_bars(bars_of(spark, d), B.chart_fetch_limit(4, 1_000_000)), 4)
+
+
 @query(sql(f"SELECT {TRADE_SQL} FROM trades"))
 def append_new(spark, d):
     """Old and new rows that overlap at the border, which is kept once."""

@@ -286,3 +286,31 @@ def test_queries_of_all_rows(spark):
     one = QUERIES["journal_summary_all"](spark, d).first()
     assert one.n_trades == len(ended) and one.realized_pnl_usd == pytest.approx(sum(7 * (gross(s, i, i + 8) - 0.001) for s, i in ended), rel=1e-4, abs=1e-3)
     assert QUERIES["journal_last_closed_all"](spark, d).count() == 20
+
+
+def test_queries_of_all_scales_and_intervals(spark):
+    from collections import Counter
+
+    from candlewick.plans import market
+    from candlewick.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    trades = [(r.symbol, r.timestamp_ms) for r in market.trades_of(spark, d).select("symbol", "timestamp_ms").collect()]
+    found = QUERIES["multi_interval_candles_all"](spark, d).select("interval", "symbol", "start_timestamp_ms", "trades_count").collect()
+    assert {tuple(r)[:3]: r.trades_count for r in found} == Counter((name, s, t - t % ms) for name, ms in bars.INTERVALS.items() for s, t in trades)
+    found = QUERIES["trade_velocity_all"](spark, d).select("symbol", "start_timestamp_ms", "trades_count").collect()
+    assert {tuple(r)[:2]: r.trades_count for r in found} == Counter((s, t - t % 60_000) for s, t in trades)
+    shown = ["symbol", "start_trade_id", "total_trades_count"]
+
+    def held(d):
+        out = {}
+        for r in sorted(market.bars_of(spark, d).select(*shown).collect()):
+            out.setdefault(r.symbol, []).append((r.start_trade_id, r.total_trades_count))
+        return out
+
+    grouped = lambda n, held: sorted((n, s, rows[i][0], sum(c for _, c in rows[i : i + n])) for s, rows in held.items() for i in range(0, len(rows), n))
+    small, large = held(d), held("/root/testdata/sf0.01")
+    assert max(map(len, large.values())) > 204
+    assert sorted((4, *r) for r in QUERIES["chart_fetch_limit_all"](spark, "/root/testdata/sf0.01").select(*shown).collect()) == grouped(4, large)
+    found = QUERIES["bar_pyramid_all"](spark, d).select("scale", *shown).collect()
+    assert sorted(map(tuple, found)) == [x for i in range(19) for x in grouped(2**i, small)]
