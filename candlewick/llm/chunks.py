@@ -1,49 +1,73 @@
 """Documents packed into chunks, and exchanges of hashed tokens between chunks.
 
 Operators that must know which tokens occur in other documents send, for each chunk, its distinct tokens to buckets by
-hash and get bits back. A token costs a few bytes in the shuffle, one of a hot document or passage crosses it once a
+hash and get bits back. A token costs a few bytes in the shuffle at any size of the input, one of a hot document or passage crosses it once a
 chunk, and what comes back is a bit each. Chunks are written once, bucketed, to the folder that the cluster names in
 spark.checkpoint.dir: their numbers stay the same when a task runs again, and joins on them don't move the texts.
 """
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import textops as X
+from candlewick.sources.shared import shared_folder, written
 
-#: Bytes of text in a chunk, and tokens that a bucket should have.
-CHUNK_BYTES, BUCKET_TOKENS = 1 << 20, 1 << 18
+__all__ = ["shared_folder", "written"]
 
+#: The least bytes of text in a chunk, the least tokens that a bucket should have, and how many tokens a chunk should send
+#: to a bucket: chunks and buckets grow with the square root of the text, so that many cross the shuffle in one row.
+CHUNK_BYTES, BUCKET_TOKENS, ROW_TOKENS = 1 << 20, 1 << 18, 16
+#: Bytes of text in a bucket of a stored table.
+STORED_BYTES = 256 << 20
+#: Keys with a share of one in HOT of all rows or more: there are HOT at most.
+HOT = 1000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in tests, a new one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
 
+def layout(total: int, bytes_a_token: float) -> tuple[int, int]:
+    """Bytes of a chunk, and the number of buckets, for so much text."""
+    tokens = total / bytes_a_token
+    in_chunk = max(CHUNK_BYTES / bytes_a_token, math.sqrt(ROW_TOKENS * tokens / 4))
+    return int(in_chunk * bytes_a_token), max(8, int(tokens / max(BUCKET_TOKENS, ROW_TOKENS * tokens / in_chunk)))
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which no operator's own names meet."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
-def chunked(docs: DataFrame, text_col: str) -> DataFrame:
-    """Columns chunk, n_bytes, blob: the rows of docs, some after another, as compressed Arrow data. A text is never cut."""
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``numbered(like)`` under their first names."""
+    return df.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(like.columns)))
+
+
+def number_of(df: DataFrame, name: str) -> str:
+    return f"c{df.columns.index(name)}"
+
+
+def join_each(rows: DataFrame, one_each: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with one_each, which has a row for each key of theirs and counts their rows in column n; total is its sum.
+
+    Keys that hold many rows, HOT at most, are joined by broadcast, so they stay spread as they are; the others by shuffle.
+    """
+    hot = F.col("n") * HOT >= total
+    near = rows.join(F.broadcast(one_each.where(hot).drop("n")), key)
+    far = rows.join(F.broadcast(one_each.where(hot).select(key)), key, "left_anti").join(one_each.where(~hot).drop("n"), key)
+    return near.unionByName(far)
+
+
+def chunked(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Columns chunk, blob: the rows of docs, some after another, as compressed Arrow data. A text is never cut."""
+
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -56,42 +80,44 @@ def chunked(docs: DataFrame, text_col: str) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(rows)
-            made = pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_bytes", "blob"])
+            made = pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "blob"])
             chunk += 1
             size = 0
             held.clear()
             return made
 
         for batch in batches:
-            for part in X.slices(batch.column(batch.schema.get_field_index(text_col)), CHUNK_BYTES):
-                if held and size + len(part.data) > CHUNK_BYTES:
+            for part in X.slices(batch.column(at), CHUNK_BYTES):
+                if held and size + len(part.data) > chunk_bytes:
                     yield out()
                 held.append(batch.slice(part.rows[0], len(part)))
                 size += len(part.data)
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "chunk bigint, n_bytes bigint, blob binary")
+    return docs.mapInArrow(run, "chunk bigint, blob binary")
 
 
-def store(docs: DataFrame, text_col: str) -> DataFrame:
-    """The chunks of docs as a bucketed table."""
-    spark = docs.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"chunks_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
-    chunked(docs, text_col).repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", path).saveAsTable(name)
-    return spark.table(name)
+def store(docs: DataFrame, text_col: str, bytes_a_token: float) -> tuple[DataFrame, int]:
+    """The chunks of docs as a bucketed table, and the number of buckets for exchanges of their tokens.
+
+    The frame knows its files, so the catalog forgets the table at once.
+    """
+    spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    chunk_bytes, buckets = layout(total, bytes_a_token)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // STORED_BYTES)))
+    chunked(docs, text_col, chunk_bytes).repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored, buckets
 
 
 def rows_of(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-def buckets_for(chunks: DataFrame, bytes_a_token: float) -> int:
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(8, int(total / bytes_a_token / BUCKET_TOKENS))
-
-
 def bucket_bounds(tokens: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's tokens begin among sorted tokens, and the end."""
     return np.searchsorted((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))

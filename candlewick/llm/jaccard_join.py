@@ -16,8 +16,8 @@ from candlewick.llm import textops as X
 from candlewick.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Documents that a task indexes and searches together.
-BLOCK = 256
+#: Documents that a task indexes and searches together; of each cluster so many are in all of its blocks.
+BLOCK, PIVOTS = 256, 8
 
 _BYTES_A_TOKEN = 15.0  # of text, for each token that is exchanged
 
@@ -131,7 +131,10 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def _links_in(sets: list[np.ndarray], percent: int) -> list[int]:
-    """Union-find roots of the sets, linked directly or over others of them. The first is tried before a search."""
+    """Union-find roots of the sets, linked directly or over others of them. The first is tried before a search.
+
+    A search leaves out members that are linked already, over others or directly: they change no component.
+    """
     parent, lists = list(range(len(sets))), Lists(sets)
     for q in range(1, len(sets)):
         own = sets[q]
@@ -151,8 +154,7 @@ def _links_in(sets: list[np.ndarray], percent: int) -> list[int]:
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Columns id, n_shingles, and for rows that may have a link: key (of the whole set), tokens (binary, ascending 64-bit)."""
     few = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    chunks = C.store(few, "text")
-    buckets = C.buckets_for(chunks, _BYTES_A_TOKEN)
+    chunks, buckets = C.store(few, "text", _BYTES_A_TOKEN)
 
     def sets_of(rows: pa.RecordBatch):
         part = next(X.slices(rows.column(1), 1 << 62), X.Slice(np.zeros(0, np.uint8), np.zeros(1, np.int64), (0, 0)))
@@ -189,8 +191,7 @@ def covered(sets: DataFrame, percent: int) -> DataFrame:
     Column rare: of the least_overlap complement's size and one more, the shingles that the fewest sets have, without
     those that no other set has. Linked sets have one of these in common, since the order is the same for all.
     """
-    chunks = C.store(sets.select("id", "tokens"), "tokens")
-    buckets = C.buckets_for(chunks, 8.0)
+    chunks, buckets = C.store(sets.select("id", "tokens"), "tokens", 8.0)
 
     def tokens_of(rows: pa.RecordBatch):
         own = rows.column(1).to_pylist()
@@ -232,53 +233,59 @@ def _clusters(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], ["token", "id"])
 
-    tokens = sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint")
-    least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
-    return components(tokens.join(least, "token").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    tokens = C.written(sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint"), "rare")
+    least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    pairs = C.join_each(tokens, least, "token", tokens.count())
+    return components(pairs.where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
 
 
-def _linked(sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) -> DataFrame:
     """Columns a, b: links that join the same sets as all links do. Columns of sets: id, tokens, rare.
 
-    Sets meet only inside a cluster. A cluster is dealt out in blocks, and its least set, the pivot, is in each: sets
-    linked to the pivot inside their blocks are in one component, whatever else links them. Every other set, if there
-    are several blocks, is then searched in all blocks.
+    Sets meet only inside a cluster. A cluster is dealt out in blocks, and some of its sets, the pivots, are in each: what
+    is linked inside different blocks is in one component if a pivot is. The largest component of a cluster of several
+    blocks is settled; every other set, if there are any, is then searched in all blocks.
     """
     clusters = _clusters(sets)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "component").select(
-        F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    total = clusters.count()
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    placed = C.join_each(clusters, sizes, "component", total).select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = C.written(placed.join(sets.select("id", "tokens"), "id"), "members")
-    pivots = members.where("id = cluster and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # small clusters are handled some together
-    mine = members.where("id <> cluster or blocks = 1").unionByName(pivots).withColumn("dealt", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4096))).otherwise(F.xxhash64("cluster", "block")))
+    is_pivot = (F.col("blocks") > 1) & ((F.col("id") == F.col("cluster")) | (F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < pivots))
+    everywhere = members.where(is_pivot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # clusters of one block are handled some together
+    dealt = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(max(64, total // (4 * block))))).otherwise(F.xxhash64("cluster", "block"))
+    mine = members.where(~is_pivot).unionByName(everywhere).select("id", "cluster", "blocks", "block", "tokens", dealt.alias("dealt"))
 
     def inside(rows: pa.Table) -> pa.Table:
-        ids, cluster, which = (np.asarray(rows.column(c)) for c in ("id", "cluster", "block"))
+        ids, cluster, blocks, which = (np.asarray(rows.column(c)) for c in ("id", "cluster", "blocks", "block"))
         order = np.lexsort((ids, ids != cluster, which, cluster))
         tokens = _arrays(rows.column("tokens"))
         cut = np.flatnonzero(np.r_[True, (cluster[order][1:] != cluster[order][:-1]) | (which[order][1:] != which[order][:-1]), True])
-        a, b, settled = [], [], []
+        linked = np.empty(len(ids), np.int64)
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             own = order[i:j]
-            roots = _links_in([tokens[x] for x in own], percent)
-            a.append(ids[own])
-            b.append(ids[own][roots])
-            settled.append(np.array(roots) == roots[0])
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(settled))], ["a", "b", "settled"])
-
-    first = C.written(mine.select("id", "cluster", "block", "tokens", "dealt").groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, settled boolean"), "inside")
-    open_ones = members.where("blocks > 1").join(first.where("not settled").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    counts = open_ones.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    asked = open_ones.join(counts, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "tokens")
-    held = members.join(counts, "cluster").select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("tokens").alias("held_tokens"))
+            linked[own] = ids[own][_links_in([tokens[x] for x in own], percent)]
+        return pa.table([rows.column("id"), pa.array(linked), pa.array(blocks > 1)], ["a", "b", "several"])
+
+    first = C.written(mine.groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, several boolean"), "inside")
+    parts = components(first.where("several").select("a", "b")).select(F.col("node").alias("id"), "component")
+    placed = members.where("blocks > 1").select("id", "cluster", "size").join(parts, "id", "left").select("id", "cluster", "size", F.coalesce("component", "id").alias("component"))
+    placed = C.written(placed, "placed")
+    largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.any_value("size").alias("size"))
+    counts = largest.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("settled"), F.max("n").alias("most"), F.any_value("size").alias("size"))
+    counts = C.written(counts.where("size > most").select("cluster", "settled", F.col("size").alias("n"), F.ceil((F.col("size") - F.col("most")) / block).cast("int").alias("parts")), "open")
+    around = C.join_each(members.where("blocks > 1").select("id", "cluster", "blocks", "block", "tokens"), counts, "cluster", total).join(placed.select("id", "component"), "id")
+    around = C.written(around, "around")
+    asked = around.where("component <> settled").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "component", "tokens")
+    held = around.select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("component").alias("held_in"), F.col("tokens").alias("held_tokens"))
 
     def across(queries: pa.Table, index: pa.Table) -> pa.Table:
-        ids, asks, sets_ = index.column("held_id").to_pylist(), queries.column("id").to_pylist(), _arrays(index.column("held_tokens"))
+        ids, within, sets_ = index.column("held_id").to_pylist(), index.column("held_in").to_pylist(), _arrays(index.column("held_tokens"))
         a, b, lists = [], [], Lists(sets_)
-        for q, own in zip(asks, _arrays(queries.column("tokens")), strict=True):
-            for c, n in divide_skip(lists.of(own), least_overlap(len(own), percent), lambda c: ids[c] == q):
+        for q, mine, own in zip(queries.column("id").to_pylist(), queries.column("component").to_pylist(), _arrays(queries.column("tokens")), strict=True):
+            for c, n in divide_skip(lists.of(own), least_overlap(len(own), percent), lambda c: within[c] == mine):
                 if 100 * n >= percent * (len(own) + len(sets_[c]) - n):
                     a.append(q)
                     b.append(ids[c])
@@ -294,7 +301,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id
     A set holds the distinct windows of 5 words, A to Z in lower case, or with fewer words the whole sequence; null and
     empty texts have an empty set and no link. Rows link when 100 * intersection >= percent * union. Of rows with equal
     sets one stands for all, so copies don't meet; rows with equal ids are one node. A row without an id links with
-    nothing and its component_id is null. Ids are integers; other columns don't matter. Shingles are compared by 64 bits.
+    nothing and its component_id is null. Ids are integers; other columns don't matter. Texts may have any length; a set
+    is held whole in a task. Shingles are compared by 64 bits.
 
     First an exchange of prefix shingles drops rows that can't link, then one of all shingles does among the different
     sets that are left. The others fall into clusters with a prefix shingle in common; inside a cluster, blocks of bounded
@@ -302,9 +310,12 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id
     """
     sets = shingle_sets(docs, id_col, text_col, percent)
     candidates = sets.where("tokens is not null")
-    stand_ins = C.written(candidates.groupBy("key").agg(F.min("id").alias("stand_in")), "keys")
-    own = C.written(candidates.join(stand_ins, "key").where("id = stand_in").groupBy("id", "key").agg(F.any_value("tokens").alias("tokens")), "own")
-    copies = candidates.select("id", "key").join(stand_ins, "key").select(F.col("id").alias("a"), F.col("stand_in").alias("b"))
+    stand_ins = C.written(candidates.groupBy("key").agg(F.min("id").alias("stand_in"), F.count("*").alias("n")), "keys")
+    total = stand_ins.agg(F.sum("n")).first()[0] or 0
+    own = C.join_each(candidates.select("id", "key", "tokens"), stand_ins, "key", total).where("id = stand_in")
+    own = C.written(own.groupBy("id", "key").agg(F.any_value("tokens").alias("tokens")), "own")
+    copies = C.join_each(candidates.select("id", "key"), stand_ins, "key", total).select(F.col("id").alias("a"), F.col("stand_in").alias("b"))
     groups = components(_linked(covered(own, percent), percent, block).union(copies))
     names = [F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")]
-    return sets.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left").select(*names)
+    found = sets.select("id", "n_shingles").where("id is not null").join(groups.withColumnRenamed("node", "id"), "id", "left").select(*names)
+    return found.union(sets.where("id is null").select("id", "n_shingles", F.lit(None).cast("bigint")))

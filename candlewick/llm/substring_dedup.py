@@ -77,7 +77,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with a smaller id; windows are judged on the input. So of a passage that many documents share, the document
     with the smallest id keeps it, and rows with equal ids don't remove each other's words. A row without an id neither
     loses words nor takes any; null and empty texts have no words. Other columns are carried along, whatever their
-    names; ``n_words``, ``n_removed`` and ``kept`` of the input are replaced. Ids are integers.
+    names; ``n_words``, ``n_removed`` and ``kept`` of the input are replaced. Ids are integers. Texts may have any length; one
+    is never cut.
 
     Anchors that no other text has are dropped by an exchange of a few bytes each; only windows around the others are
     compared, by 64-bit hashes, for the least id that has them.
@@ -85,8 +86,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.drop("n_words", "n_removed", "kept")
     fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
-    chunks = C.store(docs, text_col)
-    buckets = C.buckets_for(chunks, _BYTES_A_WORD)
+    chunks, buckets = C.store(docs, text_col, _BYTES_A_WORD)
 
     def passages(blob: bytes) -> tuple[pa.RecordBatch, _Passages, np.ndarray, np.ndarray]:
         rows = C.rows_of(blob)
@@ -141,5 +141,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the text of each row that loses words replaced by the words that stay; a text that loses none is unchanged."""
-    found = substring_dedup(docs, id_col, text_col)
-    return found.withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text_col))).select(docs.columns)
+    own, text = C.numbered(docs), C.number_of(docs, text_col)
+    found = substring_dedup(own, C.number_of(docs, id_col), text)
+    return C.restored(found.withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))), docs)
