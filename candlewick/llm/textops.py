@@ -113,10 +113,20 @@ class Words:
         self.starts, self.ends = edges(~IS_WHITE[part.data], part.offsets)
         self.first = np.searchsorted(self.starts, part.offsets)
         self.hashes = span_hashes(part.data, self.starts, self.ends, LOWER_CODES if lower else CODES)
+        self._running: tuple[np.ndarray, np.ndarray] | None = None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def running(self) -> tuple[np.ndarray, np.ndarray]:
+        """The running sum of a polynomial over the words' hashes, and the powers that bring a term back to power 0."""
+        if self._running is None:
+            up, down = _power_table(len(self.hashes) + 1)
+            total = np.zeros(len(self.hashes) + 1, np.uint64)
+            np.cumsum(self.hashes * up[: len(self.hashes)], out=total[1:])
+            self._running = total, down
+        return self._running
+
     def texts(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
@@ -126,28 +136,28 @@ def _salt(n: int) -> np.uint64:
     return np.uint64(n * int(_STEP) % (1 << 64))
 
 
-_COEFFICIENTS = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of n successive words inside a text, and the index of the first word of each."""
+    """Rolling hashes of all windows of n successive words inside a text, and the index of the first word of each.
+
+    They come from one running sum of a polynomial over the words' hashes, which all lengths share: a window is the
+    difference of two of its entries, brought back to the window's first word.
+    """
     m = len(words.hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h += words.hashes[k : k + m] * _COEFFICIENTS[k]
+    total, down = words.running()
     whole = np.ones(m, bool)
     for i in range(1, n):  # a window that starts fewer than n words before a text's end
         at = words.first[1:-1] - i
         whole[at[(at >= 0) & (at < m)]] = False
     at = np.flatnonzero(whole)
-    return mix(h[at] + _salt(n)), at
+    return mix((total[at + n] - total[at]) * down[at] + _salt(n)), at
 
 
 def fold(hashes: np.ndarray) -> np.ndarray:
-    """The hash of a whole sequence of fewer than 256 words, as ``windows`` gives it for that length."""
-    return mix((hashes * _COEFFICIENTS[: len(hashes)]).sum(keepdims=True, dtype=np.uint64) + _salt(len(hashes)))
+    """The hash of a whole sequence of words, as ``windows`` gives it for that length."""
+    up, _ = _power_table(len(hashes))
+    return mix((hashes * up[: len(hashes)]).sum(keepdims=True, dtype=np.uint64) + _salt(len(hashes)))
 
 
 def spread(firsts: np.ndarray, n: int, size: int) -> np.ndarray:
