@@ -1,18 +1,27 @@
-"""URL filters with DataFrame functions only: host and path rules, and a ratio of character models for the rest."""
+"""URL filters with DataFrame functions only: host and path rules, and a ratio of variable-order character models for the rest."""
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.chunks import written
+from candlewick.llm.samples import FOLDS, HELD_OUT
 
 #: Symbols of a URL in lower case; any other character is one more, and so is the mark before its beginning.
 SYMBOLS = string.ascii_lowercase + string.digits + "/.-_?=&%#:"
+_OTHER, _MARK = "~", "^"
 SIZE = len(SYMBOLS) + 2
-_MARK = "\x02"
+
+#: The most characters of context, and how often a context of the labelled URLs must occur to be used.
+CONTEXT, SUPPORT = 5, 4
+#: What has a share of more than one in HOT of all rows is joined by broadcast, HOT rows at most, instead of by shuffle.
+HOT, HOT_LENGTH = 1000, 4096
+_VERDICTS = ("allow", "block")
+#: Log ratios are summed as integers of this unit, so their order doesn't matter.
+_UNIT = 1_000_000
 
 #: (verdict, host and path) of the fixed rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -41,72 +50,108 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return rule, verdict
 
 
-def _symbol(text: Column, at: Column) -> Column:
-    """The number of a character: that of SYMBOLS and the mark, from 1, else 0."""
-    return F.instr(F.lit(SYMBOLS + _MARK), F.substring(text, at, F.lit(1)))
+def grams(urls: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep, and for each character of url g: it and the CONTEXT symbols before it."""
+    symbols = F.regexp_replace(_lower(F.col("url")), f"[^{SYMBOLS.replace('-', '')}-]", _OTHER)
+    marked = F.concat(F.lit(_MARK * CONTEXT), symbols)
+    return urls.select(*keep, F.explode(F.regexp_extract_all(marked, F.lit(f"(?=(.{{{CONTEXT + 1}}}))"), F.lit(1))).alias("g"))
+
 
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """Columns g, n, n_allow, n_block: how many URLs have a gram, and how many rows of accepted and rejected training URLs.
 
-def grams(urls: DataFrame) -> DataFrame:
-    """The columns of urls, of which url is one, and for each of its characters g: it and the two before it as one number."""
-    marked = urls.withColumn("marked", F.concat(F.lit(_MARK * 2), _lower(F.coalesce("url", F.lit("")))))
-    at = marked.where(F.length("marked") > 2).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("marked") - 2)))
-    m, i = F.col("marked"), F.col("at")
-    g = (_symbol(m, i) * SIZE + _symbol(m, i + 1)) * SIZE + _symbol(m, i + 2)
-    return at.select(*urls.columns, g.cast("bigint").alias("g"))
+    urls: distinct ones, with columns url, given (a verdict or null), rows, trains. The rows are those that the URLs have.
+    """
+    counted = lambda k: F.sum(F.when(F.col("trains") & (F.col("given") == k), F.col("rows")).otherwise(0)).alias(f"n_{k}")
+    return grams(urls, "given", "rows", "trains").groupBy("g").agg(F.count("*").alias("n"), *map(counted, _VERDICTS))
 
 
-def model(labelled: DataFrame) -> DataFrame:
-    """Columns g, w: for each character after two others, the logarithm of its probability in accepted over rejected URLs.
+def model(counts: DataFrame) -> DataFrame:
+    """Columns g, n, w: for each gram of ``gram_counts`` the log ratio of its last symbol's probabilities after the others.
 
-    labelled has columns url, verdict. The models interpolate contexts of two, one and no characters; the weight of the
-    shorter ones follows the number of different characters seen after a context. There are SIZE ** 3 rows at any size.
+    Both models have the contexts that their URLs have, so the table grows with the input. The probability after a context
+    of k symbols mixes its own counts with that after the last k - 1, which weighs as much as the context has different
+    followers; a context that occurs in fewer than SUPPORT training rows is passed over. Each level is computed from the
+    one below by a join in which a key has SIZE rows at most.
+    """
+    level = None
+    for k in range(CONTEXT + 1):
+        own = counts.groupBy(F.substring("g", CONTEXT + 1 - k, k + 1).alias("s")).agg(*(F.sum(f"n_{v}").alias(f"n_{v}") for v in _VERDICTS)) if k < CONTEXT else counts.select(F.col("g").alias("s"), *(f"n_{v}" for v in _VERDICTS))
+        if level is None:
+            total = {v: F.sum(f"n_{v}").over(Window.partitionBy(F.lit(1))) for v in _VERDICTS}  # of SIZE rows
+            level = own.select("s", *(((F.col(f"n_{v}") + 1) / (total[v] + SIZE)).alias(f"p_{v}") for v in _VERDICTS))
+            continue
+        after = Window.partitionBy("context")
+        own = own.withColumn("context", F.substring("s", 1, k))
+        own = own.withColumns({f"t_{v}": F.sum(f"n_{v}").over(after) for v in _VERDICTS} | {f"kinds_{v}": F.count_if(F.col(f"n_{v}") > 0).over(after) for v in _VERDICTS})
+        shorter = level.select(F.col("s").alias("short"), *(F.col(f"p_{v}").alias(f"q_{v}") for v in _VERDICTS))
+        both = own.withColumn("short", F.substring("s", 2, k)).join(shorter, "short")
+        mixed = lambda v: F.when(F.col("t_allow") + F.col("t_block") < SUPPORT, F.col(f"q_{v}")).otherwise((F.col(f"n_{v}") + F.greatest(f"kinds_{v}", F.lit(1)) * F.col(f"q_{v}")) / (F.col(f"t_{v}") + F.greatest(f"kinds_{v}", F.lit(1))))
+        level = both.select("s", *(mixed(v).alias(f"p_{v}") for v in _VERDICTS))
+    weights = level.select(F.col("s").alias("g"), F.round((F.ln("p_allow") - F.ln("p_block")) * _UNIT).cast("bigint").alias("w"))
+    return counts.select("g", "n").join(weights, "g")
+
+
+def url_scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rows of urls with score, the mean log ratio of their characters. Grams that many URLs have are joined by broadcast."""
+    total = weights.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(weights.where(F.col("n") * HOT >= total).select("g", F.col("w").alias("hot_w")))
+    found = grams(urls, "url").join(hot, "g", "left")
+    here = found.where("hot_w is not null").select("url", F.col("hot_w").alias("w"))
+    there = found.where("hot_w is null").select("url", "g").join(weights.where(F.col("n") * HOT < total).select("g", "w"), "g").select("url", "w")
+    partial = lambda rows: rows.groupBy("url").agg(F.sum("w").alias("w"))
+    sums = partial(here).union(partial(there)).groupBy("url").agg(F.sum("w").alias("w"))
+    return urls.join(sums, "url", "left").withColumn("score", F.coalesce(F.col("w") / F.length("url") / _UNIT, F.lit(0.0))).drop("w")
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """The score at an equal number of standard deviations from the means of accepted and rejected URLs, 0 where one kind is missing.
+
+    It is taken from the labelled URLs that don't train the models; of a kind that has none of these, from all.
     """
-    counts = grams(labelled.select("url", "verdict")).groupBy("g").agg(F.count_if(F.col("verdict") == "allow").alias("n_allow"), F.count_if(F.col("verdict") == "block").alias("n_block"))
-    square = SIZE * SIZE
-    cells = labelled.sparkSession.range(0, SIZE**3, 1, 1).withColumnRenamed("id", "g").join(F.broadcast(counts), "g", "left").na.fill(0)
-    grid = written(cells.select("*", F.pmod("g", F.lit(SIZE)).alias("c"), F.pmod("g", F.lit(square)).alias("bc"), F.floor(F.col("g") / SIZE).alias("ab"), F.pmod(F.floor(F.col("g") / SIZE), F.lit(SIZE)).alias("b")), "url-grams")
-    both = ("allow", "block")
-    sums = lambda: [F.sum(f"n_{k}").alias(f"x_{k}") for k in both]
-    seen = lambda key: [e for k in both for e in (F.sum(f"x_{k}").alias(f"{key}_{k}"), F.count_if(F.col(f"x_{k}") > 0).alias(f"{key}_kinds_{k}"))]
-    doubles = grid.groupBy("ab", "g").agg(*sums()).groupBy("ab").agg(*seen("ab"))
-    pairs = grid.groupBy("bc").agg(*sums()).select("bc", *(F.col(f"x_{k}").alias(f"bc_{k}") for k in both))
-    singles = grid.groupBy("b", "c").agg(*sums()).groupBy("b").agg(*seen("b"))
-    each = grid.groupBy("c").agg(*sums()).select("c", *(F.col(f"x_{k}").alias(f"c_{k}") for k in both))
-    total = grid.agg(*sums()).first()
-    mixed = lambda count, of, kinds, shorter: F.when(F.col(of) > 0, (F.col(count) + F.col(kinds) * shorter) / (F.col(of) + F.col(kinds))).otherwise(shorter)
-    logs = {}
-    for k in both:
-        p0 = (F.col(f"c_{k}") + 1) / ((total[f"x_{k}"] or 0) + SIZE)
-        p1 = mixed(f"bc_{k}", f"b_{k}", f"b_kinds_{k}", p0)
-        logs[k] = F.ln(mixed(f"n_{k}", f"ab_{k}", f"ab_kinds_{k}", p1))
-    for t, key in ((doubles, "ab"), (pairs, "bc"), (singles, "b"), (each, "c")):  # SIZE ** 2 rows at most
-        grid = grid.join(F.broadcast(t), key)
-    return grid.select("g", (logs["allow"] - logs["block"]).alias("w"))
+    x, n = F.col("score"), F.col("rows")
+    parts = []
+    for v in _VERDICTS:
+        for held in (True, False):
+            own = (F.col("given") == v) & (~F.col("trains") if held else F.lit(True))
+            parts += [F.sum(F.when(own, e)).alias(f"{v}_{held}_{i}") for i, e in enumerate((n, n * x, n * x * x))]
+    sums = scored.agg(*parts).first()
+    found = []
+    for v in _VERDICTS:
+        rows, first, second = next(([sums[f"{v}_{held}_{i}"] for i in range(3)] for held in (True, False) if sums[f"{v}_{held}_0"]), (0, 0, 0))
+        if not rows:
+            return 0.0
+        found.append((first / rows, max(0.0, second / rows - (first / rows) ** 2) ** 0.5))
+    (a, sa), (b, sb) = found
+    return round((a * sb + b * sa) / (sa + sb) if sa + sb > 0 else (a + b) / 2, 6)
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, url_col: str = "url") -> DataFrame:
-    """The rows of pages with host, path, rule, score, verdict (these names, given and scored_url are replaced).
-
-    The longest rule that fits gives the verdict. URLs with one train the models: accepted and rejected ones. A URL
-    without one is allowed if its score, the mean log ratio of its characters, is at least the threshold; that lies
-    between the mean scores of both samples, at an equal number of standard deviations from either (0 where a sample is
-    missing). Null URLs and those without :// have an empty host and path, so no rule; a null or empty URL scores 0.
-    Repeated rows count as often in the samples. Counts are gathered from all rows; distinct URLs are
-    scored once and joined back.
+    """The rows of pages with host, path, rule, score, verdict (columns of these names and of given, scored_url, hot_score are replaced).
+
+    The longest rule that fits gives the verdict. URLs with one are accepted and rejected samples: four fifths of the
+    different ones, by crc32, train the models, the rest calibrate the threshold. A URL without a rule is allowed if its
+    score, the mean log ratio of its characters, is at least the threshold. Null URLs and those without :// have an empty
+    host and path, so no rule; a null or empty URL scores 0. Repeated rows count as often in the samples; a URL may have
+    any length. Counts are gathered from all rows; distinct URLs are scored once and joined back, those that hold many
+    rows by broadcast.
     """
-    pages = pages.drop("host", "path", "rule", "score", "verdict", "given", "scored_url")
+    pages = pages.drop("host", "path", "rule", "score", "verdict", "given", "scored_url", "hot_score")
     url = F.col(url_col)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "given": verdict})
-    labelled = ruled.where("given is not null").select(url.alias("url"), F.col("given").alias("verdict"))
-    weights = written(model(labelled), "url-model")
-    distinct = ruled.select(url.alias("url")).where("url is not null").distinct()
-    scores = written(grams(distinct).join(F.broadcast(weights), "g").groupBy("url").agg(F.avg("w").alias("score")), "url-scores")
-    known = labelled.join(scores, "url")
-    means = {k: (F.avg(F.when(F.col("verdict") == k, F.col("score"))), F.stddev_pop(F.when(F.col("verdict") == k, F.col("score")))) for k in ("allow", "block")}
-    (a, sa), (b, sb) = means["allow"], means["block"]
-    threshold = known.agg(F.coalesce(F.when(sa + sb > 0, (a * sb + b * sa) / (sa + sb)).otherwise((a + b) / 2), F.lit(0.0))).first()[0]
-    scores = scores.withColumnRenamed("url", "scored_url")
-    scored = ruled.join(scores, url == F.col("scored_url"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    trains = F.crc32(F.col("url").cast("binary")) % FOLDS != HELD_OUT
+    urls = ruled.where(url.isNotNull()).groupBy(url.alias("url"), "given").agg(F.count("*").alias("rows")).withColumn("trains", trains)
+    urls = written(urls, "urls")
+    weights = written(model(written(gram_counts(urls), "url-grams")), "url-model")
+    scores = written(url_scores(urls, weights), "url-scores")
+    threshold, total = threshold_of(scores), scores.agg(F.sum("rows")).first()[0] or 0
+    is_hot = (F.col("rows") * HOT >= total) & (F.length("url") <= HOT_LENGTH)
+    hot = F.broadcast(scores.where(is_hot).select(F.col("url").alias("scored_url"), F.col("score").alias("hot_score")))
+    near = ruled.join(hot, url == F.col("scored_url"), "left").drop("scored_url")
+    missing = F.col("hot_score").isNull() & url.isNotNull()
+    rest = scores.where(~is_hot).select(F.col("url").alias("scored_url"), "score")
+    others = near.where(missing).join(rest, url == F.col("scored_url"), "left").drop("scored_url")
+    scored = near.where(~missing).withColumn("score", F.col("hot_score")).unionByName(others).withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("given", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "score", "verdict")
