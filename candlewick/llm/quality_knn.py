@@ -19,6 +19,7 @@ PER_CLASS, RANK, NEIGHBOURS = 1500, 64, 25
 BLOCK = 256
 
 _PAIRS, _SHAPES, _BINS = 1024, 512, 16
+_PLACES = 100_000
 DIMENSIONS = _PAIRS + _SHAPES + 5 * _BINS
 
 _rng = np.random.default_rng(22)
@@ -45,7 +46,7 @@ def features(part: X.Slice) -> np.ndarray:
     bins = [np.log2(counts["n_words"] + 1), 15 * counts["n_repeat_words"] / words, 15 * counts["line_chars"] / chars, 30 * counts["n_symbols"] / chars, 15 * counts["gram_5_chars"] / chars]
     for k, x in enumerate(bins):
         out[np.arange(n), _PAIRS + _SHAPES + k * _BINS + np.minimum(x.astype(int), _BINS - 1)] = 20
-    return np.log1p(out)
+    return np.log1p(out).astype(np.float16).astype(np.float32)  # as labelled ones are sent
 
 
 @dataclass
@@ -62,15 +63,21 @@ class Space:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def vote(self, x: np.ndarray) -> np.ndarray:
-        """The mean label of the nearest labelled vectors, weighted by the fourth power of their cosines."""
+        """The mean label of the nearest labelled vectors, weighted by the fourth power of their cosines.
+
+        Cosines count to five places; of equal ones the labelled row with the lesser id is nearer. Blocks have one shape,
+        so a text's vote doesn't depend on those beside it.
+        """
         if not len(self.labels):
             return np.full(len(x), 0.5)
-        out = np.empty(len(x))
-        k = min(NEIGHBOURS, len(self.labels))
+        out, n = np.empty(len(x)), len(self.labels)
+        k, block = min(NEIGHBOURS, n), np.zeros((BLOCK, x.shape[1]), np.float32)
         for a in range(0, len(x), BLOCK):
-            near = self.place(x[a : a + BLOCK]) @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6).astype(np.float64) ** 4
+            own = x[a : a + BLOCK]
+            block[: len(own)], block[len(own) :] = own, 0
+            near = np.rint((self.place(block) @ self.vectors.T)[: len(own)] * _PLACES).astype(np.int64)
+            best = np.argpartition(np.arange(n) - near * n, k - 1, axis=1)[:, :k]
+            weight = (np.maximum(np.take_along_axis(near, best, axis=1), 1) / _PLACES) ** 4
             out[a : a + BLOCK] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
         return np.round(np.clip(out, 0, 1), 6)
 
@@ -110,9 +117,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def quality_knn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score (0 to 1, higher: label 1 is likelier).
 
-    Every text is compared with every labelled vector; the vote is that of the 25 nearest. Only text is scored: a null
-    or empty one by its length and lack of words. Without any label the score is 0.5. Null ids count as not held out;
-    repeated ids give a row each; other columns don't matter. The documents aren't shuffled.
+    Every text is compared with every labelled vector; the vote is that of the 25 nearest, of equally near ones those with
+    the lesser ids. Only text is scored, whole and of any length: a null or empty one by its length and lack of words.
+    Without any label the score is 0.5. Null ids count as not held out; repeated ids give a row each; a document labelled
+    more than once has its largest label; other columns don't matter. The documents aren't shuffled.
     """
     space = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, per_class, id_col, text_col))
     few = docs.select(id_col, text_col)
