@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.llm.chunks import number_of, numbered, restored
+
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -31,31 +33,37 @@ KINDS = ("assign", "access", "hex", "random")
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
+def _value(match: Column) -> Column:
+    """The value of an assignment that was matched."""
+    return F.regexp_extract(match, ASSIGN, 2)
+
+
+def _may_assign(text: Column) -> Column:
+    return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+
+
 def _matches(text: Column, pattern: str, kind: str, possible: Column, keep=None) -> Column:
     """The spans of a pattern's matches, leftmost first and not overlapping, from the lengths of what lies between them.
 
-    keep(array of the spans, text): which of them stay.
+    keep(match): whether it stays.
     """
     whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    state = F.named_struct(F.lit("at"), F.lit(0).cast("bigint"), F.lit("i"), F.lit(0), F.lit("spans"), F.array().cast(f"array<{_SPAN}>"))
+    state = F.named_struct(F.lit("at"), F.lit(0).cast("bigint"), F.lit("spans"), F.array().cast(f"array<{_SPAN}>"))
     pairs = F.arrays_zip(whole.alias("m"), F.slice(between, F.lit(1), F.size(whole)).alias("b"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), (s["i"] + 1).alias("i"), F.concat(s["spans"], F.array(span)).alias("spans"))
+        span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
+        spans = F.concat(s["spans"], span)
+        return F.struct(end.alias("at"), (F.when(keep(x["m"]), spans).otherwise(s["spans"]) if keep else spans).alias("spans"))
 
-    spans = F.aggregate(pairs, state, step, lambda s: s["spans"])
-    return F.when(possible, keep(spans) if keep else spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(possible, F.aggregate(pairs, state, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _base(text: Column) -> list[Column]:
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    long_enough = lambda spans: F.filter(spans, lambda x, i: F.length(F.get(values, i)) >= LEAST_VALUE)
-    may_assign = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN)
     return [
-        _matches(text, ASSIGN, "assign", may_assign, long_enough),
+        _matches(text, ASSIGN, "assign", _may_assign(text) & text.rlike(ASSIGN), lambda m: F.length(_value(m)) >= LEAST_VALUE),
         _matches(text, ACCESS, "access", F.contains(text, F.lit("AKIA"))),
         _matches(text, HEX, "hex", text.rlike(HEX)),
     ]
@@ -76,9 +84,10 @@ def model(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keeps an empty table uniform. The table's size is fixed.
     """
     text = F.coalesce(text_col, F.lit(""))
-    values = F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= LEAST_VALUE)
+    values = F.when(_may_assign(text), F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= LEAST_VALUE)).otherwise(F.array().cast("array<string>"))
     found = F.concat(values, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    rest = F.when(_may_assign(text), F.regexp_replace(text, ASSIGN, " ")).otherwise(text)
+    rest = F.regexp_replace(F.when(F.contains(rest, F.lit("AKIA")), F.regexp_replace(rest, ACCESS, " ")).otherwise(rest), HEX, " ")
     ordinary = F.filter(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)), lambda x: (F.length(x) < JUDGED) | ~x.rlike(MIXED))
     label = lambda strings, random: F.transform(strings, lambda x: F.struct(F.lit(random).alias("random"), x.alias("s")))
     strings = docs.select(F.explode(F.concat(label(found, True), label(ordinary, False))).alias("x")).select("x.random", "x.s").where(F.length("s") > 1)
@@ -116,11 +125,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     weights = _table(model(docs, text_col))
     docs = docs.drop("base_spans", "spans")
-    names = docs.columns
+    names, hidden = docs.columns, "apart"
+    while hidden in {n.lower() for n in names}:
+        hidden += "_"
     based = docs.select("*", F.array_sort(F.concat(*_base(text))).alias("base_spans"))
     candidates = _matches(text, CANDIDATE, "random", text.rlike(CANDIDATE))
     apart = F.filter(candidates, lambda x: ~F.exists("base_spans", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    brought = based.select(*names, "base_spans", apart.alias("apart"))
+    brought = based.select(*names, "base_spans", apart.alias(hidden))
 
     def evidence(x: Column, table: Column) -> Column:
         s = F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
@@ -128,7 +139,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         codes = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: a * CODES + b)
         return F.aggregate(codes, F.lit(0.0), lambda total, c: total + F.get(table, c))
 
-    random = F.when(F.size("apart") > 0, F.filter("apart", lambda x: evidence(x, weights) >= LEAST_EVIDENCE)).otherwise(F.col("apart"))
+    random = F.when(F.size(hidden) > 0, F.filter(hidden, lambda x: evidence(x, weights) >= LEAST_EVIDENCE)).otherwise(F.col(hidden))
     return brought.select(*names, "base_spans", F.array_sort(F.concat("base_spans", random)).alias("spans"))
 
 
@@ -138,9 +149,10 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of the text replaced by a mark; overlapping spans get one."""
+    """docs with each secret of the text replaced by a mark; overlapping spans get one. Other columns stay, whatever their names."""
     state = F.named_struct(F.lit("at"), F.lit(0).cast("bigint"), F.lit("out"), F.lit(""))
-    text = F.col(text_col)
+    own, name = numbered(docs), number_of(docs, text_col)
+    text = F.col(name)
 
     def step(s: Column, x: Column) -> Column:
         before = F.substring(text, s["at"].cast("int") + 1, F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
@@ -148,5 +160,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
-    found = scan(docs, text_col)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(docs.columns)
+    return restored(scan(own, name).withColumn(name, F.when(F.size("spans") > 0, clean).otherwise(text)), docs)
