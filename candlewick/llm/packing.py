@@ -105,8 +105,8 @@ class Tokens:
         self.library.no_padding()
 
     def resolve(self, words: list[bytes]) -> list[bytes]:
-        piece = self.core._encode_single_piece
-        return [np.array(piece(w), "<u4").tobytes() for w in words]
+        encode = self.core.encode_ordinary
+        return [np.array(encode(w.decode()), "<u4").tobytes() for w in words]
 
     def with_added(self, texts: pa.Array) -> dict[int, np.ndarray]:
         """The ids of those texts that contain an added token, by position."""
