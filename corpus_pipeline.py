@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import chunks, jaccard_join, packing, quality_rules, secrets, substring_dedup
@@ -11,25 +11,33 @@ from candlewick.llm import chunks, jaccard_join, packing, quality_rules, secrets
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs, carry=tuple(docs.columns)).where("kept").select(docs.columns)
+    own = chunks.numbered(docs)
+    return chunks.restored(quality_rules.quality_rules(own, chunks.number_of(docs, "text"), tuple(own.columns)).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id; of rows with equal ids one. Rows without an id stay."""
-    classes = jaccard_join.jaccard_join(docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return chosen.where("_row = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    """Of each class of linked documents the one with the smallest id; of rows with equal ids the least by text and then the other columns. Rows without an id stay."""
+    own, i = chunks.numbered(docs), chunks.number_of(docs, "doc_id")
+    classes = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
+    others = [chunks.number_of(docs, "text"), *(c for c in own.columns if c not in (i, chunks.number_of(docs, "text")))]
+    one_each = own.where(F.col(i).isNotNull()).groupBy(i).agg(F.min(F.struct(*others)).alias("row")).join(first, i, "left_semi").select(i, "row.*")
+    return chunks.restored(one_each.unionByName(own.where(F.col(i).isNull())), docs)
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is, where there is such a column."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has."""
-    return substring_dedup.trimmed(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _with_length(substring_dedup.trimmed(docs))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a mark."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _with_length(secrets.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
