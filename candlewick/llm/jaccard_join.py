@@ -233,10 +233,9 @@ def _clusters(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], ["token", "id"])
 
-    tokens = C.written(sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint"), "rare")
-    least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = C.join_each(tokens, least, "token", tokens.count())
-    return components(pairs.where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    tokens = sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint")
+    least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
+    return components(tokens.join(least, "token").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
 
 
 def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) -> DataFrame:
@@ -248,8 +247,8 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
     """
     clusters = _clusters(sets)
     total = clusters.count()
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
-    placed = C.join_each(clusters, sizes, "component", total).select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = C.written(placed.join(sets.select("id", "tokens"), "id"), "members")
     is_pivot = (F.col("blocks") > 1) & ((F.col("id") == F.col("cluster")) | (F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < pivots))
