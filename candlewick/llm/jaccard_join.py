@@ -275,16 +275,16 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
     largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.any_value("size").alias("size"))
     counts = largest.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("settled"), F.max("n").alias("most"), F.any_value("size").alias("size"))
     counts = C.written(counts.where("size > most").select("cluster", "settled", F.col("size").alias("n"), F.ceil((F.col("size") - F.col("most")) / block).cast("int").alias("parts")), "open")
-    around = C.join_each(members.where("blocks > 1").select("id", "cluster", "blocks", "block", "tokens"), counts, "cluster", total).join(placed.select("id", "component"), "id")
-    around = C.written(around, "around")
-    asked = around.where("component <> settled").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "component", "tokens")
-    held = around.select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("component").alias("held_in"), F.col("tokens").alias("held_tokens"))
+    open_ones = placed.join(counts.select("cluster", "settled"), "cluster").where("component <> settled").select("id")
+    around = C.join_each(members.where("blocks > 1").select("id", "cluster", "blocks", "block", "tokens"), counts.drop("settled"), "cluster", total)
+    asked = around.join(open_ones, "id", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "tokens")
+    held = around.select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("tokens").alias("held_tokens"))
 
     def across(queries: pa.Table, index: pa.Table) -> pa.Table:
-        ids, within, sets_ = index.column("held_id").to_pylist(), index.column("held_in").to_pylist(), _arrays(index.column("held_tokens"))
+        ids, sets_ = index.column("held_id").to_pylist(), _arrays(index.column("held_tokens"))
         a, b, lists = [], [], Lists(sets_)
-        for q, mine, own in zip(queries.column("id").to_pylist(), queries.column("component").to_pylist(), _arrays(queries.column("tokens")), strict=True):
-            for c, n in divide_skip(lists.of(own), least_overlap(len(own), percent), lambda c: within[c] == mine):
+        for q, own in zip(queries.column("id").to_pylist(), _arrays(queries.column("tokens")), strict=True):
+            for c, n in divide_skip(lists.of(own), least_overlap(len(own), percent), lambda c: ids[c] == q):
                 if 100 * n >= percent * (len(own) + len(sets_[c]) - n):
                     a.append(q)
                     b.append(ids[c])
@@ -309,11 +309,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id
     """
     sets = shingle_sets(docs, id_col, text_col, percent)
     candidates = sets.where("tokens is not null")
-    stand_ins = C.written(candidates.groupBy("key").agg(F.min("id").alias("stand_in"), F.count("*").alias("n")), "keys")
-    total = stand_ins.agg(F.sum("n")).first()[0] or 0
-    own = C.join_each(candidates.select("id", "key", "tokens"), stand_ins, "key", total).where("id = stand_in")
-    own = C.written(own.groupBy("id", "key").agg(F.any_value("tokens").alias("tokens")), "own")
-    copies = C.join_each(candidates.select("id", "key"), stand_ins, "key", total).select(F.col("id").alias("a"), F.col("stand_in").alias("b"))
+    own = C.written(candidates.groupBy("key").agg(F.min("id").alias("stand_in"), F.any_value("tokens").alias("tokens"), F.count("*").alias("n")), "own")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    copies = C.join_each(candidates.select("id", "key"), own.select("key", "stand_in", "n"), "key", total).select(F.col("id").alias("a"), F.col("stand_in").alias("b"))
+    own = own.select(F.col("stand_in").alias("id"), "tokens")
     groups = components(_linked(covered(own, percent), percent, block).union(copies))
     names = [F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")]
     found = sets.select("id", "n_shingles").where("id is not null").join(groups.withColumnRenamed("node", "id"), "id", "left").select(*names)
