@@ -35,14 +35,19 @@ def wider_candles(candles: DataFrame, interval: str) -> DataFrame:
     return out.withColumn("end_timestamp_ms", F.col("start_timestamp_ms") + ms)
 
 
-def multi_interval_candles(trades: DataFrame, intervals: tuple[str, ...] = ("1m", "5m", "15m", "1H", "4H", "1D")) -> DataFrame:
-    """Candles of several intervals, the trades read once: each from the widest one before that divides it."""
-    made: dict[str, DataFrame] = {}
-    for name in sorted(intervals, key=INTERVALS.get):
-        finer = [n for n in made if INTERVALS[name] % INTERVALS[n] == 0]
-        made[name] = wider_candles(made[finer[-1]], name) if finer else time_candles(trades, name)
+def multi_interval_candles(trades: DataFrame, intervals: tuple[str, ...] = tuple(INTERVALS)) -> DataFrame:
+    """Candles of several intervals, the trades read once: each from a finer one that divides it.
+
+    The finest, and each that is at least 60 times wider than the last one kept, are written and read again.
+    """
+    kept: list[tuple[str, DataFrame]] = []
     out = None
-    for name, df in made.items():
+    for name in sorted(intervals, key=INTERVALS.get):
+        finer = [k for k in kept if INTERVALS[name] % INTERVALS[k[0]] == 0]
+        df = wider_candles(finer[-1][1], name) if finer else time_candles(trades, name)
+        if not finer or INTERVALS[name] >= 60 * INTERVALS[finer[-1][0]]:
+            df = scan.saved(df)
+            kept.append((name, df))
         df = df.withColumn("interval", F.lit(name))
         out = df if out is None else out.unionByName(df)
     return out
@@ -59,14 +64,14 @@ def aggregate_bars(bars: DataFrame, scale: int, chunks: int | None = None) -> Da
 
 
 def bar_pyramid(bars: DataFrame, scales: list[int] | None = None, chunks: int | None = None) -> DataFrame:
-    """All scales, each from the one before; bars are numbered once."""
-    level, out = bar_index(bars, chunks), None
-    before = 1
+    """All scales; bars are numbered once. Every 64-fold one is written, and those up to the next one are made from it."""
+    level, base, out = scan.saved(bar_index(bars, chunks)), 1, None
     for scale in scales or SCALES:
-        if scale != before:
-            level = level.groupBy("symbol", F.floor(F.col("bar_index") / (scale // before)).alias("bar_index")).agg(*runs.bar_aggregates())
-            before = scale
-        one = level.drop("bar_index").withColumn("scale", F.lit(scale))
+        wider = level if scale == base else level.groupBy("symbol", F.floor(F.col("bar_index") / (scale // base)).alias("bar_index")).agg(*runs.bar_aggregates())
+        if scale == 64 * base:
+            level, base = scan.saved(wider), scale
+            wider = level
+        one = wider.drop("bar_index").withColumn("scale", F.lit(scale))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -90,14 +95,15 @@ def chart_fetch_limit(scale: int, requested: int, offset: int = 0, cap: int = 10
 
 def horizon_time_stats(bars: DataFrame, horizons: list[int] | None = None, chunks: int | None = None) -> DataFrame:
     """Of the time spans of each number of successive bars: least, largest, sample deviation, mean, count; too long ones are left out."""
-    own = bar_index(bars, chunks).select("symbol", "bar_index", "start_timestamp_ms", "end_timestamp_ms")
-    out = None
-    for n in horizons or [2**i for i in range(1, 11)]:
-        first = own.select("symbol", (F.col("bar_index") + n - 1).alias("bar_index"), F.col("start_timestamp_ms").alias("_from"))
-        spans = own.join(first, ["symbol", "bar_index"]).withColumn("span", F.col("start_timestamp_ms") - F.col("_from"))
-        one = spans.groupBy("symbol").agg(F.min("span").alias("min_ms"), F.max("span").alias("max_ms"), F.stddev_samp("span").alias("std_ms"), F.avg("span").alias("mean_ms"), F.count("*").alias("n")).withColumn("horizon", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    horizons = horizons or [2**i for i in range(1, 11)]
+    own = bar_index(bars.select("symbol", "start_trade_id", "start_timestamp_ms"), chunks)
+    w = Window.partitionBy("symbol", "_block").orderBy("bar_index")
+    rows = scan.blocks(own, ["symbol"], "bar_index", max(horizons))
+    rows = rows.withColumns({f"_{n}": F.col("start_timestamp_ms") - F.lag("start_timestamp_ms", n - 1).over(w) for n in horizons}).where("not _halo")
+    of = {"min_ms": F.min, "max_ms": F.max, "std_ms": F.stddev_samp, "mean_ms": F.avg, "n": F.count}
+    each = rows.groupBy("symbol").agg(*(f(f"_{n}").alias(f"{k}_{n}") for n in horizons for k, f in of.items()))
+    one = F.array(*(F.struct(*(F.col(f"{k}_{n}").alias(k) for k in of), F.lit(n).alias("horizon")) for n in horizons))
+    return each.select("symbol", F.explode(one).alias("h")).select("symbol", "h.*").where("n > 0")
 
 
 def velocity_trades_count(trades: DataFrame, ms: int = 100) -> DataFrame:
@@ -115,5 +121,5 @@ def count_bars_since(bars: DataFrame, entries: DataFrame) -> DataFrame:
     """For each (symbol, start_trade_id) of entries the number of bars from it on: one union, running counts from the new end."""
     both = bars.select("symbol", "start_trade_id", F.lit(1).alias("_bar")).unionByName(entries.select("symbol", "start_trade_id", F.lit(0).alias("_bar")).distinct())
     total = bars.groupBy("symbol").agg(F.count("*").alias("_n"))
-    counted = scan.running_sum(both, ["symbol"], ["start_trade_id", "_bar"], {"_upto": F.col("_bar")})
+    counted = scan.step(both, ["symbol"], ["start_trade_id", "_bar"], sums={"_upto": F.col("_bar")})
     return counted.where("_bar = 0").join(total, "symbol").select("symbol", "start_trade_id", (F.col("_n") - F.col("_upto")).alias("bars"))

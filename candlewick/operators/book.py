@@ -8,6 +8,7 @@ from __future__ import annotations
 import bisect
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ def data_sets(events: DataFrame, keep_open: bool = False, chunks: int | None = N
     Only narrow rows (symbol, time, id, action) are ordered; events before the first snapshot belong nowhere.
     """
     narrow = events.groupBy(*SYMBOL, *ORDER).agg(F.max(F.col("action") == "Snapshot").alias("_snap"))
-    counted = scan.running_sum(narrow, SYMBOL, ORDER, {"_n": F.col("_snap").cast("bigint")}, chunks)
+    narrow = scan.saved(narrow)
+    counted = scan.step(narrow, SYMBOL, ORDER, sums={"_n": F.col("_snap").cast("bigint")}, chunks=chunks)
     last = narrow.groupBy("symbol").agg(F.count_if("_snap").alias("_last"))
     own = counted.join(last, "symbol").where("_n > 0" if keep_open else "_n > 0 and _n < _last")
     return events.join(own.select(*SYMBOL, *ORDER, (F.col("_n") - 1).alias("data_set_idx")), [*SYMBOL, *ORDER])
@@ -100,45 +102,64 @@ class _Side:
         return self.quantity, self.volume, p[-1], p[0], q[-1], q[0], v[-1], v[0]
 
 
-def state_stats(changes: DataFrame) -> DataFrame:
+def _segments(changes: DataFrame, rows: int, chunks: int | None) -> DataFrame:
+    """The changes with _segment: successive events of a data set, so many changes or fewer a segment, and one event whole; and
+    before each segment but the first of a data set the levels that live at its beginning, as changes without an event.
+    """
+    numbered = scan.step(changes.groupBy(*SYMBOL, "data_set_idx", *ORDER).agg(F.count("*").alias("_changes")), SYMBOL, ORDER, sums={"_upto": F.col("_changes")}, chunks=chunks)
+    keys = ["symbol", "data_set_idx", *ORDER]
+    own = scan.saved(changes.join(numbered.select(*keys, F.floor((F.col("_upto") - F.col("_changes")) / rows).cast("bigint").alias("_segment")), keys))
+    level = ["symbol", "data_set_idx", "side", "price"]
+    last = own.groupBy(*level, "_segment").agg(F.max_by("quantity", F.struct(*ORDER, "position")).alias("quantity"))
+    ends = own.groupBy("symbol", "data_set_idx").agg(F.max("_segment").alias("_most"))
+    until = F.coalesce(F.lead("_segment").over(Window.partitionBy(*level).orderBy("_segment")), F.col("_most"))
+    lives = last.join(ends, ["symbol", "data_set_idx"]).withColumn("_until", until).where("quantity <> 0 and _until > _segment")
+    seeds = lives.select(*level, "quantity", F.explode(F.sequence(F.col("_segment") + 1, "_until")).alias("_segment"))
+    return own.unionByName(seeds, allowMissingColumns=True)
+
+
+def state_stats(changes: DataFrame, rows: int = 200_000, chunks: int | None = None) -> DataFrame:
     """At each event the statistics of the live levels of both sides (ask_total_quantity, ... bid_min_volume).
 
-    Data sets are replayed in order, each in its own group; sums are exact, in units of 1e-8.
+    Data sets are cut into segments of about so many rows, each replayed in order in its own group from the levels that
+    live at its beginning. Sums are exact, in units of 1e-8.
     """
     unit = 10**8
     names = [f"{s}_{x}" for s in ("ask", "bid") for x in STATS]
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("timestamp_ms", "ascending"), ("event_id", "ascending"), ("position", "ascending")])
-        sides, out, before = {"ask": _Side(), "bid": _Side()}, [], None
+        rows = rows.combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [("timestamp_ms", "ascending"), ("event_id", "ascending"), ("position", "ascending")], null_placement="at_start"))
+        sides, out, before = {"ask": _Side(), "bid": _Side()}, [], (None, None)
 
         def emit() -> None:
-            if before is not None:
+            if before[1] is not None:
                 out.append((*before, *sides["ask"].stats(), *sides["bid"].stats()))
 
-        columns = zip(*(rows.column(c).to_pylist() for c in ("timestamp_ms", "event_id", "side", "price", "quantity")), strict=True)
-        for ts, event, side, price, quantity in columns:
+        for ts, event, side, price, quantity in zip(*(rows.column(c).to_pylist() for c in ("timestamp_ms", "event_id", "side", "price", "quantity")), strict=True):
             if (ts, event) != before:
                 emit()
                 before = ts, event
-            sides[side].set(int(price * unit), int(quantity * unit))
+            sides[side].set(price, quantity)
         emit()
         key = [rows.column(c)[0].as_py() for c in ("symbol", "data_set_idx")]
-        columns = list(zip(*out, strict=True))
+        columns = list(zip(*out, strict=True)) or [()] * (2 + len(names))
         scale = {n: unit * unit if n.endswith("volume") else unit for n in names}
         made = [pa.array([None if x is None else x / scale[n] for x in col], pa.float64()) for n, col in zip(names, columns[2:], strict=True)]
-        return pa.table([pa.array([key[0]] * len(out)), pa.array([key[1]] * len(out), pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *made], ["symbol", "data_set_idx", *ORDER, *names])
+        return pa.table([pa.array([key[0]] * len(out), pa.string()), pa.array([key[1]] * len(out), pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *made], ["symbol", "data_set_idx", *ORDER, *names])
 
     own = changes if "position" in changes.columns else changes.withColumn("position", F.lit(0))
+    units = lambda c: (F.col(c) * unit).cast("bigint").alias(c)
+    own = _segments(own.select("symbol", "data_set_idx", *ORDER, "side", "position", units("price"), units("quantity")), rows, chunks)
     schema = "symbol string, data_set_idx bigint, timestamp_ms bigint, event_id bigint, " + ", ".join(f"{n} double" for n in names)
-    return own.select("symbol", "data_set_idx", *ORDER, "side", "position", "price", "quantity").groupBy("symbol", "data_set_idx").applyInArrow(run, schema)
+    return own.groupBy("symbol", "data_set_idx", "_segment").applyInArrow(run, schema)
 
 
-def intervals(events: DataFrame) -> DataFrame:
+def intervals(events: DataFrame, chunks: int | None = None) -> DataFrame:
     """Pairs of successive events of a data set: start and end times and the end's id."""
     narrow = events.select("symbol", "data_set_idx", *ORDER).distinct()
-    w = Window.partitionBy("symbol", "data_set_idx").orderBy(*ORDER)
-    return narrow.select("symbol", "data_set_idx", F.lag("timestamp_ms").over(w).alias("start_timestamp_ms"), F.lag("event_id").over(w).alias("start_event_id"), F.col("timestamp_ms").alias("end_timestamp_ms"), F.col("event_id").alias("end_event_id")).where("start_event_id is not null")
+    pairs = scan.step(narrow, SYMBOL, ORDER, previous={"start_timestamp_ms": "timestamp_ms", "start_event_id": "event_id", "_set": "data_set_idx"}, chunks=chunks)
+    return pairs.where("_set = data_set_idx").select("symbol", "data_set_idx", "start_timestamp_ms", "start_event_id", F.col("timestamp_ms").alias("end_timestamp_ms"), F.col("event_id").alias("end_event_id"))
 
 
 def trades_in_intervals(trades: DataFrame, events: DataFrame, chunks: int | None = None) -> DataFrame:
@@ -146,10 +167,10 @@ def trades_in_intervals(trades: DataFrame, events: DataFrame, chunks: int | None
 
     Of events with one time only the last begins an interval of some length. Other trades belong nowhere.
     """
-    starts = intervals(events).where("end_timestamp_ms > start_timestamp_ms").select("symbol", F.col("start_timestamp_ms").alias("timestamp_ms"), F.lit(0).alias("_kind"), F.struct("data_set_idx", "start_timestamp_ms", "start_event_id", "end_timestamp_ms", "end_event_id").alias("_i"))
+    starts = intervals(events, chunks).where("end_timestamp_ms > start_timestamp_ms").select("symbol", F.col("start_timestamp_ms").alias("timestamp_ms"), F.lit(0).alias("_kind"), F.struct("data_set_idx", "start_timestamp_ms", "start_event_id", "end_timestamp_ms", "end_event_id").alias("_i"))
     mine = trades.select("symbol", "timestamp_ms", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_i"].dataType).alias("_i"), *(c for c in trades.columns if c not in ("symbol", "timestamp_ms")))
     both = starts.unionByName(mine, allowMissingColumns=True)
-    known = scan.last_known(both, SYMBOL, ["timestamp_ms", "_kind"], {"_in": F.col("_i")}, chunks)
+    known = scan.step(both, SYMBOL, ["timestamp_ms", "_kind"], known={"_in": F.col("_i")}, chunks=chunks)
     return known.where((F.col("_kind") == 1) & (F.col("timestamp_ms") < F.col("_in.end_timestamp_ms"))).select(*trades.columns, "_in.*")
 
 
@@ -169,7 +190,8 @@ def interval_records(trades: DataFrame, changes: DataFrame, carry_empty_interval
     changes: level changes with data_set_idx. record_idx counts the records of a data set. With carry_empty_intervals a
     record starts where the one before it in the data set ended, over all intervals without trades between them.
     """
-    stats = state_stats(changes)
+    changes = scan.saved(changes)
+    stats = scan.saved(state_stats(changes, chunks=chunks))
     as_of = lambda e: stats.select("symbol", "data_set_idx", F.col("event_id").alias(f"{e}_event_id"), *(F.col(f"{s}_{x}").alias(_record_name(e, s, x)) for s in ("ask", "bid") for x in STATS))
     mine = interval_trade_stats(trades, changes, chunks).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
     w = Window.partitionBy("symbol", "data_set_idx").orderBy("end_timestamp_ms", "end_event_id")
@@ -200,7 +222,7 @@ def _record_name(end: str, side: str, stat: str) -> str:
 
 def sequence_check(messages: DataFrame, chunks: int | None = None) -> DataFrame:
     """Messages that break the chain: an update whose prev_seq_id isn't the seq_id before, a snapshot whose prev_seq_id isn't -1."""
-    own = scan.previous(messages, SYMBOL, ORDER, {"_seq": "seq_id"}, chunks)
+    own = scan.step(messages, SYMBOL, ORDER, previous={"_seq": "seq_id"}, chunks=chunks)
     broken = F.when(F.col("action") == "Snapshot", F.col("prev_seq_id") != -1).otherwise(F.coalesce(F.col("prev_seq_id") != F.col("_seq"), F.lit(True)))
     return own.where(broken).withColumnRenamed("_seq", "expected_seq_id")
 
@@ -209,7 +231,7 @@ def asof(left: DataFrame, right: DataFrame, left_ms: str, right_ms: str, right_i
     """left with the id of right's latest row at or before its time, else right's first id. Ties of right: the largest id."""
     marks = right.select("symbol", F.col(right_ms).alias("_ms"), F.lit(0).alias("_kind"), F.col(right_id).alias("_id"))
     rows = left.select("symbol", F.col(left_ms).alias("_ms"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_id"), F.struct(*left.columns).alias("_row"))
-    known = scan.last_known(marks.unionByName(rows, allowMissingColumns=True), SYMBOL, ["_ms", "_kind", "_id"], {"_known": F.col("_id")}, chunks)
+    known = scan.step(marks.unionByName(rows, allowMissingColumns=True), SYMBOL, ["_ms", "_kind", "_id"], known={"_known": F.col("_id")}, chunks=chunks)
     first = right.groupBy("symbol").agg(F.min(right_id).alias("_first"))
     return known.where("_kind = 1").join(first, "symbol", "left").select("_row.*", F.coalesce("_known", "_first").alias(name))
 
@@ -219,9 +241,10 @@ def latest_snapshot(events: DataFrame, times: DataFrame, chunks: int | None = No
     snaps = events.where("action = 'Snapshot'").select("symbol", "timestamp_ms").distinct()
     asked = times.select("symbol", "timestamp_ms").distinct()
     marks = snaps.select("symbol", "timestamp_ms", F.lit(1).alias("_kind")).unionByName(asked.select("symbol", "timestamp_ms", F.lit(0).alias("_kind")))
-    before = scan.last_known(marks.withColumn("_k", 1 - F.col("_kind")), SYMBOL, ["timestamp_ms", "_k"], {"last_at_or_before": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks).where("_kind = 0")
+    marks = scan.saved(marks)
+    before = scan.step(marks.withColumn("_k", 1 - F.col("_kind")), SYMBOL, ["timestamp_ms", "_k"], known={"last_at_or_before": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks=chunks).where("_kind = 0")
     back = marks.withColumns({"_t": -F.col("timestamp_ms"), "_k": 1 - F.col("_kind")})
-    at = scan.last_known(back, SYMBOL, ["_t", "_k"], {"first_at_or_after": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks).where("_kind = 0")
-    after = scan.last_known(back, SYMBOL, ["_t", "_kind"], {"next_after": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks).where("_kind = 0")
+    at = scan.step(back, SYMBOL, ["_t", "_k"], known={"first_at_or_after": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks=chunks).where("_kind = 0")
+    after = scan.step(back, SYMBOL, ["_t", "_kind"], known={"next_after": F.when(F.col("_kind") == 1, F.col("timestamp_ms"))}, chunks=chunks).where("_kind = 0")
     keys = ["symbol", "timestamp_ms"]
     return before.select(*keys, "last_at_or_before").join(at.select(*keys, "first_at_or_after"), keys).join(after.select(*keys, "next_after"), keys)

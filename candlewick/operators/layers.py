@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,53 +37,109 @@ def trade_volume_profile(trades: DataFrame) -> DataFrame:
     return own.groupBy("symbol", F.when(F.col("is_buy"), "bid").otherwise("ask").alias("side"), x.alias("x"), y.alias("y")).agg(F.sum(trade_volume()).alias("value"))
 
 
+def first_cover(low: np.ndarray, high: np.ndarray, since: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """For each price the first range at or after its place since that has it, else the number of ranges.
+
+    The ranges of successive nodes meet, so a pair's joint range has a price only if one of the two has it. All searches
+    climb a tree of pairs side by side, over the next node of each level, and come down where one has the price.
+    """
+    n = len(low)
+    lows, highs = [low], [high]
+    while len(lows[-1]) > 1:
+        x, y = (np.append(v, pad) if len(v) % 2 else v for v, pad in ((lows[-1], np.inf), (highs[-1], -np.inf)))
+        lows.append(np.minimum(x[::2], x[1::2]))
+        highs.append(np.maximum(y[::2], y[1::2]))
+    at, level, found = since.astype(np.int64).copy(), np.zeros(len(since), np.int64), np.full(len(since), n)
+    climbing = np.ones(len(since), bool)
+    alive = np.arange(len(since))[at < n]
+    while len(alive):
+        sizes = np.array([len(v) for v in lows])[level[alive]]
+        alive = alive[at[alive] < sizes]
+        has = np.zeros(len(alive), bool)
+        for h in np.unique(level[alive]).tolist():
+            mine = level[alive] == h
+            i = alive[mine]
+            has[mine] = (lows[h][at[i]] <= price[i]) & (price[i] <= highs[h][at[i]])
+        hit, miss = alive[has], alive[~has]
+        found[hit[level[hit] == 0]] = at[hit[level[hit] == 0]]
+        down = hit[level[hit] > 0]
+        level[down] -= 1
+        at[down] *= 2
+        climbing[down] = False
+        at[miss] += 1
+        up = miss[climbing[miss] & (at[miss] % 2 == 0)]
+        up = up[level[up] + 1 < len(lows)]
+        at[up] //= 2
+        level[up] += 1
+        alive = np.concatenate([down, miss])
+    return found
+
+
+_FANOUT = 64
+
+
+def _first_later(still: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Columns of still (symbol, _chunk, price, ...) and _later, its first later chunk whose range has the price; others are left out.
+
+    The chunks of a symbol form a tree of 64 children a node; a level looks at the later siblings of its node on each floor,
+    then at the children of the first node that has its price: 63 and 64 rows at most for each level and floor.
+    """
+    floors, top = [ranges], ranges.agg(F.max("_node")).first()[0] or 0
+    while top > 0:
+        top //= _FANOUT
+        upper = floors[-1].groupBy("symbol", F.floor(F.col("_node") / _FANOUT).cast("bigint").alias("_node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        floors.append(scan.saved(upper))
+    own, found = still.withColumn("_place", F.col("_chunk")), None
+    for h, floor in enumerate(floors[:-1]):
+        nodes = floor.withColumn("_parent", F.floor(F.col("_node") / _FANOUT).cast("bigint"))
+        hit = own.withColumn("_parent", F.floor(F.col("_place") / _FANOUT).cast("bigint")).join(nodes, ["symbol", "_parent"]).where("_node > _place and price between low and high")
+        hit = hit.groupBy(*still.columns).agg(F.min("_node").alias("_later"))
+        own = scan.saved(own.join(hit.select(*still.columns), still.columns, "left_anti").withColumn("_place", F.floor(F.col("_place") / _FANOUT).cast("bigint")))
+        for below in reversed(floors[:h]):
+            children = below.withColumn("_later", F.floor(F.col("_node") / _FANOUT).cast("bigint"))
+            hit = hit.join(children, ["symbol", "_later"]).where("price between low and high").groupBy(*still.columns).agg(F.min("_node").alias("_later"))
+        found = hit if found is None else found.unionByName(hit)
+    return still.withColumn("_later", F.lit(None).cast("bigint")).limit(0) if found is None else found
+
+
 def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = None) -> DataFrame:
     """From each end of each line a level at its price, until the start of the first later line that covers the price, else until last_ids' max_trade_id.
 
-    Chunks are solved alone, with the open prices in a sorted list. What stays open goes to the first later chunk whose
-    range has the price; the lines of a chunk join end to end, so one of them covers it. order counts a symbol's lines.
+    A line without a step has one level, from its start. Chunks are solved alone; what stays open goes to the first later
+    chunk whose range has the price: lines join end to end, so one of that chunk's lines covers it.
     """
     narrow = lines.select("symbol", "start_trade_id", "end_trade_id", F.col("start_price").cast("double").alias("start_price"), F.col("end_price").cast("double").alias("end_price"))
-    own = scan.chunked(scan.saved(narrow), "start_trade_id", chunks)
+    own = scan.saved(scan.chunked(scan.saved(narrow), "start_trade_id", chunks))
     schema = "symbol string, _chunk bigint, price double, start_trade_id bigint, end_trade_id bigint"
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_trade_id", "end_trade_id"])
-        prices, starts, out = [], [], []
-        for a, b, p, q in rows[["start_trade_id", "end_trade_id", "start_price", "end_price"]].itertuples(index=False, name=None):
-            i, j = bisect.bisect_left(prices, min(p, q)), bisect.bisect_right(prices, max(p, q))
-            out.extend((price, start, a) for price, start in zip(prices[i:j], starts[i:j], strict=True))
-            del prices[i:j], starts[i:j]
-            for price, start in ((q, b), (p, a)):
-                at = bisect.bisect_left(prices, price)
-                if at == len(prices) or prices[at] != price:
-                    prices.insert(at, price)
-                    starts.insert(at, start)
-                else:
-                    starts[at] = start
-        out.extend((price, start, None) for price, start in zip(prices, starts, strict=True))
-        made = pd.DataFrame(out, columns=["price", "start_trade_id", "end_trade_id"])
-        made.insert(0, "_chunk", rows["_chunk"].iloc[0])
-        made.insert(0, "symbol", rows["symbol"].iloc[0])
-        return made.astype({"end_trade_id": "Int64"})
-
-    first = scan.saved(own.groupBy("symbol", "_chunk").applyInPandas(solve, schema))
-    ranges = own.groupBy("symbol", "_chunk").agg(F.min(F.least("start_price", "end_price")).alias("low"), F.max(F.greatest("start_price", "end_price")).alias("high"))
-    ranges = ranges.select("symbol", F.col("_chunk").alias("_later"), "low", "high")
+    def ordered(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        rows = rows.combine_chunks().sort_by([("start_trade_id", "ascending"), ("end_trade_id", "ascending")])
+        p, q = (rows.column(c).to_numpy() for c in ("start_price", "end_price"))
+        return rows.column("start_trade_id").to_numpy(), rows.column("end_trade_id").to_numpy(), p, q, np.minimum(p, q), np.maximum(p, q)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        a, b, p, q, low, high = ordered(rows)
+        steps = np.flatnonzero(p != q)
+        at, price = np.concatenate([np.arange(len(a)), steps]), np.concatenate([p, q[steps]])
+        until = first_cover(low, high, at + 1, price)
+        ends = pa.array(np.append(a, 0)[until], pa.int64(), mask=until == len(a))
+        n = len(at)
+        return pa.table([pa.array([rows.column("symbol")[0].as_py()] * n, pa.string()), pa.array(np.full(n, rows.column("_chunk")[0].as_py())), pa.array(price), pa.array(np.concatenate([a, b[steps]])), ends], ["symbol", "_chunk", "price", "start_trade_id", "end_trade_id"])
+
+    first = scan.saved(own.groupBy("symbol", "_chunk").applyInArrow(solve, schema))
+    ranges = scan.saved(own.groupBy("symbol", F.col("_chunk").alias("_node")).agg(F.min(F.least("start_price", "end_price")).alias("low"), F.max(F.greatest("start_price", "end_price")).alias("high")))
     still = first.where("end_trade_id is null").drop("end_trade_id")
-    later = still.join(ranges, "symbol").where("_later > _chunk and price between low and high").groupBy("symbol", "_chunk", "price", "start_trade_id").agg(F.min("_later").alias("_later"))
+    later = scan.saved(_first_later(still, ranges))
 
-    def close(key: tuple, levels: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_trade_id", "end_trade_id"])
-        low, high = rows[["start_price", "end_price"]].min(axis=1).to_numpy(), rows[["start_price", "end_price"]].max(axis=1).to_numpy()
-        starts, ends = rows["start_trade_id"].to_numpy(), []
-        for p in levels["price"]:
-            ends.append(starts[((low <= p) & (p <= high)).argmax()])
-        return pd.DataFrame({"symbol": levels["symbol"], "_chunk": levels["_chunk"], "price": levels["price"], "start_trade_id": levels["start_trade_id"], "end_trade_id": ends})
+    def close(levels: pa.Table, rows: pa.Table) -> pa.Table:
+        a, _, _, _, low, high = ordered(rows)
+        price = levels.column("price").to_numpy()
+        ends = a[first_cover(low, high, np.zeros(len(price), np.int64), price)] if len(a) else np.zeros(0, np.int64)
+        return pa.table([*(levels.column(c) for c in ("symbol", "_chunk", "price", "start_trade_id")), pa.array(ends)], ["symbol", "_chunk", "price", "start_trade_id", "end_trade_id"])
 
     renamed = own.select(F.col("symbol").alias("s"), F.col("_chunk").alias("c"), "start_trade_id", "end_trade_id", "start_price", "end_price")
     needed = renamed.join(later.select(F.col("symbol").alias("s"), F.col("_later").alias("c")).distinct(), ["s", "c"], "left_semi")
-    second = later.groupBy("symbol", "_later").cogroup(needed.groupBy("s", "c")).applyInPandas(close, schema)
+    second = later.groupBy("symbol", "_later").cogroup(needed.groupBy("s", "c")).applyInArrow(close, schema)
     open_ones = still.join(later, ["symbol", "_chunk", "price", "start_trade_id"], "left_anti").join(last_ids.select("symbol", "max_trade_id"), "symbol")
     out = first.where("end_trade_id is not null").unionByName(second).unionByName(open_ones.withColumnRenamed("max_trade_id", "end_trade_id").select("symbol", "_chunk", "price", "start_trade_id", "end_trade_id"))
     return out.drop("_chunk")
@@ -107,18 +162,24 @@ def extreme_line_raster(levels: DataFrame, extent: DataFrame, range_cells: int =
 def book_volume_heatmap(changes: DataFrame, bars: DataFrame, extent: DataFrame, add: bool = False, chunks: int | None = None) -> DataFrame:
     """At each event the live levels' volumes: x from the bar at that time, y from the price; later events, then higher prices, overwrite, or add up.
 
-    Cells below 0 are dropped. Events are numbered in their data set; a level's life and the events of one x are ranges of
-    these numbers, joined within the data set.
+    Cells below 0 are dropped. Events are numbered in their data set, and so are the different x of a data set, which
+    rise with the events. A level's life becomes a row for each x that it covers.
     """
     e = book.asof(changes.select("symbol", "data_set_idx", "timestamp_ms", "event_id").distinct(), bars, "timestamp_ms", "start_timestamp_ms", "start_trade_id", "bar_id", chunks)
     w = Window.partitionBy("symbol", "data_set_idx").orderBy("timestamp_ms", "event_id")
-    e = e.withColumn("no", F.row_number().over(w)).join(F.broadcast(extent), "symbol").withColumn("x", _cell(F.col("bar_id"), "min_trade_id"))
-    columns = e.groupBy("symbol", "data_set_idx", "x").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no"))
+    e = e.join(F.broadcast(extent), "symbol").withColumn("x", _cell(F.col("bar_id"), "min_trade_id"))  # extent: a row for each symbol
+    new = (~F.col("x").eqNullSafe(F.lag("x").over(w))).cast("bigint")
+    e = e.withColumns({"no": F.row_number().over(w), "_new": new}).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = scan.saved(e.select("symbol", "data_set_idx", "event_id", "no", "x", "column"))
+    columns = e.groupBy("symbol", "data_set_idx", "column").agg(F.any_value("x").alias("x"), F.min("no").alias("first_no"), F.max("no").alias("last_no"))
+    whole = e.groupBy("symbol", "data_set_idx").agg(F.max("column").alias("last_column"))
     lives = book.level_lifetimes(changes).where("quantity > 0")
-    number = e.select("symbol", "data_set_idx", F.col("event_id").alias("from_id"), F.col("no").alias("from_no"))
-    until = e.select("symbol", "data_set_idx", F.col("event_id").alias("to_id"), F.col("no").alias("to_no"))
-    lives = lives.join(number, ["symbol", "data_set_idx", "from_id"]).join(until, ["symbol", "data_set_idx", "to_id"], "left").join(F.broadcast(extent), "symbol").withColumn("y", _y(F.col("price").cast("double")))
-    cells = lives.join(columns, ["symbol", "data_set_idx"]).where("from_no <= last_no and (to_no is null or to_no > first_no) and x >= 0 and y >= 0")
+    number = e.select("symbol", "data_set_idx", F.col("event_id").alias("from_id"), F.col("no").alias("from_no"), F.col("column").alias("from_column"))
+    until = e.select("symbol", "data_set_idx", F.col("event_id").alias("to_id"), F.col("no").alias("to_no"), F.col("column").alias("to_column"))
+    lives = lives.join(number, ["symbol", "data_set_idx", "from_id"]).join(until, ["symbol", "data_set_idx", "to_id"], "left").join(whole, ["symbol", "data_set_idx"])
+    lives = lives.withColumn("column", F.explode(F.sequence("from_column", F.coalesce("to_column", "last_column")))).join(F.broadcast(extent), "symbol").withColumn("y", _y(F.col("price").cast("double")))
+    # the x of the event that ends a life is covered only if an event before has it too
+    cells = lives.join(columns, ["symbol", "data_set_idx", "column"]).where("(to_no is null or to_no > first_no) and x >= 0 and y >= 0")
     cells = cells.withColumn("_at", F.least("last_no", F.coalesce(F.col("to_no") - 1, F.col("last_no"))))
     value = (F.col("price") * F.col("quantity")).cast("double")
     if add:

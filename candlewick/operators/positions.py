@@ -29,6 +29,7 @@ def position_excursions(positions: DataFrame, bars: DataFrame) -> DataFrame:
 def _display(df: DataFrame, gross) -> DataFrame:
     mfe, mae, now = X.net_return(F.col("mfe_gross")), X.net_return(F.col("mae_gross")), X.net_return(gross)
     return df.withColumns({
+        "mfe_gross_return_pct": 100 * F.col("mfe_gross"), "mae_gross_return_pct": 100 * F.col("mae_gross"),
         "mfe_net_return_pct": 100 * mfe, "mae_net_return_pct": 100 * mae, "mfe_pnl_usd": F.col("notional_usd") * mfe, "mae_pnl_usd": F.col("notional_usd") * mae,
         "giveback_net_return_pct": 100 * (mfe - now), "giveback_pnl_usd": F.col("notional_usd") * (mfe - now),
     })

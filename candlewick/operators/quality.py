@@ -36,9 +36,34 @@ def validate_trades(trades: DataFrame) -> DataFrame:
     return _checks(counts, {"price range": "price", "quantity range": "quantity", "unique trade_id": "n"})
 
 
+def trades_report(trades: DataFrame, position: str = "position", chunks: int | None = None) -> DataFrame:
+    """All checks of a delivery of trades as rows: required columns, then ranges, unique ids and their order of delivery.
+
+    Without a required column there is only that row, with the number of those that lack; an empty delivery fails by itself.
+    """
+    spark, required = trades.sparkSession, ("trade_id", "price", "quantity", "timestamp_ms")
+    lacking = missing_columns(trades, required)
+    columns = spark.range(1).select(F.lit("required columns").alias("check"), F.lit(not lacking).alias("passed"), F.lit(len(lacking)).cast("bigint").alias("failures"))
+    if lacking:
+        return columns
+    found = columns.unionByName(validate_trades(trades))
+    found = found.unionByName(_checks(unsorted_check(trades, position, chunks=chunks).agg(F.count("*").alias("n")), {"sorted trade_id": "n"}))
+    return found.unionByName(_checks(trades.agg((F.count("*") == 0).cast("bigint").alias("n")), {"not empty": "n"}))
+
+
+def validate_symbols(symbols: DataFrame) -> DataFrame:
+    """Checks of symbol metadata: an id and a name that aren't empty, a time of the last update."""
+    lacking = missing_columns(symbols, ("symbol_id", "symbol_name", "last_updated"))
+    if lacking:
+        raise ValueError(f"Missing required fields: {lacking}")
+    text = lambda c: _bad(F.length(F.col(c).cast("string")) > 0).alias(c)
+    counts = symbols.agg(text("symbol_id"), text("symbol_name"), F.count_if(F.col("last_updated").try_cast("timestamp").isNull()).alias("last_updated"))
+    return _checks(counts, {"symbol_id": "symbol_id", "symbol_name": "symbol_name", "last_updated": "last_updated"})
+
+
 def unsorted_check(df: DataFrame, position: str = "position", order: str = "trade_id", chunks: int | None = None) -> DataFrame:
     """Rows whose id is less than that of the row delivered before."""
-    return scan.previous(df, ["symbol"], [position], {"_before": order}, chunks).where(F.col(order) < F.col("_before")).drop("_before")
+    return scan.step(df, ["symbol"], [position], previous={"_before": order}, chunks=chunks).where(F.col(order) < F.col("_before")).drop("_before")
 
 
 def validate_candles(candles: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions import columns as X
-from candlewick.operators import migrate
+from candlewick.operators import migrate, scan
 
 KEY = ["symbol", "sample_index"]
 
@@ -60,22 +60,58 @@ def backtest_summary(trades: DataFrame, low: int | None = None, high: int | None
     return trades.groupBy("symbol").agg(F.sum("net_pnl").alias("net_pnl"), F.count("*").alias("n_trades"), F.coalesce(F.sum(F.when(seen, F.col("net_pnl"))), F.lit(0.0)).alias("visible_net_pnl"), F.count_if(seen).alias("n_visible"))
 
 
-def backtest_sequential(segments: DataFrame, steps: int) -> DataFrame:
+def _next(at: np.ndarray, free: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the first sample from each free position on, and of the first one at + steps after each sample."""
+    return np.searchsorted(at, free), np.searchsorted(at, at + steps)
+
+
+def backtest_sequential(segments: DataFrame, steps: int, chunks: int | None = None) -> DataFrame:
     """Trades that don't overlap: from the first allowed sample on, each time the next one at + steps or later.
 
-    Only the positions go to the helper, per symbol in order; it makes n / steps binary searches.
+    Only positions go to the helpers, in chunks of sample indices of at least steps. A trade from before reaches less than
+    steps into a chunk, so each chunk is solved for each of these first free positions; the one that comes true follows
+    from the chunks before, of which a row each is composed in order; then the chunk is walked once more from there.
     """
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows["sample_index"].to_numpy())
-        taken, i = [], 0
+    allowed = scan.saved(backtest_grid(segments))
+    low, high, n = allowed.agg(F.min("sample_index"), F.max("sample_index"), F.count("*")).first()
+    if low is None:
+        return allowed
+    width = max(steps, -(-(high - low + 1) // (chunks or -(-n // scan.ROWS_PER_CHUNK))))
+    own = allowed.select(*KEY, F.floor((F.col("sample_index") - low) / width).cast("bigint").alias("_chunk"))
+
+    def sorted_at(rows: pa.Table) -> tuple[str, int, np.ndarray]:
+        return rows.column("symbol")[0].as_py(), rows.column("_chunk")[0].as_py(), np.sort(rows.column("sample_index").to_numpy())
+
+    def ends(rows: pa.Table) -> pa.Table:
+        """For each first free position of the chunk the one after its last trade."""
+        symbol, chunk, at = sorted_at(rows)
+        free = low + chunk * width + np.arange(steps)
+        i, after = _next(at, free, steps)
+        while (going := i < len(at)).any():
+            free[going] = at[i[going]] + steps
+            i[going] = after[i[going]]
+        return pa.table([[symbol], [chunk], pa.array([free.tolist()], pa.list_(pa.int64()))], ["symbol", "_chunk", "free"])
+
+    def compose(rows: pa.Table) -> pa.Table:
+        rows, first = rows.combine_chunks().sort_by("_chunk"), []
+        free = low
+        for chunk, after in zip(rows.column("_chunk").to_pylist(), rows.column("free"), strict=True):
+            begin = low + chunk * width
+            first.append(max(free, begin))
+            free = after[first[-1] - begin].as_py()
+        return pa.table([rows.column("symbol"), rows.column("_chunk"), pa.array(first, pa.int64())], ["symbol", "c", "first"])
+
+    def walk(begin: pa.Table, rows: pa.Table) -> pa.Table:
+        symbol, _, at = sorted_at(rows)
+        i, after = (x.tolist() for x in _next(at, begin.column("first").to_numpy(), steps))
+        taken, i = [], i[0]
         while i < len(at):
-            taken.append(at[i])
-            i = int(np.searchsorted(at, at[i] + steps))
-        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "sample_index": taken})
+            taken.append(i)
+            i = after[i]
+        return pa.table([pa.array([symbol] * len(taken), pa.string()), pa.array(at[np.array(taken, np.int64)])], KEY)
 
-    allowed = backtest_grid(segments)
-    chosen = allowed.select(*KEY).groupBy("symbol").applyInPandas(greedy, "symbol string, sample_index bigint")
+    composed = own.groupBy("symbol", "_chunk").applyInArrow(ends, "symbol string, _chunk bigint, free array<bigint>").groupBy("symbol").applyInArrow(compose, "symbol string, c bigint, first bigint")
+    chosen = composed.groupBy("symbol", "c").cogroup(own.groupBy("symbol", "_chunk")).applyInArrow(walk, "symbol string, sample_index bigint")
     return allowed.join(chosen, KEY)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import scan
@@ -14,16 +14,9 @@ def trade_volume() -> Column:
     return F.col("price") * F.col("quantity")
 
 
-def run_ids(df: DataFrame, kind: Column, order: str, name: str = "run_id", chunks: int | None = None) -> DataFrame:
-    """Adds the number of the run of equal kind that a row is in, from 1, per symbol."""
-    own = scan.previous(scan.chunked(df.withColumn("_kind", kind), order, chunks), SYMBOL, [order], {"_kind_before": "_kind"})
-    first = F.col("_kind_before").isNull() | (F.col("_kind") != F.col("_kind_before"))
-    out = scan.running_sum(own, SYMBOL, [order], {name: first.cast("bigint")}).drop("_kind", "_kind_before")
-    return out if scan.CHUNK in df.columns else out.drop(scan.CHUNK)
-
-
-def side_runs(trades: DataFrame, chunks: int | None = None) -> DataFrame:
-    return run_ids(trades, F.col("is_buy"), "trade_id", chunks=chunks)
+def side_runs(trades: DataFrame, chunks: int | None = None, last: str | None = None) -> DataFrame:
+    """Adds run_id: the number of the run of trades of one side that a trade is in, from 1, per symbol."""
+    return scan.run_ids(trades, SYMBOL, "trade_id", F.col("is_buy"), "run_id", last, chunks)
 
 
 def bar_direction() -> Column:
@@ -32,9 +25,9 @@ def bar_direction() -> Column:
     return F.when(delta > 0, "Bull").when(delta < 0, "Bear").otherwise("Cross")
 
 
-def direction_runs(bars: DataFrame, chunks: int | None = None) -> DataFrame:
+def direction_runs(bars: DataFrame, chunks: int | None = None, last: str | None = None) -> DataFrame:
     """Drops flat bars, then numbers runs of equal direction."""
-    return run_ids(bars.where("open_price <> close_price"), bar_direction(), "start_trade_id", chunks=chunks)
+    return scan.run_ids(bars.where("open_price <> close_price"), SYMBOL, "start_trade_id", bar_direction(), "run_id", last, chunks)
 
 
 def bar_aggregates(order: str = "start_trade_id") -> list[Column]:
@@ -59,22 +52,20 @@ def trade_aggregates() -> list[Column]:
     ]
 
 
-def _closed(bars: DataFrame, emit_open: bool) -> DataFrame:
-    """Without the last, still open run of each symbol."""
-    if emit_open:
-        return bars.drop("run_id")
-    last = bars.groupBy("symbol").agg(F.max("run_id").alias("_last"))
-    return bars.join(last, "symbol").where("run_id < _last").drop("run_id", "_last")
+def _bars(runs: DataFrame, aggregates: list[Column], emit_open: bool) -> DataFrame:
+    """A bar for each run, unless told without the last, still open one of each symbol (column _last_run)."""
+    closed = runs if emit_open else runs.where("run_id < _last_run")
+    return closed.groupBy("symbol", "run_id").agg(*aggregates).drop("run_id")
 
 
 def run_bars_side(trades: DataFrame, emit_open: bool = False, chunks: int | None = None) -> DataFrame:
     """A bar for each run of trades of one side."""
-    return _closed(side_runs(trades, chunks).groupBy("symbol", "run_id").agg(*trade_aggregates()), emit_open)
+    return _bars(side_runs(trades, chunks, "_last_run"), trade_aggregates(), emit_open)
 
 
 def run_bars_direction(bars: DataFrame, emit_open: bool = False, chunks: int | None = None) -> DataFrame:
     """A bar for each run of side bars of one direction, flat ones left out."""
-    return _closed(direction_runs(bars, chunks).groupBy("symbol", "run_id").agg(*bar_aggregates()), emit_open)
+    return _bars(direction_runs(bars, chunks, "_last_run"), bar_aggregates(), emit_open)
 
 
 def run_lines_side(trades: DataFrame, chunks: int | None = None) -> DataFrame:
@@ -94,6 +85,30 @@ def dominant_side_lines(bars: DataFrame) -> DataFrame:
     )
 
 
+def _ways(steps: DataFrame, chunks: int | None) -> DataFrame:
+    """Adds way, the last step that isn't 0 (0 before any), and line, a number that rises where the way changes."""
+    own = scan.chunked(steps, "trade_id", chunks).withColumn("_turn", F.when(F.col("_step") != 0, F.col("_step")))
+    w = scan.inside(SYMBOL, "trade_id")
+    upto, before = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    last = F.last("_turn", ignorenulls=True)
+    own = own.withColumn("_new", F.coalesce((F.col("_turn") != last.over(before)).cast("bigint"), F.lit(0)))
+    local = {"_way": last.over(upto), "_begin": F.first("_turn", ignorenulls=True).over(upto), "_local": F.sum("_new").over(upto)}
+
+    def into(_, before) -> dict[str, Column]:
+        return {"_in": F.last("_way", ignorenulls=True).over(before)}
+
+    def starts(_, before) -> dict[str, Column]:
+        """Whether the first turn of a chunk changes the way."""
+        return {"_starts": F.coalesce((~F.col("_begin").eqNullSafe(F.col("_in")) & F.col("_begin").isNotNull()).cast("bigint"), F.lit(0))}
+
+    def base(_, before) -> dict[str, Column]:
+        return {"_base": F.coalesce(F.sum(F.col("_starts") + F.col("_local")).over(before), F.lit(0))}
+
+    rows = scan.carried(own, SYMBOL, ["trade_id"], local, into, starts, base)
+    line = F.col("_base") + F.when(F.col("_way").isNull(), 0).otherwise(F.col("_starts") + F.col("_local"))
+    return rows.select(*(c for c in steps.columns), F.coalesce("_way", "_in", F.lit(0)).alias("way"), line.alias("line"))
+
+
 def zigzag_lines(trades: DataFrame, chunks: int | None = None) -> DataFrame:
     """Segments of monotone price.
 
@@ -101,12 +116,9 @@ def zigzag_lines(trades: DataFrame, chunks: int | None = None) -> DataFrame:
     starts where the one before it ended; the trade it starts with counts in the earlier line's quantity and volume. A
     symbol with one trade has no line.
     """
-    own = scan.previous(scan.chunked(trades, "trade_id", chunks), SYMBOL, ["trade_id"], {"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"})
-    step = F.signum(F.col("price") - F.col("_price")).cast("int")
-    known = scan.last_known(own.withColumn("_step", step), SYMBOL, ["trade_id"], {"_way": F.when(F.col("_step") != 0, F.col("_step"))})
-    way = F.when(F.col("_price").isNull(), None).otherwise(F.coalesce("_way", F.lit(0)))
-    steps = run_ids(known.withColumn("way", way).where("way is not null"), F.col("way"), "trade_id", "line")
-    first = trades.groupBy("symbol").agg(F.min("trade_id").alias("_first"), F.min_by("quantity", "trade_id").alias("_q"), F.min_by(trade_volume(), "trade_id").alias("_v"))
+    own = scan.step(trades, SYMBOL, ["trade_id"], index="_i", previous={"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"}, chunks=chunks)
+    steps = _ways(own.where("_i > 0").withColumn("_step", F.signum(F.col("price") - F.col("_price")).cast("int")), chunks)
+    first = own.where("_i = 0").select("symbol", F.col("trade_id").alias("_first"), F.col("quantity").alias("_q"), trade_volume().alias("_v"))
     lines = steps.groupBy("symbol", "line").agg(
         F.any_value("way").alias("way"), F.min_by("_price", "trade_id").alias("start_price"), F.max_by("price", "trade_id").alias("end_price"), F.min("_id").alias("start_trade_id"),
         F.max("trade_id").alias("end_trade_id"), F.min_by("_ts", "trade_id").alias("start_timestamp_ms"), F.max_by("timestamp_ms", "trade_id").alias("end_timestamp_ms"),

@@ -1,36 +1,37 @@
-"""Ordered work per key when there are few keys: chunks of ids, one summary row for each, and carries between them.
+"""Ordered work per key when there are few keys: chunks of ids, one summary row each, and carries between them.
 
-A window over a whole symbol would run in one task. Here a symbol is cut into chunks by its integer order column; windows
-run inside chunks, the last known state of each chunk goes into a summary row, a window over these few rows gives each
-chunk what the ones before it carry, and a join on (keys, chunk) brings it back. Rows are shuffled once, by (keys, chunk).
+A window over a whole symbol would run in one task. Here a symbol is cut into chunks by its integer order column. A step
+shuffles the rows once, by (keys, chunk), adds window functions inside chunks and writes what it has; the last row of each
+chunk is its summary; a window over these few rows gives each chunk what the ones before it carry, and a join on
+(keys, chunk) brings it back. Both the rows and the summary read what was written, so steps don't multiply their input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import accumulate
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from candlewick.sources.shared import written
 
 ROWS_PER_CHUNK = 1_000_000
 CHUNK = "_chunk"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's checkpoint folder; where none is set, one beside the warehouse is."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint()
+    """df, computed once and kept in the cluster's checkpoint folder."""
+    return written(df, "rows")
 
 
 def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     """Adds the chunk of each row: equal ranges of the order column, about a million rows each unless a number is given.
 
-    A frame that has chunks keeps them, so steps in one order share the counts and the shuffle by (keys, chunk): the
-    functions below leave chunks that they are given in place.
+    A frame that has chunks keeps them, so steps in one order share the counts: the functions below leave chunks that they
+    are given in place.
     """
     if CHUNK in df.columns:
         return df
@@ -46,59 +47,80 @@ def _unless_given(df: DataFrame) -> list[str]:
     return [] if CHUNK in df.columns else [CHUNK]
 
 
-def inside(keys: Sequence[str], *order: str):
+def inside(keys: Sequence[str], *order: str) -> WindowSpec:
     """A window over the rows of a chunk."""
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-    """Adds the columns of carry: window functions of the summary columns over all earlier chunks of the key."""
-    rows = df.groupBy(*keys, CHUNK).agg(*(c.alias(n) for n, c in summary.items()))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(*keys, CHUNK, *(c.over(before).alias(n) for n, c in carry.items()))
-    return df.join(rows, [*keys, CHUNK])
+#: From the last rows of chunks, a window over the chunks of a key up to each one, and one over those before it: columns.
+Carry = Callable[[WindowSpec, WindowSpec], dict[str, Column]]
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], local: dict[str, Column], *carries: Carry) -> DataFrame:
+    """Adds local, window functions inside the chunks of df, and for each chunk the columns of carries, each made from those before."""
+    w = inside(keys, *order)
+    rows = saved(df.withColumns({**local, "_last": F.lead(F.lit(True)).over(w).isNull()}))
+    ends = rows.where("_last").drop("_last")
+    upto, before = (Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    names: list[str] = []
+    for carry in carries:
+        made = carry(upto, before)
+        ends = ends.withColumns(made)
+        names += made
+    return rows.drop("_last").join(ends.select(*keys, CHUNK, *names), [*keys, CHUNK])
+
+
+def step(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], index: str | None = None, previous: dict[str, str] | None = None,
+    sums: dict[str, Column] | None = None, known: dict[str, Column] | None = None, chunks: int | None = None,
+) -> DataFrame:
+    """Adds, all in one step, for each row of a key in order: its 0-based position (index), columns of the row before it
+    (previous: new name -> column, null for the first row), sums over the rows up to and with it, and of each column of known
+    the last value up to it that isn't null.
+    """
+    previous, sums, known = previous or {}, sums or {}, known or {}
+    own = chunked(df, order[0], chunks).withColumns({f"_x_{n}": c for n, c in (sums | known).items()})
+    w = inside(keys, *order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = {"_nth": F.row_number().over(w)}
+    local |= {f"_l_{n}": F.lag(c).over(w) for n, c in previous.items()}
+    local |= {f"_s_{n}": F.sum(f"_x_{n}").over(upto) for n in sums} | {f"_s_{n}": F.last(f"_x_{n}", ignorenulls=True).over(upto) for n in known}
+
+    def carry(_: WindowSpec, before: WindowSpec) -> dict[str, Column]:
+        out = {"_b_": F.sum("_nth").over(before)} | {f"_b_{n}": F.last(c).over(before) for n, c in previous.items()}
+        return out | {f"_b_{n}": F.sum(f"_s_{n}").over(before) for n in sums} | {f"_b_{n}": F.last(f"_s_{n}", ignorenulls=True).over(before) for n in known}
+
+    rows = carried(own, keys, order, local, carry)
+    made = {} if index is None else {index: (F.coalesce("_b_", F.lit(0)) + F.col("_nth") - 1).cast("bigint")}
+    made |= {n: F.when(F.col("_nth") == 1, F.col(f"_b_{n}")).otherwise(F.col(f"_l_{n}")) for n in previous}
+    made |= {n: F.coalesce(F.col(f"_s_{n}") + F.col(f"_b_{n}"), f"_s_{n}", f"_b_{n}") for n in sums} | {n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in known}
+    return rows.withColumns(made).select(*own.drop(*(f"_x_{n}" for n in sums | known), *_unless_given(df)).columns, *made)
 
 
 def index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "bar_index", chunks: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row within its key."""
-    own = chunked(df, order[0], chunks).withColumn("_local", F.row_number().over(inside(keys, *order)) - 1)
-    out = carried(own, keys, {"_n": F.count("*")}, {"_rows_before": F.sum("_n")})
-    return out.withColumn(name, (F.coalesce("_rows_before", F.lit(0)) + F.col("_local")).cast("bigint")).drop("_local", "_rows_before", *_unless_given(df))
+    return step(df, keys, order, index=name, chunks=chunks)
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], chunks: int | None = None) -> DataFrame:
-    """Adds columns (new name -> column) of the row before within the key, null for its first row."""
-    w = inside(keys, *order)
-    own = chunked(df, order[0], chunks)
-    packed = F.struct(*order, *(F.col(c).alias(f"_v_{n}") for n, c in columns.items()))
-    last = own.select(*keys, CHUNK, packed.alias("_p"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK)
-    ends = last.groupBy(*keys, CHUNK).agg(F.max_by("_p", F.struct(*(F.col(f"_p.{o}") for o in order))).alias("_end"))
-    ends = ends.select(*keys, CHUNK, F.lag("_end").over(before).alias("_end"))
-    out = own.withColumns({"_row": F.row_number().over(w), **{f"_lag_{n}": F.lag(c).over(w) for n, c in columns.items()}}).join(ends, [*keys, CHUNK])
-    out = out.withColumns({n: F.when(F.col("_row") == 1, F.col(f"_end._v_{n}")).otherwise(F.col(f"_lag_{n}")) for n in columns})
-    return out.drop("_row", "_end", *(f"_lag_{n}" for n in columns), *_unless_given(df))
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], chunks: int | None = None) -> DataFrame:
-    """Adds running sums over the rows up to and with each one."""
-    own = chunked(df, order[0], chunks).withColumns({f"_x_{n}": c for n, c in sums.items()})
-    w = inside(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
-    local = own.withColumns({f"_s_{n}": F.sum(f"_x_{n}").over(w) for n in sums})
-    out = carried(local, keys, {f"_t_{n}": F.sum(f"_x_{n}") for n in sums}, {f"_b_{n}": F.sum(f"_t_{n}") for n in sums})
-    out = out.withColumns({n: F.col(f"_s_{n}") + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums})
-    return out.drop(*_unless_given(df), *(f"_{p}_{n}" for p in "xsb" for n in sums))
-
-
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], chunks: int | None = None) -> DataFrame:
-    """Adds, for each value, the last one that isn't null among the rows up to and with this one."""
-    own = chunked(df, order[0], chunks).withColumns({f"_x_{n}": c for n, c in values.items()})
-    w = inside(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
-    local = own.withColumns({f"_s_{n}": F.last(f"_x_{n}", ignorenulls=True).over(w) for n in values})
-    ordering = F.struct(*order)
-    out = carried(local, keys, {f"_t_{n}": F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), ordering)) for n in values}, {f"_b_{n}": F.last(f"_t_{n}", ignorenulls=True) for n in values})
-    out = out.withColumns({n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in values})
-    return out.drop(*_unless_given(df), *(f"_{p}_{n}" for p in "xsb" for n in values))
+def run_ids(df: DataFrame, keys: Sequence[str], order: str, kind: Column, name: str, last: str | None = None, chunks: int | None = None) -> DataFrame:
+    """Adds the number of the run of rows of equal kind, from 1 for each key, and if named the number of the key's last run."""
+    own = chunked(df.withColumn("_kind", kind), order, chunks)
+    w = inside(keys, order)
+    new = (F.row_number().over(w) > 1) & ~F.col("_kind").eqNullSafe(F.lag("_kind").over(w))
+    own = own.withColumn("_new", new.cast("bigint"))
+    local = {"_first": F.first("_kind").over(w), "_local": F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))}
+
+    def starts(upto: WindowSpec, before: WindowSpec) -> dict[str, Column]:
+        return {"_starts": ((F.count("*").over(before) == 0) | ~F.col("_first").eqNullSafe(F.last("_kind").over(before))).cast("bigint")}
+
+    def base(upto: WindowSpec, before: WindowSpec) -> dict[str, Column]:
+        every = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        total = F.col("_starts") + F.col("_local")
+        return {"_base": F.coalesce(F.sum(total).over(before), F.lit(0)) + F.col("_starts"), "_total": F.sum(total).over(every)}
+
+    rows = carried(own, keys, [order], local, starts, base)
+    made = {name: F.col("_base") + F.col("_local")} | ({last: F.col("_total")} if last else {})
+    return rows.withColumns(made).select(*df.columns, *made)
 
 
 def blocks(df: DataFrame, keys: Sequence[str], index_col: str, frame: int, rows: int = 100_000) -> DataFrame:
@@ -114,43 +136,68 @@ def blocks(df: DataFrame, keys: Sequence[str], index_col: str, frame: int, rows:
     return df.withColumn("_p", F.explode(places)).withColumns({"_block": F.col("_p.b"), "_halo": F.col("_p.h")}).drop("_p")
 
 
-def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict[str, tuple[Column, Column]], chunks: int | None = None) -> DataFrame:
-    """Adds y for each name: y = a * (y of the row before, 0 at first) + b, from steps' (a, b).
+_WIDTH = 64
 
-    Each chunk gives for its rows the result from 0 and the factor of what comes in, both exact compositions; the carry
-    into a chunk is folded from the last rows of those before.
+
+def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For y -> a * y + b, one after the other: the factor and the sum of the first, of the first two, ...
+
+    Rows of 64 are composed side by side; their last members are the same problem again, 64 times smaller.
+    """
+    n = len(a)
+    if n <= 1:
+        return a.copy(), b.copy()
+    rows = -(-n // _WIDTH)
+    f, y = np.ones(rows * _WIDTH), np.zeros(rows * _WIDTH)
+    f[:n], y[:n] = a, b
+    f, y = (x.reshape(rows, _WIDTH).T.copy() for x in (f, y))
+    for k in range(1, _WIDTH):
+        y[k] += f[k] * y[k - 1]
+        f[k] *= f[k - 1]
+    if rows > 1:
+        into_f, into_y = composed(f[-1], y[-1])
+        y[:, 1:] += f[:, 1:] * into_y[:-1]
+        f[:, 1:] *= into_f[:-1]
+    return f.T.reshape(-1)[:n], y.T.reshape(-1)[:n]
+
+
+def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict[str, tuple[Column, Column]], start: Column | None = None, chunks: int | None = None) -> DataFrame:
+    """Adds y for each name: y = a * (y of the row before) + b, from steps' (a, b). Before a key's first row y is the start of that row, else 0.
+
+    Each chunk is composed in numpy: for each row the result from 0 and the factor of what comes in. The carry into a chunk
+    is composed from the last rows of those before.
     """
     names = list(steps)
-    own = chunked(df, order[0], chunks)
+    own = chunked(df, order[0], chunks).withColumn("_start", (F.lit(0.0) if start is None else start).cast("double"))
     for n, (a, b) in steps.items():
         own = own.withColumns({f"_a_{n}": a.cast("double"), f"_b_{n}": b.cast("double")})
+    kept = [c for c in own.columns if c != "_start" and c not in {f"_{x}_{n}" for n in names for x in "ab"}]
+    doubles = [f"_{x}_{n}" for n in names for x in "fy"]
+    fields = [*(own.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in (*doubles, "_start")), T.StructField("_last", T.BooleanType())]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        out = {c: rows[c] for c in (*keys, CHUNK, *order)}
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in order])
+        made = []
         for n in names:
-            pairs = list(zip(rows[f"_a_{n}"].tolist(), rows[f"_b_{n}"].tolist(), strict=True))
-            out[f"_y_{n}"] = list(accumulate(pairs, lambda y, ab: ab[0] * y + ab[1], initial=0.0))[1:]
-            out[f"_f_{n}"] = list(accumulate(pairs, lambda f, ab: f * ab[0], initial=1.0))[1:]
-        return pd.DataFrame(out)
-
-    narrow = own.select(*keys, CHUNK, *order, *(f"_{x}_{n}" for n in names for x in "ab"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name in {*keys, CHUNK, *order}), *(f"_{x}_{n} double" for n in names for x in "yf")])
-    local = narrow.groupBy(*keys, CHUNK).applyInPandas(run, schema)
-    ends = local.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*(f"_{x}_{n}" for n in names for x in "yf")), F.struct(*order)).alias("_end"))
-    ends = ends.select(*keys, CHUNK, "_end.*")
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(CHUNK)
-        out = {c: rows[c] for c in (*keys, CHUNK)}
+            made += [pa.array(x) for x in composed(*(rows.column(f"_{x}_{n}").to_numpy() for x in "ab"))]
+        first = pa.array(np.full(len(rows), rows.column("_start")[0].as_py(), float))
+        last = np.zeros(len(rows), bool)
+        last[-1] = True
+        return pa.table([*(rows.column(c) for c in kept), *made, first, pa.array(last)], [f.name for f in fields])
+
+    local = saved(own.groupBy(*keys, CHUNK).applyInArrow(run, T.StructType(fields)))
+    ends = local.where("_last").select(*keys, CHUNK, "_start", *doubles)
+    into_fields = [*(ends.schema[c] for c in (*keys, CHUNK)), *(T.StructField(f"_in_{n}", T.DoubleType()) for n in names)]
+
+    def carry(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by(CHUNK)
+        begin, made = rows.column("_start")[0].as_py(), []
         for n in names:
-            pairs = zip(rows[f"_f_{n}"].tolist(), rows[f"_y_{n}"].tolist(), strict=True)
-            out[f"_in_{n}"] = list(accumulate(pairs, lambda y, fy: fy[0] * y + fy[1], initial=0.0))[:-1]
-        return pd.DataFrame(out)
-
-    # a row for each chunk of a million rows, folded in one pass over a key's chunks
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema if f.name in {*keys, CHUNK}), *(f"_in_{n} double" for n in names)])
-    into = ends.groupBy(*keys).applyInPandas(carry, schema)
-    solved = local.join(into, [*keys, CHUNK]).select(*keys, CHUNK, *order, *((F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}")).alias(n) for n in names))
-    given = own.drop(*(f"_{x}_{n}" for n in names for x in "ab"))
-    return given.join(solved, [*keys, CHUNK, *order]).drop(*_unless_given(df))
+            f, y = composed(rows.column(f"_f_{n}").to_numpy(), rows.column(f"_y_{n}").to_numpy())
+            made.append(pa.array(np.append(begin, (f * begin + y)[:-1])))
+        return pa.table([*(rows.column(c) for c in (*keys, CHUNK)), *made], [f.name for f in into_fields])
+
+    # a row for each chunk of a million rows
+    into = ends.groupBy(*keys).applyInArrow(carry, T.StructType(into_fields))
+    solved = local.join(into, [*keys, CHUNK]).withColumns({n: F.col(f"_y_{n}") + F.col(f"_f_{n}") * F.col(f"_in_{n}") for n in names})
+    return solved.select(*(c for c in kept if c not in _unless_given(df)), *names)

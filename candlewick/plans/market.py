@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions import columns as X
@@ -16,9 +14,10 @@ from candlewick.operators import migrate as M
 from candlewick.operators import quality as Q
 from candlewick.operators import runs as R
 from candlewick.operators import scan
-from candlewick.plans.registry import BAR, BAR_COLUMNS, BARS_OF_BARS, PRICES, STAT_NAMES, SUMS, big, num, query, sql
+from candlewick.plans.registry import BAR, BAR_COLUMNS, BARS_OF_BARS, PRICES, STAT_NAMES, SUMS, also_known, big, num, query, sql
 from candlewick.sources import adapters as A
 from candlewick.sources import tables as S
+from candlewick.sources.shared import shared_path
 
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 CANDLE = ["symbol", "start_timestamp_ms", "end_timestamp_ms", *PRICES, "volume", "trades_count", "start_trade_id", "end_trade_id"]
@@ -26,12 +25,6 @@ CANDLE_SQL = f"symbol, {big('start_timestamp_ms', 'end_timestamp_ms')}, {num(*PR
 TRADE_SQL = f"symbol, {big('trade_id')}, is_buy, {num('price', 'quantity')}, {big('timestamp_ms')}"
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder in the cluster's checkpoint folder, or beside the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/shared"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def trades_of(spark, d) -> DataFrame:
     return A.trades_from_events(spark, d)
 
@@ -40,6 +33,11 @@ def bars_of(spark, d) -> DataFrame:
     return R.run_bars_side(trades_of(spark, d)).select(*BAR_COLUMNS)
 
 
+def kept_bars(spark, d) -> DataFrame:
+    """The same, written once for queries that take them in order."""
+    return scan.saved(bars_of(spark, d))
+
+
 def candles_of(spark, d) -> DataFrame:
     return B.time_candles(trades_of(spark, d), "1H")
 
@@ -49,11 +47,11 @@ def messages_of(spark, d) -> DataFrame:
 
 
 def changes_of(spark, d) -> DataFrame:
-    return K.data_sets(A.book_from_events(spark, d))
+    return scan.saved(K.data_sets(A.book_from_events(spark, d)))
 
 
 def lines_of(spark, d) -> DataFrame:
-    return R.zigzag_lines(trades_of(spark, d))
+    return scan.saved(R.zigzag_lines(trades_of(spark, d)))
 
 
 # Sources and sinks
@@ -93,20 +91,18 @@ def read_book_records(spark, d):
 
 @query(sql(f"SELECT {TRADE_SQL} FROM item_trades WHERE symbol <> 'N' AND trade_id % 10 <> 7"))
 def ingest_trades_csv(spark, d):
-    """Files with names of two instruments; rows of a third, and some with a side that isn't known, go to quarantine."""
+    """Files with names of two instruments; rows of a third, some with a side that isn't known, and files with columns in another order go to quarantine."""
     t = A.trades_from_lineitem(spark, d)
     side = F.when(F.col("trade_id") % 10 == 7, "hold").when(F.col("is_buy"), F.when(F.col("trade_id") % 2 == 0, "BUY").otherwise("buy")).otherwise("sell")
-    rows = t.select(F.concat("symbol", F.lit("-USD")).alias("instrument_name"), F.col("trade_id").cast("string"), side.alias("side"), F.col("quantity").cast("string").alias("size"), F.col("price").cast("string"), F.col("timestamp_ms").cast("string").alias("created_time"))
+    rows = t.select(F.concat("symbol", F.lit("-USD")).alias("instrument_name"), F.col("trade_id").cast("string"), side.alias("side"), F.col("price").cast("string"), F.col("quantity").cast("string").alias("size"), F.col("timestamp_ms").cast("string").alias("created_time"))
     root = shared_path(spark, "trade-files")
-    jvm = spark.sparkContext._jvm
+    named = {"A": "A", "N": "A", "R": "R", "swapped": "R"}
     for symbol in ("A", "N", "R"):
-        named = "R" if symbol == "R" else "A"
-        rows.where(F.col("instrument_name") == f"{symbol}-USD").coalesce(1).write.option("header", True).csv(f"{root}/{symbol}")
-        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{symbol}")
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for i, f in enumerate(x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")):
-            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{symbol}/{named}-USD-trades-2024-{i + 1:02d}.csv"))
-    good, _ = S.ingest_trades_csv(spark, f"{root}/*/*.csv")
+        rows.where(F.col("instrument_name") == f"{symbol}-USD").write.option("header", True).csv(f"{root}/parts/{symbol}")
+    swapped = [*S.CSV_HEADER[:3], "size", "price", *S.CSV_HEADER[5:]]
+    rows.where("instrument_name = 'R-USD'").select(*swapped).write.option("header", True).csv(f"{root}/parts/swapped")
+    S.rename_parts(spark, f"{root}/parts", lambda folder, i: f"{root}/files/{folder}/{named[folder]}-USD-trades-{2000 + i // 12}-{i % 12 + 1:02d}.csv")
+    good, _ = S.ingest_trades_csv(spark, f"{root}/files/*/*.csv")
     return good.withColumn("symbol", F.substring("symbol", 1, 1))
 
 
@@ -122,7 +118,7 @@ def parse_candles_json(spark, d):
     c = candles_of(spark, d)
     text = lambda x: F.col(x).cast("string")
     one = F.array(text("start_timestamp_ms"), *map(text, PRICES), text("trades_count"), text("volume"), text("volume"), F.when(F.col("start_trade_id") % 2 == 0, "1").otherwise("0"))
-    return S.parse_candles_json(c.groupBy("symbol").agg(F.to_json(F.collect_list(one)).alias("value")))
+    return S.parse_candles_json(c.groupBy("symbol", F.floor(F.col("start_timestamp_ms") / A.DAY_MS)).agg(F.to_json(F.collect_list(one)).alias("value"))).drop("FLOOR((start_timestamp_ms / 86400000))")
 
 
 def _feed(spark, d) -> DataFrame:
@@ -137,9 +133,12 @@ def parse_book_messages(spark, d):
     return S.parse_book_messages(_feed(spark, d)).select("symbol", "timestamp_ms", "action", F.get("asks", 0)["price"].alias("ask_price"), F.get("bids", 0)["quantity"].alias("bid_quantity"), "seq_id", "prev_seq_id")
 
 
-@query(sql(f"SELECT {BAR}, {big('bar_index')}, symbol || '_0M_to_0M.csv' AS file FROM ibars WHERE bar_index >= 100 AND bar_index < 400"))
+@query(sql(f"SELECT {BAR}, symbol || '_0M_to_0M.csv' AS file FROM ibars WHERE bar_index >= 100 AND bar_index < 400"))
 def export_bars_csv(spark, d):
-    return S.export_range(bars_of(spark, d), 100, 300)
+    """Files as they are read again."""
+    bars, path = kept_bars(spark, d), shared_path(spark, "bar-files")
+    S.export_bars_csv(bars, path, 100, 300)
+    return S.read_bars_csv(spark, f"{path}/*.csv", bars.schema)
 
 
 @query(sql(f"SELECT symbol, {big(min_id='min(start_trade_id)', max_id='max(start_trade_id)', n_rows='count(*)')} FROM bars GROUP BY symbol"))
@@ -295,7 +294,7 @@ def bar_direction(spark, d):
 
 @query(sql("SELECT symbol, trade_id, CASE WHEN s > 0 THEN 'Bull' WHEN s < 0 THEN 'Bear' WHEN s = 0 THEN 'Cross' END AS direction FROM steps"))
 def price_direction(spark, d):
-    own = scan.previous(trades_of(spark, d), ["symbol"], ["trade_id"], {"before": "price"})
+    own = scan.step(trades_of(spark, d), ["symbol"], ["trade_id"], previous={"before": "price"})
     step = F.signum(F.col("price") - F.col("before"))
     return own.select("symbol", "trade_id", F.when(step > 0, "Bull").when(step < 0, "Bear").when(step == 0, "Cross").alias("direction"))
 
@@ -337,36 +336,22 @@ def time_candles(spark, d):
     return candles_of(spark, d)
 
 
-INTERVALS = ("1m", "5m", "15m", "1H", "4H", "1D")
-MULTI = " UNION ALL ".join(f"SELECT symbol, CAST(timestamp_ms - timestamp_ms % {ms} AS BIGINT) AS start_timestamp_ms, CAST(timestamp_ms - timestamp_ms % {ms} + {ms} AS BIGINT) AS end_timestamp_ms, '{name}' AS interval, arg_min(price, trade_id) AS open_price, max(price) AS high_price, min(price) AS low_price, arg_max(price, trade_id) AS close_price, sum(price * quantity) AS volume, count(*) AS trades_count, min(trade_id) AS start_trade_id, max(trade_id) AS end_trade_id FROM trades GROUP BY symbol, timestamp_ms - timestamp_ms % {ms}" for name, ms in B.INTERVALS.items() if name in INTERVALS)
+MULTI = " UNION ALL ".join(f"SELECT symbol, CAST(timestamp_ms - timestamp_ms % {ms} AS BIGINT) AS start_timestamp_ms, CAST(timestamp_ms - timestamp_ms % {ms} + {ms} AS BIGINT) AS end_timestamp_ms, '{name}' AS interval, arg_min(price, trade_id) AS open_price, max(price) AS high_price, min(price) AS low_price, arg_max(price, trade_id) AS close_price, sum(price * quantity) AS volume, count(*) AS trades_count, min(trade_id) AS start_trade_id, max(trade_id) AS end_trade_id FROM trades GROUP BY symbol, timestamp_ms - timestamp_ms % {ms}" for name, ms in B.INTERVALS.items())
 
 
 @query(sql(f"SELECT {CANDLE_SQL}, interval FROM multi", multi=MULTI))
 def multi_interval_candles(spark, d):
-    return B.multi_interval_candles(trades_of(spark, d), INTERVALS)
-
-
-@query()
-def multi_interval_candles_all(spark, d):
-    return B.multi_interval_candles(trades_of(spark, d), tuple(B.INTERVALS))
+    return B.multi_interval_candles(trades_of(spark, d))
 
 
 @query(sql(f"SELECT {BAR} FROM (SELECT symbol, {BARS_OF_BARS} FROM ibars GROUP BY symbol, bar_index // 8)"))
 def aggregate_bars(spark, d):
-    return B.aggregate_bars(bars_of(spark, d), 8)
-
-
-SCALES = [1, 2, 4, 8, 16, 32, 64]
+    return B.aggregate_bars(kept_bars(spark, d), 8)
 
 
-@query(sql(" UNION ALL ".join(f"SELECT {BAR}, CAST({n} AS BIGINT) AS scale FROM (SELECT symbol, {BARS_OF_BARS} FROM ibars GROUP BY symbol, bar_index // {n})" for n in SCALES)))
+@query(sql(" UNION ALL ".join(f"SELECT {BAR}, CAST({n} AS BIGINT) AS scale FROM (SELECT symbol, {BARS_OF_BARS} FROM ibars GROUP BY symbol, bar_index // {n})" for n in B.SCALES)))
 def bar_pyramid(spark, d):
-    return B.bar_pyramid(bars_of(spark, d), SCALES)
-
-
-@query()
-def bar_pyramid_all(spark, d):
-    return B.bar_pyramid(bars_of(spark, d))
+    return B.bar_pyramid(kept_bars(spark, d))
 
 
 @query(sql(f"SELECT {BAR} FROM bars"))
@@ -376,7 +361,13 @@ def run_bars_side(spark, d):
 
 @query(sql(f"SELECT {BAR} FROM (SELECT *, max(run_id) OVER (PARTITION BY symbol) AS l FROM (SELECT symbol, run_id, {BARS_OF_BARS} FROM direction_runs GROUP BY symbol, run_id)) WHERE run_id < l"))
 def run_bars_direction(spark, d):
-    return R.run_bars_direction(bars_of(spark, d))
+    return R.run_bars_direction(kept_bars(spark, d))
+
+
+@query(sql(f"SELECT {BAR} FROM all_bars"))
+def run_bars_side_open(spark, d):
+    """With the last, still open bar of each symbol."""
+    return R.run_bars_side(trades_of(spark, d), emit_open=True).select(*BAR_COLUMNS)
 
 
 @query(sql(f"SELECT symbol, is_buy, {LINE_SQL} FROM (SELECT symbol, any_value(is_buy) AS is_buy, arg_min(price, trade_id) AS start_price, arg_max(price, trade_id) AS end_price, min(trade_id) AS start_trade_id, max(trade_id) AS end_trade_id, arg_min(timestamp_ms, trade_id) AS start_timestamp_ms, arg_max(timestamp_ms, trade_id) AS end_timestamp_ms, sum(quantity) AS quantity, sum(price * quantity) AS volume FROM runs GROUP BY symbol, run_id)"))
@@ -430,7 +421,7 @@ HORIZONS = [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
 
 @query(sql(" UNION ALL ".join(f"SELECT a.symbol, CAST(min(b.start_timestamp_ms - a.start_timestamp_ms) AS BIGINT) AS min_ms, CAST(max(b.start_timestamp_ms - a.start_timestamp_ms) AS BIGINT) AS max_ms, {num(std_ms='stddev_samp(b.start_timestamp_ms - a.start_timestamp_ms)', mean_ms='avg(b.start_timestamp_ms - a.start_timestamp_ms)').replace(', 6)', ', 3)')}, count(*) AS n, CAST({n} AS BIGINT) AS horizon FROM ibars a JOIN ibars b ON a.symbol = b.symbol AND b.bar_index = a.bar_index + {n - 1} GROUP BY a.symbol" for n in HORIZONS)))
 def horizon_time_stats(spark, d):
-    return B.horizon_time_stats(bars_of(spark, d), HORIZONS).withColumns({c: F.round(c, 3) for c in ("std_ms", "mean_ms")})
+    return B.horizon_time_stats(kept_bars(spark, d), HORIZONS).withColumns({c: F.round(c, 3) for c in ("std_ms", "mean_ms")})
 
 
 @query(sql("SELECT 'trades' AS \"table\", (SELECT count(*) FROM raw_lineitem) AS source_rows, (SELECT count(*) FROM item_trades) AS target_rows UNION ALL SELECT 'bars', (SELECT count(*) FROM trades), (SELECT count(*) FROM bars)"))
@@ -448,16 +439,10 @@ def distinct_data_sets(spark, d):
     return changes_of(spark, d).select("symbol", "data_set_idx").distinct()
 
 
-@query(sql("SELECT a.symbol, a.start_trade_id, count(*) AS bars FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.start_trade_id >= a.start_trade_id WHERE a.start_trade_id % 50 = 0 GROUP BY 1, 2"))
+@query(sql("SELECT symbol, start_trade_id, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id DESC) AS bars FROM bars"))
 def count_bars_since(spark, d):
-    bars = bars_of(spark, d)
-    return B.count_bars_since(bars, bars.where("start_trade_id % 50 = 0"))
-
-
-@query()
-def count_bars_since_all(spark, d):
-    """From every bar on; the SQL above compares pairs of bars, so it has a part of them."""
-    bars = bars_of(spark, d)
+    """From every bar on."""
+    bars = kept_bars(spark, d)
     return B.count_bars_since(bars, bars)
 
 
@@ -475,17 +460,11 @@ def asof_bar_for_event(spark, d):
     return K.asof(events, bars_of(spark, d), "timestamp_ms", "start_timestamp_ms", "start_trade_id", "bar_id").select("symbol", "event_id", "bar_id")
 
 
-SNAPS = "SELECT DISTINCT symbol, timestamp_ms FROM book WHERE action = 'Snapshot'"
+SNAPS = "SELECT symbol, timestamp_ms, max(CASE WHEN action = 'Snapshot' THEN timestamp_ms END) AS s FROM book GROUP BY 1, 2"
 
 
-@query(sql("SELECT t.symbol, t.timestamp_ms, max(CASE WHEN s.timestamp_ms <= t.timestamp_ms THEN s.timestamp_ms END) AS last_at_or_before, min(CASE WHEN s.timestamp_ms >= t.timestamp_ms THEN s.timestamp_ms END) AS first_at_or_after, min(CASE WHEN s.timestamp_ms > t.timestamp_ms THEN s.timestamp_ms END) AS next_after FROM (SELECT DISTINCT symbol, timestamp_ms FROM book WHERE event_id % 7 = 0) t JOIN snaps s ON s.symbol = t.symbol GROUP BY 1, 2", snaps=SNAPS))
+@query(sql("SELECT symbol, timestamp_ms, max(s) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS last_at_or_before, min(s) OVER (PARTITION BY symbol ORDER BY timestamp_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS first_at_or_after, min(s) OVER (PARTITION BY symbol ORDER BY timestamp_ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_after FROM snaps", snaps=SNAPS))
 def latest_snapshot_before(spark, d):
-    book = A.book_from_events(spark, d)
-    return K.latest_snapshot(book, book.where("event_id % 7 = 0"))
-
-
-@query()
-def latest_snapshot_before_all(spark, d):
     """At the time of every event."""
     book = A.book_from_events(spark, d)
     return K.latest_snapshot(book, book)
@@ -508,7 +487,7 @@ def candle_trade_consistency(spark, d):
 
 @query(sql("SELECT symbol, start_trade_id, bar_index FROM ibars"))
 def bar_index(spark, d):
-    return B.bar_index(bars_of(spark, d)).select("symbol", "start_trade_id", "bar_index")
+    return B.bar_index(kept_bars(spark, d)).select("symbol", "start_trade_id", "bar_index")
 
 
 @query(sql("SELECT symbol, trade_id, CAST(run_id AS BIGINT) AS run_id FROM runs"))
@@ -518,7 +497,7 @@ def side_runs(spark, d):
 
 @query(sql("SELECT symbol, start_trade_id, CAST(run_id AS BIGINT) AS run_id FROM direction_runs"))
 def direction_runs(spark, d):
-    return R.direction_runs(bars_of(spark, d)).select("symbol", "start_trade_id", "run_id")
+    return R.direction_runs(kept_bars(spark, d)).select("symbol", "start_trade_id", "run_id")
 
 
 BANDS = "SELECT symbol, start_trade_id, bar_index, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM (SELECT *, CAST(close_price AS DOUBLE) AS x FROM ibars) WINDOW w AS (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -526,7 +505,7 @@ BANDS = "SELECT symbol, start_trade_id, bar_index, avg(x) OVER w AS m, stddev_po
 
 @query(sql(f"SELECT symbol, start_trade_id, {num(middle_band='CASE WHEN bar_index >= 19 THEN m END', upper_band='CASE WHEN bar_index >= 19 THEN m + 2 * s END', lower_band='CASE WHEN bar_index >= 19 THEN m - 2 * s END')} FROM bands", bands=BANDS))
 def bollinger_bands(spark, d):
-    return I.bollinger_bands(bars_of(spark, d)).select("symbol", "start_trade_id", "middle_band", "upper_band", "lower_band")
+    return I.bollinger_bands(kept_bars(spark, d)).select("symbol", "start_trade_id", "middle_band", "upper_band", "lower_band")
 
 
 RSI = {
@@ -537,7 +516,7 @@ RSI = {
 
 @query(sql(f"SELECT m.symbol, m.start_trade_id, {num(rsi='CASE WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END')} FROM moves m LEFT JOIN rec r ON r.symbol = m.symbol AND r.i = m.bar_index".replace("CASE WHEN r.l", "CASE WHEN r.i IS NULL THEN NULL WHEN r.l"), recursive=True, **RSI))
 def rsi(spark, d):
-    return I.rsi(bars_of(spark, d)).select("symbol", "start_trade_id", "rsi")
+    return I.rsi(kept_bars(spark, d)).select("symbol", "start_trade_id", "rsi")
 
 
 def ema_sql(value: str, alpha: str, rows: str = "ibars", order: str = "bar_index") -> dict[str, str]:
@@ -549,17 +528,33 @@ def ema_sql(value: str, alpha: str, rows: str = "ibars", order: str = "bar_index
 
 @query(sql(f"SELECT b.symbol, b.start_trade_id, {num(ema='y')} FROM ibars b JOIN rec r ON r.symbol = b.symbol AND r.i = b.bar_index", recursive=True, **ema_sql("close_price", "0.1::DOUBLE")))
 def ema(spark, d):
-    return I.ema(bars_of(spark, d), "start_trade_id", "close_price").select("symbol", "start_trade_id", "ema")
+    return I.ema(kept_bars(spark, d), "start_trade_id", "close_price").select("symbol", "start_trade_id", "ema")
 
 
 @query(sql(f"SELECT b.symbol, b.start_trade_id, {num(wilder='y')} FROM ibars b JOIN rec r ON r.symbol = b.symbol AND r.i = b.bar_index", recursive=True, **ema_sql("close_price", "(1.0::DOUBLE / 14)")))
 def wilder_ma(spark, d):
-    return I.wilder_ma(bars_of(spark, d), "start_trade_id", "close_price", 14).select("symbol", "start_trade_id", "wilder")
+    return I.wilder_ma(kept_bars(spark, d), "start_trade_id", "close_price", 14).select("symbol", "start_trade_id", "wilder")
 
 
 @query(sql(f"SELECT symbol, start_trade_id, {num(sma='avg(CAST(close_price AS DOUBLE)) OVER (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)')} FROM ibars"))
 def sma_partial(spark, d):
-    return I.sma_partial(bars_of(spark, d), "start_trade_id", "close_price", 10).select("symbol", "start_trade_id", "sma")
+    return I.sma_partial(kept_bars(spark, d), "start_trade_id", "close_price", 10).select("symbol", "start_trade_id", "sma")
+
+
+TRADE_ROWS = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_id) - 1 AS bar_index FROM trades"
+PRICE_BANDS = "SELECT symbol, trade_id, bar_index, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM (SELECT *, CAST(price AS DOUBLE) AS x FROM trade_rows) WINDOW w AS (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query(sql(f"SELECT symbol, trade_id, {num(middle_band='CASE WHEN bar_index >= 19 THEN m END', upper_band='CASE WHEN bar_index >= 19 THEN m + 2 * s END', lower_band='CASE WHEN bar_index >= 19 THEN m - 2 * s END')} FROM price_bands", trade_rows=TRADE_ROWS, price_bands=PRICE_BANDS))
+def bollinger_bands_of_trades(spark, d):
+    """Over the prices of trades."""
+    return I.bollinger_bands(trades_of(spark, d), "trade_id", "price").select("symbol", "trade_id", "middle_band", "upper_band", "lower_band")
+
+
+@query(sql(f"SELECT m.symbol, m.trade_id, {num(rsi='CASE WHEN r.i IS NULL THEN NULL WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END')} FROM moves m LEFT JOIN rec r ON r.symbol = m.symbol AND r.i = m.bar_index", recursive=True, trade_rows=TRADE_ROWS, moves=RSI["moves"].replace("start_trade_id", "trade_id").replace("close_price", "price").replace("ibars", "trade_rows"), rec=RSI["rec"]))
+def rsi_of_trades(spark, d):
+    """Over the prices of trades."""
+    return I.rsi(trades_of(spark, d), "trade_id", "price").select("symbol", "trade_id", "rsi")
 
 
 VELOCITY = "SELECT symbol, start_timestamp_ms, row_number() OVER w - 1 AS i, coalesce(((trades_count - lag(trades_count) OVER w) + CAST(volume AS DOUBLE) - lag(CAST(volume AS DOUBLE)) OVER w + CAST(close_price AS DOUBLE) - lag(CAST(close_price AS DOUBLE)) OVER w) / 3, 0) AS v FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY start_timestamp_ms)"
@@ -570,16 +565,11 @@ def candle_velocity(spark, d):
     return I.candle_velocity(candles_of(spark, d)).select("symbol", "start_timestamp_ms", "velocity", "smoothed_velocity")
 
 
-TRADE_VELOCITY = "SELECT symbol, t AS start_timestamp_ms, trades_count, row_number() OVER w - 1 AS i, coalesce(trades_count - lag(trades_count) OVER w, 0) AS v FROM (SELECT symbol, timestamp_ms - timestamp_ms % 3600000 AS t, count(*) AS trades_count FROM trades GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY t)"
+TRADE_VELOCITY = "SELECT symbol, t AS start_timestamp_ms, trades_count, row_number() OVER w - 1 AS i, coalesce(trades_count - lag(trades_count) OVER w, 0) AS v FROM (SELECT symbol, timestamp_ms - timestamp_ms % 60000 AS t, count(*) AS trades_count FROM trades GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY t)"
 
 
 @query(sql(f"SELECT b.symbol, b.start_timestamp_ms, trades_count, {num(velocity='v', smoothed_velocity='y')} FROM velocity_rows b JOIN rec r ON r.symbol = b.symbol AND r.i = b.i", recursive=True, velocity_rows=TRADE_VELOCITY, **ema_sql("v", "0.1::DOUBLE", "velocity_rows", "i")))
 def trade_velocity(spark, d):
-    return I.trade_velocity(trades_of(spark, d), 3_600_000)
-
-
-@query()
-def trade_velocity_all(spark, d):
     """Of minutes."""
     return I.trade_velocity(trades_of(spark, d))
 
@@ -594,6 +584,11 @@ def smoothed_points(spark, d):
     return R.smoothed_points(lines_of(spark, d))
 
 
+@query(sql(f"SELECT symbol, {big(trade_id='start_trade_id')}, {num(price='start_price')}, {big(timestamp_ms='start_timestamp_ms')} FROM lines UNION ALL SELECT symbol, end_trade_id, {num(price='end_price')}, end_timestamp_ms FROM lines"))
+def smoothed_points_both_ends(spark, d):
+    return R.smoothed_points(lines_of(spark, d), both_ends=True)
+
+
 @query(sql(f"SELECT symbol, {num('price')}, start_trade_id, end_trade_id FROM levels WHERE NOT (start_trade_id = end_trade_id AND start_trade_id <> (SELECT max(last_id) FROM first_trades f WHERE f.symbol = levels.symbol))"))
 def extreme_lines(spark, d):
     """Without levels of no length: where a line ends the next one begins at the same price."""
@@ -604,9 +599,8 @@ def extreme_lines(spark, d):
 
 def chained(spark, d) -> DataFrame:
     """Messages with ids of a chain that is broken here and there."""
-    w = Window.partitionBy("symbol").orderBy("timestamp_ms", "event_id")
-    before = F.when(F.col("action") == "Snapshot", F.when(F.col("event_id") % 3 == 0, 5).otherwise(-1)).when(F.col("event_id") % 97 == 0, F.col("event_id") - 1).otherwise(F.lag("event_id").over(w))
-    return A.book_from_events(spark, d).select("symbol", "timestamp_ms", "event_id", "action", F.col("event_id").alias("seq_id"), before.cast("bigint").alias("prev_seq_id"))
+    before = F.when(F.col("action") == "Snapshot", F.when(F.col("event_id") % 3 == 0, 5).otherwise(-1)).when(F.col("event_id") % 97 == 0, F.col("event_id") - 1).otherwise(F.col("_before"))
+    return scan.step(A.book_from_events(spark, d), ["symbol"], K.ORDER, previous={"_before": "event_id"}).select("symbol", "timestamp_ms", "event_id", "action", F.col("event_id").alias("seq_id"), before.cast("bigint").alias("prev_seq_id"))
 
 
 CHAINED = "SELECT symbol, timestamp_ms, event_id, action, lag(event_id) OVER w AS expected_seq_id, CAST(CASE WHEN action = 'Snapshot' THEN CASE WHEN event_id % 3 = 0 THEN 5 ELSE -1 END WHEN event_id % 97 = 0 THEN event_id - 1 ELSE lag(event_id) OVER w END AS BIGINT) AS prev_seq_id FROM book WINDOW w AS (PARTITION BY symbol ORDER BY timestamp_ms, event_id)"
@@ -689,7 +683,13 @@ HEAT = {
 @query(sql(f"SELECT symbol, x, y, {num(value='arg_max(v, o)')} FROM cells WHERE x >= 0 AND y >= 0 GROUP BY 1, 2, 3", **HEAT))
 def book_volume_heatmap(spark, d):
     t = trades_of(spark, d)
-    return L.book_volume_heatmap(changes_of(spark, d), bars_of(spark, d), L.trade_extent(t))
+    return L.book_volume_heatmap(changes_of(spark, d), kept_bars(spark, d), L.trade_extent(t))
+
+
+@query(sql(f"SELECT symbol, x, y, {num(value='sum(v)')} FROM cells WHERE x >= 0 AND y >= 0 GROUP BY 1, 2, 3", **HEAT))
+def book_volume_heatmap_added(spark, d):
+    """Volumes of all events in a cell added up."""
+    return L.book_volume_heatmap(changes_of(spark, d), kept_bars(spark, d), L.trade_extent(trades_of(spark, d)), add=True)
 
 
 @query(sql(f"SELECT symbol, x, y, arg_max(x - a, ROW(end_trade_id, start_trade_id, price)) AS value FROM (SELECT *, unnest(range(a, b)) AS x FROM (SELECT l.*, CAST(floor((start_trade_id - min_trade_id) / scale) AS BIGINT) AS a, CAST(floor((end_trade_id - min_trade_id) / scale) AS BIGINT) AS b, {Y.format(p='price')} AS y FROM levels l JOIN extent e ON e.symbol = l.symbol) WHERE b > a) GROUP BY 1, 2, 3"))
@@ -711,17 +711,10 @@ def last_record(spark, d):
     return B.last_record(bars_of(spark, d), "start_trade_id")
 
 
-@query(sql(f"SELECT {BAR} FROM (SELECT symbol, {BARS_OF_BARS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id DESC) AS q FROM bars) WHERE q <= 204) GROUP BY symbol, i // 4)"))
+@query(sql(f"SELECT {BAR} FROM (SELECT symbol, {BARS_OF_BARS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id DESC) AS q FROM bars) WHERE q <= {B.chart_fetch_limit(4, 1_000_000)}) GROUP BY symbol, i // 4)"))
 def chart_fetch_limit(spark, d):
-    """As many of the newest bars as a chart of 50 points needs at scale 4."""
-    n = B.chart_fetch_limit(4, 1_000_000, points=50)
-    return B.aggregate_bars(B.last_bars(bars_of(spark, d), n), 4)
-
-
-@query()
-def chart_fetch_limit_all(spark, d):
-    """The same for a chart of 50,000 points."""
-    return B.aggregate_bars(B.last_bars(bars_of(spark, d), B.chart_fetch_limit(4, 1_000_000)), 4)
+    """As many of the newest bars as a chart of 50,000 points needs at scale 4."""
+    return B.aggregate_bars(B.last_bars(kept_bars(spark, d), B.chart_fetch_limit(4, 1_000_000)), 4)
 
 
 @query(sql(f"SELECT {TRADE_SQL} FROM trades"))
@@ -742,6 +735,17 @@ def incremental_bars(spark, d):
     return M.replace(later, done, ["symbol", "start_trade_id"])
 
 
+@query(sql(f"SELECT {BAR} FROM (SELECT *, max(run_id) OVER (PARTITION BY symbol) AS l FROM (SELECT symbol, run_id, {BARS_OF_BARS} FROM direction_runs GROUP BY symbol, run_id)) WHERE run_id < l"))
+def incremental_bars_direction(spark, d):
+    """Bars of side bars up to an id, then from the start of each symbol's last stored bar on again, which is replaced."""
+    bars = kept_bars(spark, d)
+    stored = scan.saved(R.run_bars_direction(bars.where("start_trade_id < 6000"), emit_open=True).select(*BAR_COLUMNS))
+    cursor = stored.groupBy("symbol").agg(F.max("start_trade_id").alias("cursor"))
+    later = R.run_bars_direction(bars.join(cursor, "symbol", "left").where("cursor is null or start_trade_id >= cursor").drop("cursor")).select(*BAR_COLUMNS)
+    done = stored.join(cursor, "symbol").where("start_trade_id < cursor").drop("cursor")
+    return M.replace(later, done, ["symbol", "start_trade_id"])
+
+
 # Data quality
 
 
@@ -750,6 +754,20 @@ def validate_trades(spark, d):
     return Q.validate_trades(A.raw_trades_from_lineitem(spark, d))
 
 
+@query(sql("SELECT n AS \"check\", f = 0 AS passed, f AS failures FROM (SELECT 'required columns' AS n, 0::BIGINT AS f UNION ALL SELECT 'price range', count(*) FILTER (NOT price BETWEEN 0 AND 1000000) FROM trades UNION ALL SELECT 'quantity range', count(*) FILTER (NOT quantity BETWEEN 0 AND 1000000) FROM trades UNION ALL SELECT 'unique trade_id', count(*) - count(DISTINCT (symbol, trade_id)) FROM trades UNION ALL SELECT 'sorted trade_id', count(*) FILTER (trade_id < before) FROM (SELECT trade_id, lag(trade_id) OVER (PARTITION BY symbol ORDER BY position, trade_id) AS before FROM delivered) UNION ALL SELECT 'not empty', 0)", delivered=DELIVERED))
+def trades_report(spark, d):
+    """Of trades of which every tenth is delivered early."""
+    late = F.when(F.col("trade_id") % 10 == 0, F.col("trade_id") - 15).otherwise(F.col("trade_id"))
+    return Q.trades_report(trades_of(spark, d).withColumn("position", late * 1_000_000 + F.col("trade_id")))
+
+
+@query(sql("SELECT n AS \"check\", f = 0 AS passed, f AS failures FROM (SELECT 'symbol_id' AS n, 0::BIGINT AS f UNION ALL SELECT 'symbol_name', 0 UNION ALL SELECT 'last_updated', 0)"))
+def validate_symbols(spark, d):
+    """Of the symbols of all trades, with the times of their last ones."""
+    found = trades_of(spark, d).groupBy(F.col("symbol").alias("symbol_id")).agg(F.timestamp_millis(F.max("timestamp_ms")).alias("last_updated"))
+    return Q.validate_symbols(found.withColumn("symbol_name", F.upper("symbol_id")))
+
+
 @query(sql("SELECT n AS \"check\", f = 0 AS passed, f AS failures FROM (SELECT 'high' AS n, count(*) FILTER (NOT (h >= low_price AND h >= open_price AND h >= close_price)) AS f FROM spoilt UNION ALL SELECT 'low', count(*) FILTER (NOT (low_price <= open_price AND low_price <= close_price)) FROM spoilt UNION ALL SELECT 'price range', count(*) FILTER (NOT (low_price BETWEEN 0 AND 1000000 AND h BETWEEN 0 AND 1000000)) FROM spoilt)", spoilt="SELECT *, CASE WHEN start_trade_id % 13 = 0 THEN low_price - 1 ELSE high_price END AS h FROM candles"))
 def validate_candles(spark, d):
     spoilt = candles_of(spark, d).withColumn("high_price", F.when(F.col("start_trade_id") % 13 == 0, F.col("low_price") - 1).otherwise(F.col("high_price")))
@@ -758,18 +776,18 @@ def validate_candles(spark, d):
 
 @query(sql("SELECT 'upper band' AS \"check\", count(*) FILTER (u < m) = 0 AS passed, count(*) FILTER (u < m) AS failures FROM (SELECT m, CASE WHEN start_trade_id % 17 = 0 THEN m - 1 ELSE m + 2 * s END AS u FROM bands WHERE bar_index >= 19) UNION ALL SELECT 'lower band', true, 0", bands=BANDS))
 def validate_bands(spark, d):
-    bands = I.bollinger_bands(bars_of(spark, d))
+    bands = I.bollinger_bands(kept_bars(spark, d))
     return Q.validate_bands(bands.withColumn("upper_band", F.when(F.col("start_trade_id") % 17 == 0, F.col("middle_band") - 1).otherwise(F.col("upper_band"))))
 
 
 @query(sql("SELECT 'rsi range' AS \"check\", true AS passed, 0::BIGINT AS failures UNION ALL SELECT 'rsi nulls', count(*) = 0, count(*) FROM ibars WHERE bar_index < 14"))
 def validate_rsi(spark, d):
-    return Q.validate_rsi(I.rsi(bars_of(spark, d)))
+    return Q.validate_rsi(I.rsi(kept_bars(spark, d)))
 
 
 @query(sql(f"SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, {num(success_rate='avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END)')}, string_agg(CASE WHEN NOT passed THEN c END, ',' ORDER BY c) AS errors FROM (SELECT 'price range' AS c, bool_and(price BETWEEN 0 AND 1000000) AS passed FROM raw_lineitem UNION ALL SELECT 'quantity range', bool_and(quantity BETWEEN 0 AND 1000000) FROM raw_lineitem UNION ALL SELECT 'unique trade_id', count(*) = count(DISTINCT (symbol, trade_id)) FROM raw_lineitem UNION ALL SELECT 'rsi range', true UNION ALL SELECT 'rsi nulls', count(*) = 0 FROM ibars WHERE bar_index < 14)"))
 def validation_summary(spark, d):
-    checks = Q.validate_trades(A.raw_trades_from_lineitem(spark, d)).unionByName(Q.validate_rsi(I.rsi(bars_of(spark, d))))
+    checks = Q.validate_trades(A.raw_trades_from_lineitem(spark, d)).unionByName(Q.validate_rsi(I.rsi(kept_bars(spark, d))))
     return Q.validation_summary(checks).withColumn("errors", F.array_join("errors", ","))
 
 
@@ -809,3 +827,6 @@ def duplicate_timestamps(spark, d):
 @query(sql(f"SELECT symbol, start_trade_id, {num('total_volume')} FROM bars WHERE total_volume = 0"))
 def zero_volume_bars(spark, d):
     return Q.zero_volume_bars(bars_of(spark, d)).select("symbol", "start_trade_id", "total_volume")
+
+
+also_known("multi_interval_candles", "bar_pyramid", "count_bars_since", "latest_snapshot_before", "trade_velocity", "chart_fetch_limit")

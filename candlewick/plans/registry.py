@@ -94,7 +94,7 @@ PARTS = {
     "counted": "SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM ibars",
     "grid": "SELECT symbol, bar_index AS sample_index FROM counted WHERE bar_index % 4 = 0 AND bar_index <= n - 1 - 8",
     "segments": "SELECT *, CASE WHEN action = 'long' THEN linear - 0.001 ELSE -linear - 0.001 END AS net_pnl FROM (SELECT g.symbol, g.sample_index, p.pred_log2, p.p_long, r.* EXCLUDE (symbol, bar_index), entry_close * pow(2, pred_log2) AS target_price, CASE WHEN p_long >= 1 - p_long THEN 'long' ELSE 'short' END AS action, NOT blocks AS allowed, pow(2, target) - 1 AS linear FROM grid g JOIN predictions p ON g.symbol = p.symbol AND g.sample_index = p.sample_index JOIN returns r ON r.symbol = g.symbol AND r.bar_index = g.sample_index)",
-    "positions": "SELECT symbol || '-' || lpad(CAST(bar_index AS VARCHAR), 8, '0') AS position_id, symbol, CASE WHEN (bar_index // 50) % 2 = 0 THEN 'long' ELSE 'short' END AS side, CAST(close_price AS DOUBLE) AS entry_price, 7.0::DOUBLE AS notional_usd, bar_index AS entry_index, bar_index + 8 AS exit_index FROM icandles WHERE bar_index % 50 = 0",
+    "positions": "SELECT symbol || '-' || lpad(CAST(bar_index AS VARCHAR), 8, '0') AS position_id, symbol, CASE WHEN bar_index % 2 = 0 THEN 'long' ELSE 'short' END AS side, CAST(close_price AS DOUBLE) AS entry_price, 7.0::DOUBLE AS notional_usd, bar_index AS entry_index, bar_index + 8 AS exit_index FROM icandles",
     "marks": "SELECT p.*, c.bar_index, CAST(c.close_price AS DOUBLE) AS mark_price, c.start_timestamp_ms AS mark_ms, CASE WHEN side = 'long' THEN (CAST(c.close_price AS DOUBLE) - entry_price) / entry_price ELSE (entry_price - CAST(c.close_price AS DOUBLE)) / entry_price END AS gross FROM positions p JOIN icandles c ON c.symbol = p.symbol AND c.bar_index > p.entry_index AND c.bar_index <= p.exit_index",
     "both_marks": "SELECT position_id, bar_index, mark_price, gross FROM marks UNION ALL SELECT position_id, entry_index, entry_price, 0.0 FROM positions",
     "excursions": "SELECT p.*, m.* EXCLUDE (position_id) FROM positions p JOIN (SELECT position_id, max(gross) AS mfe_gross, min(gross) AS mae_gross, arg_max(mark_price, ROW(gross, bar_index)) AS mfe_mark_price, arg_max(mark_price, ROW(-gross, bar_index)) AS mae_mark_price, arg_max(mark_price, bar_index) AS mark_price, count(*) - 1 AS bars_elapsed FROM both_marks GROUP BY position_id) m ON m.position_id = p.position_id",
@@ -116,6 +116,14 @@ def sql(body: str, recursive: bool = False, **more: str) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS ({own[n]})" for n in own if n in used) + f"\n{body}" if used else body
 
 
+def also_known(*names: str) -> None:
+    """Registers queries once more as <name>_all: names from when the plain ones had a part of their rows."""
+    for name in names:
+        QUERIES[f"{name}_all"] = QUERIES[name]
+        if name in ORACLES:
+            ORACLES[f"{name}_all"] = ORACLES[name]
+
+
 def query(oracle: str | None = None):
     """Registers a function under its name, its numbers made plain."""
 

@@ -10,31 +10,38 @@ from candlewick.operators import bars as B
 from candlewick.operators import migrate as M
 from candlewick.operators import positions as P
 from candlewick.operators import research as R
+from candlewick.operators import scan
 from candlewick.plans import market
-from candlewick.plans.registry import BAR, BAR_COLUMNS, PRICES, big, num, query, sql
+from candlewick.plans.registry import BAR, BAR_COLUMNS, PRICES, also_known, big, num, query, sql
 from candlewick.sources import adapters as A
+from candlewick.sources.shared import shared_path
 from candlewick.streaming import streams as W
 
 STEPS, GRID = 8, 4
 
 
 def indexed(spark, d) -> DataFrame:
-    return B.bar_index(market.bars_of(spark, d))
+    return scan.saved(B.bar_index(market.kept_bars(spark, d)))
 
 
-def predictions(spark, d) -> DataFrame:
+def predicted(spark, d, bars: DataFrame) -> DataFrame:
     """A prediction for each bar, from its first trade's event."""
     k = F.regexp_extract("props", r'"k": ?(\d+)', 1).cast("int")
     events = A.table(spark, d, "events").select(F.col("event_id").alias("start_trade_id"), ((k - 50) / 1000).alias("pred_log2"), (k / 100).alias("p_long"), (1 - k / 100).alias("p_short"), F.lit("snr_only").alias("hint_mode"), (F.col("user_id") % 3 == 0).alias("blocks"))
-    return indexed(spark, d).select("symbol", F.col("bar_index").alias("sample_index"), "start_trade_id").join(events, "start_trade_id").drop("start_trade_id")
+    return bars.select("symbol", F.col("bar_index").alias("sample_index"), "start_trade_id").join(events, "start_trade_id").drop("start_trade_id")
+
+
+def predictions(spark, d) -> DataFrame:
+    return predicted(spark, d, indexed(spark, d))
 
 
-def grid(spark, d) -> DataFrame:
-    return R.grid_samples(indexed(spark, d), GRID, STEPS)
+def grid(spark, d, every: int = GRID) -> DataFrame:
+    return R.grid_samples(indexed(spark, d), every, STEPS)
 
 
 def segments(spark, d) -> DataFrame:
-    return R.research_segments(grid(spark, d), predictions(spark, d), indexed(spark, d), STEPS)
+    bars = indexed(spark, d)
+    return R.research_segments(R.grid_samples(bars, GRID, STEPS), predicted(spark, d, bars), bars, STEPS)
 
 
 SAMPLE = ["symbol", "sample_index"]
@@ -80,17 +87,19 @@ def forward_return(spark, d):
 TRAIN = "SELECT symbol, start_trade_id, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id) - 1 AS train_index FROM bars WHERE start_trade_id % 5 <> 0"
 
 
+def _aligned(spark, d) -> tuple[DataFrame, DataFrame]:
+    bars = indexed(spark, d)
+    return R.align_samples(R.grid_samples(bars, GRID, STEPS), bars, B.bar_index(bars.drop("bar_index").where("start_trade_id % 5 <> 0")))
+
+
 @query(sql("SELECT g.symbol, g.sample_index, b.start_trade_id, t.train_index FROM grid g JOIN ibars b ON b.symbol = g.symbol AND b.bar_index = g.sample_index JOIN train t ON t.symbol = b.symbol AND t.start_trade_id = b.start_trade_id", train=TRAIN))
 def align_samples(spark, d):
-    train = B.bar_index(market.bars_of(spark, d).where("start_trade_id % 5 <> 0"))
-    mapped, _ = R.align_samples(grid(spark, d), indexed(spark, d), train)
-    return mapped
+    return _aligned(spark, d)[0]
 
 
 @query(sql("SELECT g.symbol, count(*) AS skipped FROM grid g JOIN ibars b ON b.symbol = g.symbol AND b.bar_index = g.sample_index WHERE start_trade_id % 5 = 0 GROUP BY 1"))
 def align_samples_skipped(spark, d):
-    train = B.bar_index(market.bars_of(spark, d).where("start_trade_id % 5 <> 0"))
-    return R.align_samples(grid(spark, d), indexed(spark, d), train)[1]
+    return _aligned(spark, d)[1]
 
 
 @query(sql(f"SELECT symbol, sample_index, {RETURN_SQL}, {num('pred_log2', 'p_long', 'target_price', 'linear', 'net_pnl')}, action, allowed FROM segments"))
@@ -100,8 +109,9 @@ def research_segments(spark, d):
 
 @query(sql("SELECT symbol, sample_index FROM grid WHERE sample_index % 12 <> 0"))
 def samples_to_infer(spark, d):
-    stored = grid(spark, d).where("sample_index % 12 = 0").withColumns({"checkpoint": F.lit("c1"), "label": F.lit("run"), "start_index": F.lit(0)})
-    return R.samples_to_infer(grid(spark, d), stored, "c1", "run", 0)
+    samples = grid(spark, d)
+    stored = samples.where("sample_index % 12 = 0").withColumns({"checkpoint": F.lit("c1"), "label": F.lit("run"), "start_index": F.lit(0)})
+    return R.samples_to_infer(samples, stored, "c1", "run", 0)
 
 
 @query(sql("SELECT symbol, sample_index FROM grid"))
@@ -111,7 +121,8 @@ def grid_samples(spark, d):
 
 @query(sql("SELECT symbol, bar_index AS sample_index FROM counted WHERE (bar_index % 4 = 0 OR bar_index % 6 = 0) AND bar_index <= n - 1 - 8"))
 def merge_sample_indices(spark, d):
-    return R.merge_sample_indices(grid(spark, d), R.grid_samples(indexed(spark, d), 6, STEPS))
+    bars = indexed(spark, d)
+    return R.merge_sample_indices(R.grid_samples(bars, GRID, STEPS), R.grid_samples(bars, 6, STEPS))
 
 
 @query(sql(f"SELECT symbol, sample_index, {num(pred_log2='CASE WHEN sample_index % 3 = 0 THEN pred_log2 + 1 ELSE pred_log2 END')} FROM predictions WHERE sample_index % 2 = 0 OR sample_index % 3 = 0"))
@@ -141,51 +152,50 @@ def backtest_sequential(spark, d):
 # Positions
 
 
-def candles(spark, d) -> DataFrame:
-    return B.bar_index(market.candles_of(spark, d))
-
-
-def positions(spark, d, every: int = 50) -> DataFrame:
-    """Every 50th candle of a symbol, or as told, opens a position of 8 bars, sides by turns."""
+def opened(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A position for each candle of a symbol, of 8 bars, sides by turns; and the candles."""
+    bars = scan.saved(B.bar_index(scan.saved(market.candles_of(spark, d))))
     i = F.col("bar_index")
     name = F.concat("symbol", F.lit("-"), F.lpad(i.cast("string"), 8, "0"))
-    return candles(spark, d).where(i % every == 0).select(name.alias("position_id"), "symbol", F.when((i / every).cast("int") % 2 == 0, "long").otherwise("short").alias("side"), F.col("close_price").cast("double").alias("entry_price"), F.lit(7.0).alias("notional_usd"), F.lit("x8").alias("horizon"), i.alias("entry_index"), (i + STEPS).alias("exit_index"))
+    positions = bars.select(name.alias("position_id"), "symbol", F.when(i % 2 == 0, "long").otherwise("short").alias("side"), F.col("close_price").cast("double").alias("entry_price"), F.lit(7.0).alias("notional_usd"), F.lit("x8").alias("horizon"), i.alias("entry_index"), (i + STEPS).alias("exit_index"))
+    return positions, bars
 
 
-def excursions(spark, d, every: int = 50) -> DataFrame:
-    return P.position_excursions(positions(spark, d, every), candles(spark, d))
+def excursions(spark, d) -> DataFrame:
+    return P.position_excursions(*opened(spark, d))
 
 
-def closed(spark, d, every: int = 50) -> DataFrame:
-    exits = positions(spark, d, every).join(candles(spark, d).select("symbol", F.col("bar_index").alias("exit_index"), F.col("close_price").cast("double").alias("exit_price")), ["symbol", "exit_index"]).select("position_id", "exit_price")
-    return P.close_positions(excursions(spark, d, every), exits)
+def closed(spark, d) -> DataFrame:
+    positions, bars = opened(spark, d)
+    exits = positions.join(bars.select("symbol", F.col("bar_index").alias("exit_index"), F.col("close_price").cast("double").alias("exit_price")), ["symbol", "exit_index"]).select("position_id", "exit_price")
+    return P.close_positions(P.position_excursions(positions, bars), exits)
 
 
 @query(sql(f"SELECT position_id, bar_index, {num('gross', net_open='gross - 0.0005', net_closed='gross - 0.001')} FROM marks"))
-def gross_net_return(spark, d, every=50):
+def gross_net_return(spark, d):
     g = X.gross_return(F.col("side"), F.col("entry_price"), F.col("mark_price"))
-    rows = P.position_bars(positions(spark, d, every), candles(spark, d)).withColumn("gross", g)
+    rows = P.position_bars(*opened(spark, d)).withColumn("gross", g)
     return rows.select("position_id", "bar_index", "gross", X.net_return(F.col("gross")).alias("net_open"), X.net_return(F.col("gross"), True).alias("net_closed"))
 
 
 @query(sql(f"SELECT position_id, bar_index, mark_ms, {num('mark_price')} FROM marks"))
-def position_bars(spark, d, every=50):
-    return P.position_bars(positions(spark, d, every), candles(spark, d)).select("position_id", "bar_index", "mark_ms", "mark_price")
+def position_bars(spark, d):
+    return P.position_bars(*opened(spark, d)).select("position_id", "bar_index", "mark_ms", "mark_price")
 
 
 @query(sql(f"SELECT position_id, {num('mfe_gross', 'mae_gross', 'mfe_mark_price', 'mae_mark_price', 'mark_price')}, bars_elapsed FROM excursions"))
-def position_excursions(spark, d, every=50):
-    return excursions(spark, d, every).select("position_id", "mfe_gross", "mae_gross", "mfe_mark_price", "mae_mark_price", "mark_price", "bars_elapsed")
+def position_excursions(spark, d):
+    return excursions(spark, d).select("position_id", "mfe_gross", "mae_gross", "mfe_mark_price", "mae_mark_price", "mark_price", "bars_elapsed")
 
 
-SHOWN = {"mfe_net_return_pct": "100 * (mfe - 0.0005)", "mae_net_return_pct": "100 * (mae - 0.0005)", "mfe_pnl_usd": "7 * (mfe - 0.0005)", "mae_pnl_usd": "7 * (mae - 0.0005)", "giveback_net_return_pct": "100 * (mfe - gross)", "giveback_pnl_usd": "7 * (mfe - gross)"}
+SHOWN = {"mfe_gross_return_pct": "100 * mfe", "mae_gross_return_pct": "100 * mae", "mfe_net_return_pct": "100 * (mfe - 0.0005)", "mae_net_return_pct": "100 * (mae - 0.0005)", "mfe_pnl_usd": "7 * (mfe - 0.0005)", "mae_pnl_usd": "7 * (mae - 0.0005)", "giveback_net_return_pct": "100 * ((mfe - 0.0005) - (gross - 0.0005))", "giveback_pnl_usd": "7 * ((mfe - 0.0005) - (gross - 0.0005))"}
 METRICS = {"gross_return_pct": "100 * gross", "unrealized_net_return_pct": "100 * (gross - 0.0005)", "unrealized_pnl_usd": "7 * (gross - 0.0005)"} | SHOWN
 LATEST = "SELECT *, mfe_gross AS mfe, mae_gross AS mae, CASE WHEN side = 'long' THEN (mark_price - entry_price) / entry_price ELSE (entry_price - mark_price) / entry_price END AS gross FROM excursions"
 
 
 @query(sql(f"SELECT position_id, greatest(0, 8 - bars_elapsed) AS bars_remaining, {num(progress_pct='least(100, 100.0 * bars_elapsed / 8)', **METRICS)}, bars_elapsed >= 8 AS at_target_horizon FROM latest", latest=LATEST))
-def position_metrics(spark, d, every=50):
-    return P.position_metrics(excursions(spark, d, every)).select("position_id", "bars_remaining", "progress_pct", *METRICS, "at_target_horizon")
+def position_metrics(spark, d):
+    return P.position_metrics(excursions(spark, d)).select("position_id", "bars_remaining", "progress_pct", *METRICS, "at_target_horizon")
 
 
 CLOSED = {"gross_return_pct": "100 * gross", "net_return_pct": "100 * (gross - 0.001)", "realized_pnl_usd": "7 * (gross - 0.001)"} | SHOWN
@@ -193,32 +203,21 @@ FINAL = "SELECT *, greatest(mfe_gross, gross) AS mfe, least(mae_gross, gross) AS
 
 
 @query(sql(f"SELECT position_id, {num('exit_price', **CLOSED)} FROM final", final=FINAL))
-def close_positions(spark, d, every=50):
-    return closed(spark, d, every).select("position_id", "exit_price", *CLOSED)
+def close_positions(spark, d):
+    return closed(spark, d).select("position_id", "exit_price", *CLOSED)
 
 
 @query(sql(f"SELECT {num(realized_pnl_usd='sum(7 * (gross - 0.001))')}, count(*) AS n_trades FROM closed"))
-def journal_summary(spark, d, every=50):
-    return P.journal_summary(closed(spark, d, every))[0]
+def journal_summary(spark, d):
+    return P.journal_summary(closed(spark, d))[0]
 
 
 @query(sql(f"SELECT position_id, {num(realized_pnl_usd='7 * (gross - 0.001)')} FROM closed ORDER BY exit_index DESC, position_id DESC LIMIT 20"))
-def journal_last_closed(spark, d, every=50):
-    return P.journal_summary(closed(spark, d, every))[1].select("position_id", "realized_pnl_usd")
-
-
-def _of_all(f):
-    """Registers a query of positions once more, with a position for each candle."""
-
-    def run(spark, d):
-        return f(spark, d, 1)
-
-    run.__name__ = f"{f.__name__}_all"
-    query()(run)
+def journal_last_closed(spark, d):
+    return P.journal_summary(closed(spark, d))[1].select("position_id", "realized_pnl_usd")
 
 
-for _f in (gross_net_return, position_bars, position_excursions, position_metrics, close_positions, journal_summary, journal_last_closed):
-    _of_all(_f)
+also_known("gross_net_return", "position_bars", "position_excursions", "position_metrics", "close_positions", "journal_summary", "journal_last_closed")
 
 
 # Streams: the events table read as a stream, run to its end
@@ -232,7 +231,7 @@ def _stream(spark, d) -> DataFrame:
 
 def _finished(stream: DataFrame, spark) -> DataFrame:
     """What a stream gives in all, from a table that it is written to."""
-    path = market.shared_path(spark, "stream")
+    path = shared_path(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
@@ -267,7 +266,7 @@ def stream_book_guard(spark, d):
 @query(sql(f"SELECT {market.TRADE_SQL} FROM trades"))
 def stream_upsert(spark, d):
     """Each micro-batch is added by key to a table that has a part of the trades already."""
-    path = market.shared_path(spark, "upserted")
+    path = shared_path(spark, "upserted")
     market.trades_of(spark, d).where("trade_id % 3 = 0").write.parquet(f"{path}/rows")
 
     def write(batch: DataFrame) -> None:
