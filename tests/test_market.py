@@ -213,11 +213,29 @@ def test_parsers(spark):
 
 
 def test_csv_quarantine(spark, tmp_path):
-    head = "instrument_name,trade_id,side,size,price,created_time\n"
+    head = "instrument_name,trade_id,side,price,size,created_time\n"
     (tmp_path / "AAA-BBB-trades-2024-01.csv").write_text(head + "AAA-BBB,1,buy,2,1.5,1000\nAAA-BBB,2,Sell,1.5,2,1001\nAAA-CCC,3,buy,1,1,1\nAAA-BBB,4,hold,1,1,1\nAAA-BBB,5,buy,1,x,1\n")
-    good, bad = tables.ingest_trades_csv(spark, str(tmp_path))
-    assert sorted((r.trade_id, r.is_buy) for r in good.collect()) == [(1, True), (2, False)]
-    assert sorted(r.trade_id for r in bad.collect()) == [3, 4, 5]
+    (tmp_path / "AAA-BBB-trades-2024-02.csv").write_text("instrument_name,trade_id,side,size,price,created_time\nAAA-BBB,6,buy,2,1.5,1000\n")
+    (tmp_path / "AAA-BBB-trades-2024-03.csv").write_text("a,b\nAAA-BBB,7\n")
+    (tmp_path / "AAA-BBB-trades-2024-04.csv").write_text(head)
+    (tmp_path / "AAA-BBB-trades-2024-05.csv").write_text("")
+    good, bad = tables.ingest_trades_csv(spark, f"{tmp_path}/*.csv")
+    assert sorted((r.trade_id, r.is_buy, float(r.price), float(r.quantity)) for r in good.collect()) == [(1, True, 2, 1.5), (2, False, 1.5, 2)]
+    found = sorted((r.trade_id, r.reason) for r in bad.collect() if r.instrument_name == "AAA-BBB" or r.trade_id == "3")
+    assert found == [("3", "instrument"), ("4", "side"), ("5", "number"), ("6", "header"), ("7", "header")]
+
+
+def test_exported_bars_are_read_back_from_named_files(spark, tmp_path):
+    t = frame(spark, TRADES, [(s, i, i % 3 == 0, 10 + i % 4, 1, 5 * i) for s in ("btc_usd", "eth_usd") for i in range(40)])
+    own = runs.run_bars_side(t)
+    tables.export_bars_csv(own, f"{tmp_path}/out", 2, 10)
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.csv")) == ["btc_0M_to_0M.csv", "eth_0M_to_0M.csv"]
+    assert (tmp_path / "out/btc_0M_to_0M.csv").read_text().split("\n")[0] == ",".join(tables.BAR_CSV)
+    got = tables.read_bars_csv(spark, f"{tmp_path}/out/*.csv", own.schema)
+    want = bars.bar_index(own).where("bar_index between 2 and 11").select(*tables.BAR_CSV)
+    assert sorted(map(str, got.drop("file").collect())) == sorted(map(str, want.collect())) and got.count() == 20
+    names = tables.export_range(spark.range(3).selectExpr("'a_b' as symbol", "id as start_trade_id"), 1_000_000, 5)
+    assert names.count() == 0 and names.columns[-1] == "file"
 
 
 def test_excursions(spark):
@@ -270,7 +288,7 @@ def test_queries_of_all_rows(spark):
     found = QUERIES["latest_snapshot_before_all"](spark, d).select("symbol", "timestamp_ms", "last_at_or_before", "first_at_or_after", "next_after").collect()
     assert len(found) == len(want) and {tuple(r) for r in found} == want
 
-    candles = sorted((r.symbol, r.bar_index, float(r.close_price)) for r in research.candles(spark, d).collect())
+    candles = sorted((r.symbol, r.bar_index, float(r.close_price)) for r in research.opened(spark, d)[1].collect())
     price = {(s, i): p for s, i, p in candles}
     gross = lambda s, i, j: (1, -1)[i % 2] * (price[s, j] - price[s, i]) / price[s, i]
     name = lambda s, i: f"{s}-{i:08d}"
