@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -317,9 +315,48 @@ def test_a_payload_with_the_name_of_a_tag_stays_whole(size):
     assert cut.tags["TIT2"] == "title" and len(cut.payload) < size
 
 
-def test_tail_checksum_matches(spark, docs):
-    from candlewick.llm import queries
-
-    assert set(queries.QUERIES) >= {f"op{n}_{x}" for n, x in ((1, "byte_bpe"), (6, "mpeg_audio"))}
-    assert zlib.crc32(b" " * 16) == 2557047947
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=40), st.sampled_from([b"TAG", b"ID3\x03\0", b"Xing", b"VBRI", b"Info", b"\xff", b"\xff\xfb\x90\xc0", b"\xff\xfa\x18\xc0"]), st.integers(0, 1500).map(bytes)), max_size=12))
+def test_any_payload_is_read_back(parts):
+    payload = mpeg_audio.padded(b"".join(parts))
+    found = mpeg_audio.read(mpeg_audio.store(payload))
+    assert found.payload == payload and found.bad == found.skipped == found.resyncs == 0 and found.table == "Xing"
+
+
+def test_precision_and_recall_of_random_strings(spark):
+    """Planted random strings of several alphabets among ordinary long ones."""
+    r = random.Random(9)
+    stems = ["transform", "column", "schema", "partition", "reader", "config", "default", "handler", "session", "builder", "Utils", "Http", "Request", "index", "page", "user"]
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "letters and digits": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    ordinary = lambda: r.choice([lambda: "_".join(r.choices(stems, k=4)), lambda: "".join(x.capitalize() for x in r.choices(stems, k=4)), lambda: "/".join(["src", *r.choices(stems, k=4)]), lambda: "-".join(r.choices(stems, k=3)) + f"-20{r.randint(10, 30)}-0{r.randint(1, 9)}"])()
+    planted = [("".join(r.choices(a, k=r.randint(24, 44)))) for a in alphabets.values() for _ in range(100)]
+    rows = [f"see {ordinary()} and {ordinary()} for it" for _ in range(1500)] + [f"key {x} is here" for x in planted] + [f"token={''.join(r.choices(alphabets['base64'], k=32))}" for _ in range(100)]
+    found = secrets.scan(documents(spark, list(enumerate(rows)))).selectExpr("text", "filter(spans, x -> x.kind = 'random') as found").where("size(found) > 0").collect()
+    got = {x.text[y.start : y.end] for x in found for y in x.found}
+    recall, precision = len(got & set(planted)) / len(planted), len(got & set(planted)) / max(1, len(got))
+    print(f"random strings: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall > 0.95 and precision > 0.95
+
+
+CLASHES = [
+    "apart", "base_spans", "spans", "n_words", "n_removed", "kept", "n_shingles", "component_id", "component", "id", "tokens", "key", "chunk", "blob", "bits", "c0", "C1", "_measured", "base_failed", "label", "fold", "score", "held_out",
+    "ids", "decoded", "media", "payload", "n_bytes", "start", "length", "offset", "sequence_id", "doc_tokens", "p_toxic", "is_toxic", "row", "_row",
+]
+
+
+def test_no_name_of_a_column_clashes(spark):
+    from candlewick.llm import quality_knn, toxicity
+
+    data = [(i, t, *CLASHES) for i, t in texts()]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3).cache()
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    replaced = {"n_words", "n_removed", "kept"}
+    for found in (byte_bpe.byte_bpe(docs, RANKS), quality_rules.quality_rules(docs), jaccard_join.jaccard_join(docs), mpeg_audio.store_audio(docs), toxicity.toxicity(docs, labels), quality_knn.quality_knn(docs, labels), packing.pack(docs, TOKENIZER)):
+        assert found.count() >= len(data)
+    for found in (substring_dedup.trimmed(docs), secrets.redacted(docs)):
+        assert found.columns == docs.columns and [tuple(x) for x in found.select(*(f"`{c}`" for c in CLASHES)).distinct().collect()] == [tuple(CLASHES)]
+    found = substring_dedup.substring_dedup(docs)
+    assert {c for c in CLASHES if c not in replaced} <= set(found.columns) and found.count() == len(data)
+    found = secrets.scan(docs)
+    assert found.where("apart = 'apart' and `C1` = 'C1'").count() == len(data) and dict(found.dtypes)["spans"].startswith("array")
+    assert mpeg_audio.read_audio(mpeg_audio.store_audio(docs).join(docs.select("doc_id", "score", "tokens"), "doc_id")).where("score = 'score'").count() > 0
