@@ -141,7 +141,8 @@ def byte_bpe(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     """One row per input row: id, ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded`` (binary, the bytes of these ids).
 
     ranks_path: a file of base64 byte strings and ranks. Whole texts are encoded, each match of the usual pre-token
-    pattern on its own, without special tokens. Null and empty texts have no ids. Ids of rows aren't looked at: null and
+    pattern on its own, without special tokens, however long. Null and empty texts have no ids. Of two pairs of one rank
+    the left one is joined first. Ids of rows aren't looked at: null and
     repeated ones give a row each. Only the two columns are read, so other columns don't matter. No shuffle.
     """
     name, few = shipped(docs, ranks_path), docs.select(id_col, text_col)

@@ -268,7 +268,8 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
             linked[own] = ids[own][_links_in([tokens[x] for x in own], percent)]
         return pa.table([rows.column("id"), pa.array(linked), pa.array(blocks > 1)], ["a", "b", "several"])
 
-    first = C.written(mine.groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, several boolean"), "inside")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few bytes of much work aren't put into few tasks
+    first = C.written(mine.repartition(n, "dealt").groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, several boolean"), "inside")
     parts = components(first.where("several").select("a", "b")).select(F.col("node").alias("id"), "component")
     placed = members.where("blocks > 1").select("id", "cluster", "size").join(parts, "id", "left").select("id", "cluster", "size", F.coalesce("component", "id").alias("component"))
     placed = C.written(placed, "placed")
@@ -290,7 +291,7 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
                     b.append(ids[c])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    second = asked.groupBy("cluster", "block", "part").cogroup(held.groupBy("c", "k", "p")).applyInArrow(across, "a bigint, b bigint")
+    second = asked.repartition(n, "cluster", "block", "part").groupBy("cluster", "block", "part").cogroup(held.repartition(n, "c", "k", "p").groupBy("c", "k", "p")).applyInArrow(across, "a bigint, b bigint")
     return first.select("a", "b").union(second)
 
 

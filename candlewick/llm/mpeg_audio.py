@@ -293,7 +293,8 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: id, n_bytes (of the text as UTF-8), media (binary, an MPEG stream).
 
     The text, padded with spaces to a positive multiple of 192 bytes, lies in the ancillary bytes of valid silent frames.
-    A null text is stored as an empty one; ids may be null or repeated; other columns don't matter. No shuffle.
+    A null text is stored as an empty one, a long one whole; equal texts have equal streams; ids may be null or repeated;
+    other columns don't matter. No shuffle.
     """
     few = docs.select(id_col, text_col)
 

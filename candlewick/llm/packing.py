@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block:
     capacity or more gives full windows, cut from its start; what is left, shorter than capacity, is shared out over
     windows with the other short pieces of its partition, block of them at a time. So only the last windows of a
     partition and the slack of a block are padding. A sequence id holds the partition's number above 2**33. Equal and
-    null ids each give their own pieces. Other columns don't matter. No shuffle.
+    null ids each give their own pieces. Among equal imbalances the earlier piece merges first. Other columns don't matter. No shuffle.
     """
     name, few = shipped(docs, tokenizer_path), docs.select(id_col, text_col)
     end = np.array([end_id], "<u4")

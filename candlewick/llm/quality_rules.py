@@ -81,8 +81,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...
     A text fails the base rule with fewer than 50 words, or when more than half of its words lie in three-word windows
     that occur twice or more. It is kept when it passes and no share of its word characters inside repeated n-grams (5,
     8 and 12 words) or repeated lines, first occurrences excluded, is over its limit. Null and empty texts have no words
-    and fail. Ids aren't looked at: null and repeated ids give a row each. Carried columns whose
-    names clash with these results are left out. No shuffle.
+    and fail; a very long text is measured whole, alone. Ids aren't looked at: null and repeated ids give a row each, equal
+    texts equal results. Carried columns whose names clash with these results are left out. No shuffle.
     """
     names = [*COUNTS, *(f"gram_{k}_chars" for k in LIMITS)]
     carried = [c for c in carry if c not in {*names, "base_failed", "kept"}]

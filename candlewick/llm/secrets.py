@@ -119,7 +119,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Starts and ends count code points, ends are exclusive. ``base_spans`` are those of the fixed patterns; an assignment
     with a value of fewer than 6 characters is left out. ``spans`` has these and, as kind random, the strings of 20
     characters or more that overlap none of them and that the models of ``model`` take for random. Null and empty texts
-    have no spans. Other columns stay; columns of these two names are replaced. The text is read twice, with no shuffle
+    have no spans; texts are scanned whole, of any length; rows aren't told apart, so repeated ones have equal spans. Other
+    columns stay; columns of these two names are replaced. The text is read twice, with no shuffle
     of texts: first for the counts of the models.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
