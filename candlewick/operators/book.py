@@ -25,9 +25,8 @@ def data_sets(events: DataFrame, keep_open: bool = False, chunks: int | None = N
     Only narrow rows (symbol, time, id, action) are ordered; events before the first snapshot belong nowhere.
     """
     narrow = events.groupBy(*SYMBOL, *ORDER).agg(F.max(F.col("action") == "Snapshot").alias("_snap"))
-    narrow = scan.saved(narrow)
     counted = scan.step(narrow, SYMBOL, ORDER, sums={"_n": F.col("_snap").cast("bigint")}, chunks=chunks)
-    last = narrow.groupBy("symbol").agg(F.count_if("_snap").alias("_last"))
+    last = counted.groupBy("symbol").agg(F.max("_n").alias("_last"))
     own = counted.join(last, "symbol").where("_n > 0" if keep_open else "_n > 0 and _n < _last")
     return events.join(own.select(*SYMBOL, *ORDER, (F.col("_n") - 1).alias("data_set_idx")), [*SYMBOL, *ORDER])
 
@@ -51,15 +50,19 @@ def level_lifetimes(changes: DataFrame) -> DataFrame:
     )
 
 
-def totals(changes: DataFrame) -> DataFrame:
-    """At each event of a data set the sums of quantity and volume of both sides: changes against the price's last state, summed up."""
+def totals(changes: DataFrame, chunks: int | None = None) -> DataFrame:
+    """At each event of a data set the sums of quantity and volume of both sides: changes against the price's last state, summed up.
+
+    They are summed over a whole symbol, in chunks, less the sum before the data set.
+    """
     price = Window.partitionBy("symbol", "data_set_idx", "side", "price").orderBy(*ORDER)
     change = F.col("quantity") - F.coalesce(F.lag("quantity").over(price), F.lit(0))
     moved = changes.withColumn("_q", change).withColumn("_v", change * F.col("price"))
     each = moved.groupBy("symbol", "data_set_idx", *ORDER).agg(*(F.sum(F.when(F.col("side") == s, F.col(x)).otherwise(0)).alias(f"_{s}{x}") for s in ("ask", "bid") for x in ("_q", "_v")))
-    w = Window.partitionBy("symbol", "data_set_idx").orderBy(*ORDER)
-    names = {"_q": "quantity", "_v": "volume"}
-    return each.select("symbol", "data_set_idx", *ORDER, *(F.sum(f"_{s}{x}").over(w).alias(f"{s}s_total_{n}") for s in ("ask", "bid") for x, n in names.items()))
+    names = {f"_{s}{x}": f"{s}s_total_{n}" for s in ("ask", "bid") for x, n in (("_q", "quantity"), ("_v", "volume"))}
+    sums = scan.step(each, SYMBOL, ORDER, sums={f"_to{c}": F.col(c) for c in names}, chunks=chunks)
+    before = sums.groupBy("symbol", "data_set_idx").agg(F.min_by(F.struct(*((F.col(f"_to{c}") - F.col(c)).alias(c) for c in names)), F.struct(*ORDER)).alias("_before"))
+    return sums.join(before, ["symbol", "data_set_idx"]).select("symbol", "data_set_idx", *ORDER, *((F.col(f"_to{c}") - F.col(f"_before.{c}")).alias(n) for c, n in names.items()))
 
 
 def snapshot_side_stats(messages: DataFrame) -> DataFrame:
@@ -187,10 +190,9 @@ def interval_trade_stats(trades: DataFrame, events: DataFrame, chunks: int | Non
 def interval_records(trades: DataFrame, changes: DataFrame, carry_empty_intervals: bool = False, chunks: int | None = None) -> DataFrame:
     """Interval records: the book before and after the event that ends each interval, and the interval's trades; intervals without trades give none.
 
-    changes: level changes with data_set_idx. record_idx counts the records of a data set. With carry_empty_intervals a
+    changes: level changes with data_set_idx, best a stored table, since they are read several times. record_idx counts the records of a data set. With carry_empty_intervals a
     record starts where the one before it in the data set ended, over all intervals without trades between them.
     """
-    changes = scan.saved(changes)
     stats = scan.saved(state_stats(changes, chunks=chunks))
     as_of = lambda e: stats.select("symbol", "data_set_idx", F.col("event_id").alias(f"{e}_event_id"), *(F.col(f"{s}_{x}").alias(_record_name(e, s, x)) for s in ("ask", "bid") for x in STATS))
     mine = interval_trade_stats(trades, changes, chunks).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
