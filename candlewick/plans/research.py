@@ -250,6 +250,14 @@ def stream_run_bars(spark, d):
     return _finished(W.stream_run_bars(_stream(spark, d)), spark).select(*BAR_COLUMNS)
 
 
+@query(sql(f"SELECT {BAR} FROM bars"))
+def stream_run_bars_of_batches(spark, d):
+    """The same for micro-batches of any size."""
+    path = shared_path(spark, "run-bars")
+    W.run_bars_of_batches(_stream(spark, d), path, f"{path}/stream").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(*BAR_COLUMNS)
+
+
 CHAIN = "SELECT symbol, timestamp_ms, event_id, action, lag(event_id) OVER w AS expected_seq_id, CASE WHEN action = 'Snapshot' THEN CASE WHEN event_id % 3 = 0 THEN 5 ELSE -1 END ELSE event_id - 5 END AS prev_seq_id FROM (SELECT symbol, timestamp_ms, event_id, CASE WHEN event_id % 50 = 0 THEN 'Snapshot' ELSE 'Update' END AS action FROM book) WINDOW w AS (PARTITION BY symbol ORDER BY timestamp_ms, event_id)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from candlewick.operators import runs, scan
 from candlewick.operators.runs import trade_volume
 
 RUN = (
@@ -78,6 +79,37 @@ def stream_book_guard(messages: DataFrame) -> DataFrame:
     return own.groupBy("symbol").applyInPandasWithState(step, "symbol string, timestamp_ms bigint, event_id bigint, expected_seq_id bigint, prev_seq_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_bars_of_batches(trades: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes side bars as their runs close, for micro-batches of any size: each is solved in chunks by the batch operators.
+
+    The state is a row for each symbol, its open run, kept under path for each batch; a batch that runs again reads the
+    state before it and overwrites what it wrote. Ids up to the last one seen are ignored.
+    """
+
+    def write(batch: DataFrame, no: int) -> None:
+        spark, whole = batch.sparkSession, f"{path}/state/batch="
+        fresh = batch.select("symbol", "trade_id", "is_buy", "price", "quantity", "timestamp_ms").dropDuplicates(["symbol", "trade_id"])
+        before = spark.read.parquet(f"{whole}{no - 1}") if no else None
+        if before is not None:
+            fresh = fresh.join(before.select("symbol", F.col("end_trade_id").alias("_seen")), "symbol", "left").where("_seen is null or trade_id > _seen").drop("_seen")
+        numbered = runs.side_runs(scan.saved(fresh))
+        bars = numbered.groupBy("symbol", "run_id").agg(F.any_value("is_buy").alias("is_buy"), *runs.trade_aggregates())
+        if before is not None:  # the open run goes on in the first run of its side, else it is a run before all others
+            first = bars.where("run_id = 1").select("symbol", F.col("is_buy").alias("_side"))
+            carried = before.join(first, "symbol", "left").withColumn("run_id", F.when(F.col("_side") == F.col("is_buy"), 1).otherwise(0).cast("bigint")).drop("_side")
+            kinds = dict(before.dtypes)
+            bars = bars.select(*(F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in bars.columns)).unionByName(carried.select(*bars.columns))
+            bars = bars.groupBy("symbol", "run_id").agg(F.any_value("is_buy").alias("is_buy"), *runs.bar_aggregates())
+            bars = bars.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in bars.columns))
+        bars = scan.saved(bars)
+        last = bars.groupBy("symbol").agg(F.max("run_id").alias("_last"))
+        bars = bars.join(last, "symbol")
+        bars.where("run_id < _last").drop("run_id", "_last", "is_buy").write.mode("overwrite").parquet(f"{path}/rows/batch={no}")
+        bars.where("run_id = _last").drop("run_id", "_last").write.mode("overwrite").parquet(f"{whole}{no}")
+
+    return trades.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def stream_upsert(rows: DataFrame, write: Callable[[DataFrame], None], checkpoint: str):
     """Starts a query that gives each micro-batch to write, for instance an upsert by key, so a batch that runs again changes nothing."""
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: write(df)).start()
