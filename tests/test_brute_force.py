@@ -230,6 +230,18 @@ def test_streams_give_what_batches_give(spark):
     assert streams.stream_run_bars(_stream(spark, SMALL)).isStreaming
 
 
+def test_bars_of_many_batches(spark, some, tmp_path):
+    """Four files in order of id, one a batch; the last one has rows of the third again."""
+    t, _ = some
+    for i, (low, high) in enumerate(((0, 500), (500, 505), (505, 2000), (1500, 9000))):
+        t.where(f"trade_id >= {low} and trade_id < {high}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    streams.run_bars_of_batches(stream, f"{tmp_path}/out", f"{tmp_path}/stream").awaitTermination()
+    got, want = spark.read.parquet(f"{tmp_path}/out/rows").drop("batch"), runs.run_bars_side(t)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert len(list((tmp_path / "out/rows").glob("batch=*"))) == 4
+
+
 def test_bars_are_resumed(spark):
     for name, whole in (("incremental_bars", "run_bars_side"), ("incremental_bars_direction", "run_bars_direction")):
         assert sorted(map(str, QUERIES[name](spark, SMALL).collect())) == sorted(map(str, QUERIES[whole](spark, SMALL).select(*QUERIES[name](spark, SMALL).columns).collect()))
