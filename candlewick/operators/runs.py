@@ -85,9 +85,9 @@ def dominant_side_lines(bars: DataFrame) -> DataFrame:
     )
 
 
-def _ways(steps: DataFrame, chunks: int | None) -> DataFrame:
-    """Adds way, the last step that isn't 0 (0 before any), and line, a number that rises where the way changes."""
-    own = scan.chunked(steps, "trade_id", chunks).withColumn("_turn", F.when(F.col("_step") != 0, F.col("_step")))
+def _ways(steps: DataFrame) -> DataFrame:
+    """Adds way, the last step that isn't 0 (0 before any), and line, a number that rises where the way changes. steps has chunks."""
+    own = steps.withColumn("_turn", F.when(F.col("_step") != 0, F.col("_step")))
     w = scan.inside(SYMBOL, "trade_id")
     upto, before = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
     last = F.last("_turn", ignorenulls=True)
@@ -116,8 +116,8 @@ def zigzag_lines(trades: DataFrame, chunks: int | None = None) -> DataFrame:
     starts where the one before it ended; the trade it starts with counts in the earlier line's quantity and volume. A
     symbol with one trade has no line.
     """
-    own = scan.step(trades, SYMBOL, ["trade_id"], index="_i", previous={"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"}, chunks=chunks)
-    steps = _ways(own.where("_i > 0").withColumn("_step", F.signum(F.col("price") - F.col("_price")).cast("int")), chunks)
+    own = scan.step(scan.chunked(trades, "trade_id", chunks), SYMBOL, ["trade_id"], index="_i", previous={"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"})
+    steps = _ways(own.where("_i > 0").withColumn("_step", F.signum(F.col("price") - F.col("_price")).cast("int")))
     first = own.where("_i = 0").select("symbol", F.col("trade_id").alias("_first"), F.col("quantity").alias("_q"), trade_volume().alias("_v"))
     lines = steps.groupBy("symbol", "line").agg(
         F.any_value("way").alias("way"), F.min_by("_price", "trade_id").alias("start_price"), F.max_by("price", "trade_id").alias("end_price"), F.min("_id").alias("start_trade_id"),
