@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from candlewick.llm import jaccard_join, quality_rules
+from candlewick.llm import filter_audit, jaccard_join, quality_rules
 
 _WORD = r"[^ \t\n\x0B\f\r]+"
 _WORDS = f"words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents)"
@@ -51,4 +51,29 @@ judged AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (line_chars > {quality_rules.LINE_LIMIT}::DOUBLE * word_chars{"".join(f" OR chars_{n} > {m}::DOUBLE * word_chars" for n, m in _LIMITS.items())}) AS kept FROM judged"""
 
-ORACLES = {"op4_quality_rules": QUALITY_RULES, "op8_jaccard_join": JACCARD_JOIN, "op10_substring_dedup": SUBSTRING_DEDUP}
+_LETTERS = filter_audit.FILTERS
+_NAMES = [f"x{i}" for i in range(len(_LETTERS))]
+_AT = "instr('" + _LETTERS + "', substr(filter_order, {}, 1)) - 1"
+FILTER_AUDIT = f"""WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+split AS (SELECT docs.doc_id, part, docs.t, first, regexp_extract_all(docs.t, '{_WORD}') AS ws FROM docs JOIN firsts ON docs.t = firsts.t),
+masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(ws) < {filter_audit.LEAST_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < {filter_audit.LEAST_DISTINCT} * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN split.doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM split LEFT JOIN known ON known.doc_id = split.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT unnest(string_split('{",".join(_LETTERS)}', ',')) AS f),
+orders AS (SELECT {" || ".join(f"{x}.f" for x in _NAMES)} AS filter_order FROM {", ".join(f"letters {x}" for x in _NAMES)} WHERE len(list_distinct([{", ".join(f"{x}.f" for x in _NAMES)}])) = {len(_LETTERS)}),
+steps AS (SELECT filter_order, step, (1 << ({_AT.format("step")})) AS own, list_sum(list_transform(range(1, step), lambda i: 1 << ({_AT.format("i")}))) AS earlier FROM orders, (SELECT unnest(range(1, {len(_LETTERS) + 1})) AS step)),
+cells AS (SELECT part, filter_order, step, own, mask, n, good, toxic, mask & own > 0 AS fails, mask & coalesce(earlier, 0)::INT > 0 AS gone FROM counts, steps),
+sums AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM cells GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums"""
+
+EXACT_DEDUP = r"""WITH own AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g') AS k, length(coalesce(text, '')) AS points FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, row_number() OVER best = 1 AS kept, sha256(k) AS text_sha256
+FROM own WINDOW best AS (PARTITION BY k ORDER BY points DESC, doc_id NULLS LAST)"""
+
+ORACLES = {"op11_filter_audit": FILTER_AUDIT, "op12_exact_dedup": EXACT_DEDUP, "op4_quality_rules": QUALITY_RULES, "op8_jaccard_join": JACCARD_JOIN, "op10_substring_dedup": SUBSTRING_DEDUP}
