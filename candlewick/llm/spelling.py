@@ -166,10 +166,12 @@ def codes(column: pa.Array) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def neighbourhoods(column: pa.Array, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbourhoods(column: pa.Array, symbols: int, one_side: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The hashes of reduced words and of all that one edit makes of them, each once, and the number of the word each comes from.
 
-    An edit changes the polynomial's terms before and after its place in one way, so a hash comes from running sums.
+    An edit changes the polynomial's terms before and after its place in one way, so a hash comes from running sums. With
+    one_side each pair of neighbours comes from one of the two: the longer, or of equal ones that with the lesser symbol
+    at the place where they differ. An insertion in one word is a deletion in the other.
     """
     alphabet = np.frombuffer(SYMBOLS[:symbols].encode(), np.uint8)
     before = 0
@@ -187,8 +189,10 @@ def neighbourhoods(column: pa.Array, symbols: int) -> Iterator[tuple[np.ndarray,
         yield X.mix(((total[p] - total[start[p]]) + (total[end[p]] - total[p + 1]) * down[1]) * down[start[p]]), of[p] + before
         whole = (total[end] - total[start]) * down[start]
         for c in alphabet.astype(np.uint64):
-            p = at[data != c]
+            p = at[data < c if one_side else data != c]
             yield X.mix(whole[p] + (c - data[p]) * up[p - start[p]]), of[p] + before
+            if one_side:
+                continue
             p = at[(at == start) | (np.append(c, data[:-1]) != c)]  # an insertion after the same symbol is one before it
             left, right = total[p] - total[start[p]], total[end[p]] - total[p]
             yield X.mix((left + c * up[p] + right * up[1]) * down[start[p]]), of[p] + before
@@ -200,8 +204,8 @@ def neighbourhoods(column: pa.Array, symbols: int) -> Iterator[tuple[np.ndarray,
 def near_words(words: DataFrame, symbols: int) -> DataFrame:
     """Columns word, n, other, m: each word (and its number) with each one that is exactly one edit from it (and its number).
 
-    Words that are one edit apart are so or equal when reduced. The neighbourhood of each different reduced word meets the
-    reduced words by hash, the words of such pairs are compared themselves. Both directions come out.
+    Words that are one edit apart are so or equal when reduced. The neighbourhoods of all different reduced words meet the
+    reduced words by hash, each pair from one side; the words of such pairs are compared themselves.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +215,18 @@ def near_words(words: DataFrame, symbols: int) -> DataFrame:
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.asarray(batch.column(1))
-            for keys, of in neighbourhoods(batch.column(0), symbols):
+            for keys, of in neighbourhoods(batch.column(0), symbols, one_side=True):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own[of])], ["code", "source"])
 
     own = C.written(words.select("word", "n", reduced(F.col("word"), symbols).alias("reduced")).mapInArrow(coded, "word string, n bigint, code bigint, reduced string"), "reduced-words")
     keys = own.select("reduced", "code").distinct().mapInArrow(around, "code bigint, source bigint")
     meeting = keys.join(own.select("code").distinct(), "code")
-    asking = meeting.join(own.select(F.col("code").alias("source"), "word", "n"), "source").select("code", "word", "n")
+    asking = meeting.join(own.select(F.col("code").alias("source"), "word", "n"), "source").select("code", (F.col("code") == F.col("source")).alias("alike"), "word", "n")
     pairs = asking.join(own.select("code", F.col("word").alias("other"), F.col("n").alias("m")), "code")
-    return pairs.where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "m")
+    pairs = pairs.where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    ways = F.when(F.col("alike"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))  # words reduced alike meet both ways
+    way = pairs.withColumn("way", F.explode(ways))
+    return way.select(*(F.when(F.col("way"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("word", "other"), ("n", "m"), ("other", "word"), ("m", "n"))))
 
 
 def roots(forms: DataFrame) -> DataFrame:

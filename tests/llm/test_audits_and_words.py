@@ -257,6 +257,11 @@ def test_neighbourhoods(made):
     for i, w in enumerate(made):
         want = {w} | {w[:p] + w[p + 1 :] for p in range(len(w))} | {w[:p] + c + w[p:] for p in range(len(w) + 1) for c in "012"} | {w[:p] + c + w[p + 1 :] for p in range(len(w)) for c in "012"}
         assert sorted(got[i]) == sorted(spelling.codes(pa.array(sorted(want))).tolist())
+    code = dict(zip(made, spelling.codes(pa.array(made)).tolist(), strict=True))
+    pairs = Counter((code[made[i]], k) for keys, of in spelling.neighbourhoods(pa.array(sorted(code)), 3, one_side=True) for k, i in zip(keys.tolist(), [made.index(sorted(code)[i]) for i in of.tolist()], strict=True))
+    for a in code:
+        for b in code:
+            assert pairs[code[a], code[b]] + pairs[code[b], code[a]] == (2 if a == b else is_near(a, b))
 
 
 def test_queries_give_what_operators_do(spark, tmp_path):
