@@ -145,18 +145,39 @@ def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = No
     return out.drop("_chunk")
 
 
-def extreme_line_raster(levels: DataFrame, extent: DataFrame, range_cells: int = 65_536) -> DataFrame:
+def winning_pieces(levels: DataFrame, extent: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Columns symbol, y, x_from, x_to, since: where a level holds its row of cells; these pieces don't overlap.
+
+    Of the levels in a cell the one that ends last holds, then the one that starts last, then the higher. So a level that
+    starts where one that ends later lives holds nothing, and any other one holds from its start to its own end or to the
+    start of the next that ends later: a running maximum of the ends, in order of starts, leaves those that hold at all.
+    """
+    own = levels.join(scan.saved(extent), "symbol")  # a row for each symbol: the planner knows its size
+    own = own.select("symbol", _y(F.col("price")).alias("y"), _cell(F.col("start_trade_id"), "min_trade_id").alias("_a"), F.struct("end_trade_id", "start_trade_id", "price", _cell(F.col("end_trade_id"), "min_trade_id").alias("b")).alias("_rank"))
+    best = own.where("_rank.b > _a").groupBy("symbol", "y", "_a").agg(F.max("_rank").alias("_rank"))
+    keys = ["symbol", "y"]
+    best = scan.chunked(scan.saved(best), "_a", chunks)
+    w = scan.inside(keys, "_a")
+    upto, earlier = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    local = {"_upto": F.max("_rank").over(upto), "_earlier": F.max("_rank").over(earlier)}
+    rows = scan.carried(best, keys, ["_a"], local, lambda _, before: {"_before": F.max("_upto").over(before)})
+    over = lambda c: F.coalesce(F.col("_rank") > F.col(c), F.lit(True))
+    holding = rows.where(over("_earlier") & over("_before")).select(*keys, "_a", F.col("_rank.b").alias("_b"), (-F.col("_a")).alias("_back"))
+    ended = scan.step(scan.saved(holding), keys, ["_back"], previous={"_next": "_a"}, chunks=chunks)
+    return ended.select(*keys, F.col("_a").alias("x_from"), F.least("_b", "_next").alias("x_to"), F.col("_a").alias("since"))
+
+
+def extreme_line_raster(levels: DataFrame, extent: DataFrame, range_cells: int = 65_536, chunks: int | None = None) -> DataFrame:
     """Cells of each level from its start to its end with 0, 1, 2, ...; of levels in one cell the one that ends last holds.
 
-    A level is cut into ranges of range_cells, which are dealt over the tasks before their cells are made.
+    Only pieces that hold are made into cells, so there are as many rows as cells come out. A piece is cut into ranges of
+    range_cells, which are dealt over the tasks.
     """
-    own = levels.join(F.broadcast(extent), "symbol")
-    own = own.select("symbol", "price", "start_trade_id", "end_trade_id", _cell(F.col("start_trade_id"), "min_trade_id").alias("_a"), _cell(F.col("end_trade_id"), "min_trade_id").alias("_b"), _y(F.col("price")).alias("y")).where("_b > _a")
-    ranges = own.withColumn("_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_b") - F.col("_a") - 1) / range_cells))))
-    ranges = ranges.withColumn("_from", F.col("_a") + F.col("_no") * range_cells).withColumn("_to", F.least(F.col("_from") + range_cells, "_b") - 1).drop("_no", "_b")
-    ranges = ranges.repartition(int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "price", "start_trade_id", "_from")  # a number, so that small rows aren't put together
-    cells = ranges.select("symbol", "y", "price", "start_trade_id", "end_trade_id", "_a", F.explode(F.sequence("_from", "_to")).alias("x"))
-    return cells.groupBy("symbol", "x", "y").agg(F.max_by(F.col("x") - F.col("_a"), F.struct("end_trade_id", "start_trade_id", "price")).alias("value"))
+    pieces = winning_pieces(levels, extent, chunks)
+    ranges = pieces.withColumn("_from", F.explode(F.sequence(F.col("x_from"), F.col("x_to") - 1, F.lit(range_cells).cast("bigint"))))
+    ranges = ranges.withColumn("_to", F.least(F.col("_from") + range_cells, "x_to") - 1)
+    ranges = ranges.repartition(int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "y", "_from")  # a number, so that small rows aren't put together
+    return ranges.select("symbol", F.explode(F.sequence("_from", "_to")).alias("x"), "y", "since").select("symbol", "x", "y", (F.col("x") - F.col("since")).alias("value"))
 
 
 def book_volume_heatmap(changes: DataFrame, bars: DataFrame, extent: DataFrame, add: bool = False, chunks: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from candlewick.operators import migrate as M
 from candlewick.operators import quality as Q
 from candlewick.operators import runs as R
 from candlewick.operators import scan
-from candlewick.plans.registry import BAR, BAR_COLUMNS, BARS_OF_BARS, PRICES, STAT_NAMES, SUMS, also_known, big, num, query, sql
+from candlewick.operators import zigzag as Z
+from candlewick.plans.registry import BAR, BAR_COLUMNS, BARS_OF_BARS, PRICES, STAT_NAMES, SUMS, big, num, query, sql
 from candlewick.sources import adapters as A
+from candlewick.sources import database
 from candlewick.sources import tables as S
 from candlewick.sources.shared import shared_path
 
@@ -62,6 +66,15 @@ def read_trades(spark, d):
     return S.read_trades(trades_of(spark, d), "click", 100, 1000).withColumn("datetime_ms", F.unix_millis("datetime")).drop("datetime")
 
 
+@query(sql(f"SELECT symbol, {big('trade_id')}, is_buy, {num('price', 'quantity')}, {big('timestamp_ms', datetime_ms='timestamp_ms')} FROM (SELECT * FROM trades WHERE symbol = 'view' AND trade_id >= 50 ORDER BY trade_id DESC LIMIT 5000)"))
+def read_trades_database(spark, d):
+    """The trades, put into a database first: the one named in spark.candlewick.database, else one in the memory of a local session."""
+    url, name = spark.conf.get("spark.candlewick.database", "jdbc:derby:memory:candlewick;create=true"), f"trades_{uuid.uuid4().hex}"
+    trades_of(spark, d).write.option("createTableColumnTypes", "symbol VARCHAR(64)").jdbc(url, name)
+    found = database.read_trades(spark, url, name, "view", 50, 5000, rows=1000)
+    return found.withColumn("datetime_ms", F.unix_millis("datetime")).drop("datetime")
+
+
 @query(sql(f"SELECT {BAR} FROM bars WHERE symbol = 'view' AND start_trade_id >= 200"))
 def read_bars(spark, d):
     return S.read_bars(bars_of(spark, d), "view", 200).select(*BAR_COLUMNS)
@@ -579,6 +592,24 @@ def zigzag_lines(spark, d):
     return lines_of(spark, d)
 
 
+def zigzag_sql(levels: int = Z.LEVELS) -> dict[str, str]:
+    """Fragments z1, z2, ...: lines of each level with their number i."""
+    parts = {"z1": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_trade_id) - 1 AS i FROM lines"}
+    sign = "CASE trading_direction WHEN 'Bull' THEN 1 WHEN 'Bear' THEN -1 END"
+    for k in range(2, levels + 1):
+        go_on = f"lead(trading_direction, 2) OVER w = trading_direction AND {sign} * (lead(end_price) OVER w - start_price) >= 0 AND {sign} * (lead(end_price, 2) OVER w - end_price) >= 0"
+        parts[f"goes_on_{k}"] = f"SELECT *, coalesce({go_on}, false) AS goes_on FROM z{k - 1} WINDOW w AS (PARTITION BY symbol ORDER BY i)"
+        parts[f"skipped_{k}"] = f"SELECT *, coalesce(i - 1 - max(CASE WHEN NOT goes_on THEN i END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i) % 2 = 1 AS skipped FROM goes_on_{k}"
+        parts[f"folded_{k}"] = f"SELECT *, sum(begins) OVER (PARTITION BY symbol ORDER BY i) - 1 AS line FROM (SELECT *, CASE WHEN skipped OR lag(skipped, 1, false) OVER (PARTITION BY symbol ORDER BY i) THEN 0 ELSE 1 END AS begins FROM skipped_{k})"
+        parts[f"z{k}"] = f"SELECT symbol, {', '.join(f'arg_min({c}, i) AS {c}' for c in ('trading_direction', 'start_price', 'start_trade_id', 'start_timestamp_ms'))}, {', '.join(f'arg_max({c}, i) AS {c}' for c in ('end_price', 'end_trade_id', 'end_timestamp_ms'))}, sum(quantity) AS quantity, sum(volume) AS volume, line AS i FROM folded_{k} GROUP BY symbol, line"
+    return parts
+
+
+@query(sql(" UNION ALL ".join(f"SELECT symbol, CAST({k} AS BIGINT) AS level, trading_direction, {LINE_SQL} FROM z{k}" for k in range(2, Z.LEVELS + 1)), **zigzag_sql()))
+def zigzag_levels(spark, d):
+    return Z.zigzag_levels(lines_of(spark, d))
+
+
 @query(sql(f"SELECT symbol, {big(trade_id='start_trade_id')}, {num(price='start_price')}, {big(timestamp_ms='start_timestamp_ms')} FROM lines UNION ALL SELECT symbol, max(end_trade_id), round(CAST(arg_max(end_price, start_trade_id) AS DOUBLE), 6), arg_max(end_timestamp_ms, start_trade_id) FROM lines GROUP BY symbol"))
 def smoothed_points(spark, d):
     return R.smoothed_points(lines_of(spark, d))
@@ -827,6 +858,3 @@ def duplicate_timestamps(spark, d):
 @query(sql(f"SELECT symbol, start_trade_id, {num('total_volume')} FROM bars WHERE total_volume = 0"))
 def zero_volume_bars(spark, d):
     return Q.zero_volume_bars(bars_of(spark, d)).select("symbol", "start_trade_id", "total_volume")
-
-
-also_known("multi_interval_candles", "bar_pyramid", "count_bars_since", "latest_snapshot_before", "trade_velocity", "chart_fetch_limit")

@@ -116,14 +116,6 @@ def sql(body: str, recursive: bool = False, **more: str) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS ({own[n]})" for n in own if n in used) + f"\n{body}" if used else body
 
 
-def also_known(*names: str) -> None:
-    """Registers queries once more as <name>_all: names from when the plain ones had a part of their rows."""
-    for name in names:
-        QUERIES[f"{name}_all"] = QUERIES[name]
-        if name in ORACLES:
-            ORACLES[f"{name}_all"] = ORACLES[name]
-
-
 def query(oracle: str | None = None):
     """Registers a function under its name, its numbers made plain."""
 

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import columns as X
 from candlewick.operators import bars as B
-from candlewick.operators import migrate as M
 from candlewick.operators import positions as P
 from candlewick.operators import research as R
 from candlewick.operators import scan
 from candlewick.plans import market
-from candlewick.plans.registry import BAR, BAR_COLUMNS, PRICES, also_known, big, num, query, sql
+from candlewick.plans.registry import BAR, BAR_COLUMNS, PRICES, big, num, query, sql
 from candlewick.sources import adapters as A
 from candlewick.sources.shared import shared_path
 from candlewick.streaming import streams as W
+from candlewick.streaming.upserts import UpsertTable
 
 STEPS, GRID = 8, 4
 
@@ -217,9 +217,6 @@ def journal_last_closed(spark, d):
     return P.journal_summary(closed(spark, d))[1].select("position_id", "realized_pnl_usd")
 
 
-also_known("gross_net_return", "position_bars", "position_excursions", "position_metrics", "close_positions", "journal_summary", "journal_last_closed")
-
-
 # Streams: the events table read as a stream, run to its end
 
 
@@ -261,25 +258,36 @@ def stream_run_bars_of_batches(spark, d):
 CHAIN = "SELECT symbol, timestamp_ms, event_id, action, lag(event_id) OVER w AS expected_seq_id, CASE WHEN action = 'Snapshot' THEN CASE WHEN event_id % 3 = 0 THEN 5 ELSE -1 END ELSE event_id - 5 END AS prev_seq_id FROM (SELECT symbol, timestamp_ms, event_id, CASE WHEN event_id % 50 = 0 THEN 'Snapshot' ELSE 'Update' END AS action FROM book) WINDOW w AS (PARTITION BY symbol ORDER BY timestamp_ms, event_id)"
 
 
-@query(sql("SELECT symbol, timestamp_ms, event_id, expected_seq_id, prev_seq_id FROM chain WHERE CASE WHEN action = 'Snapshot' THEN prev_seq_id <> -1 ELSE coalesce(prev_seq_id <> expected_seq_id, true) END", chain=CHAIN))
-def stream_book_guard(spark, d):
-    """Updates name the id five before as the one they follow, which is seldom so."""
+BREAKS = "SELECT symbol, timestamp_ms, event_id, expected_seq_id, prev_seq_id FROM chain WHERE CASE WHEN action = 'Snapshot' THEN prev_seq_id <> -1 ELSE coalesce(prev_seq_id <> expected_seq_id, true) END AND timestamp_ms < (SELECT max(timestamp_ms) - 600000 FROM book)"
+
+
+def _chain(spark, d) -> DataFrame:
+    """Messages whose updates name the id five before as the one they follow, which is seldom so."""
     i = F.col("event_id")
     action = F.when(i % 50 == 0, "Snapshot").otherwise("Update")
     before = F.when(i % 50 == 0, F.when(i % 3 == 0, 5).otherwise(-1)).otherwise(i - 5).cast("bigint")
-    m = _stream(spark, d).select("symbol", "timestamp_ms", F.col("trade_id").alias("event_id")).withColumns({"action": action, "seq_id": i, "prev_seq_id": before})
-    return _finished(W.stream_book_guard(m), spark)
+    return _stream(spark, d).select("symbol", "timestamp_ms", F.col("trade_id").alias("event_id")).withColumns({"action": action, "seq_id": i, "prev_seq_id": before})
 
 
-@query(sql(f"SELECT {market.TRADE_SQL} FROM trades"))
-def stream_upsert(spark, d):
-    """Each micro-batch is added by key to a table that has a part of the trades already."""
-    path = shared_path(spark, "upserted")
-    market.trades_of(spark, d).where("trade_id % 3 = 0").write.parquet(f"{path}/rows")
+@query(sql(BREAKS, chain=CHAIN))
+def stream_book_guard(spark, d):
+    """Of the messages that the watermark, ten minutes behind the last one, has passed."""
+    return _finished(W.stream_book_guard(_chain(spark, d)), spark)
+
+
+@query(sql(BREAKS, chain=CHAIN))
+def stream_book_guard_of_batches(spark, d):
+    """The same for micro-batches of any size."""
+    path = shared_path(spark, "guard")
+    W.guard_of_batches(_chain(spark, d), path, f"{path}/stream").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").drop("batch")
 
-    def write(batch: DataFrame) -> None:
-        old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/rows")
-        M.new_rows(batch, old, ["symbol", "trade_id"]).write.mode("append").parquet(f"{path}/rows")
 
-    W.stream_upsert(_stream(spark, d), write, f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+@query(sql(f"SELECT {market.TRADE_SQL} FROM trades"))
+def stream_upsert(spark, d):
+    """Each micro-batch is put by key into a table that has a part of the trades already, at other prices."""
+    table = UpsertTable(shared_path(spark, "upserted"), ["symbol", "trade_id"], "trade_id", width=10_000)
+    trades = market.trades_of(spark, d)
+    table.put(trades.where("trade_id % 3 = 0").withColumn("price", (F.col("price") + 1).cast(A.MONEY)), -1)
+    W.stream_upsert(_stream(spark, d), table, shared_path(spark, "upsert-state")).awaitTermination()
+    return table.read(spark, trades)

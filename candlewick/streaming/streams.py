@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from candlewick.operators import runs, scan
+from candlewick.operators import book, runs, scan
 from candlewick.operators.runs import trade_volume
+from candlewick.streaming.upserts import UpsertTable
 
 RUN = (
     "start_trade_id bigint, end_trade_id bigint, start_timestamp_ms bigint, end_timestamp_ms bigint, open_price double, high_price double, low_price double, close_price double, "
@@ -62,21 +64,77 @@ def stream_run_bars(trades: DataFrame) -> DataFrame:
     return plain.groupBy("symbol").applyInPandasWithState(step, f"symbol string, {RUN}", f"side boolean, last bigint, {RUN}", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_book_guard(messages: DataFrame) -> DataFrame:
-    """Messages that break the chain of sequence ids: the state of a symbol is its last id. Messages of a batch are taken in order of time and event."""
+def _broken(snapshot: np.ndarray, seq: np.ndarray, prev: np.ndarray, last: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of messages in order: which break the chain, the id each should follow, and whether there is one."""
+    expected = np.append(-1 if last is None else last, seq[:-1])
+    known = np.ones(len(seq), bool)
+    known[0] = last is not None
+    return np.where(snapshot, prev != -1, ~known | (prev != expected)), expected, known
+
+
+def stream_book_guard(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Messages that break the chain of sequence ids, as ``sequence_check`` finds them, for batches of any cut and order.
+
+    A message waits in its symbol's state until the watermark, ``late`` behind the latest message of all symbols, has
+    passed its time: what comes a batch late finds its place, and no gap is reported that a later batch fills. Then a
+    symbol's messages are judged together in order of time and event. What is later than the watermark is dropped. The
+    state holds the last id and the messages of the last ``late``: bound batches by the source's options.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = state.get[0] if state.exists else None, []
-        for m in pd.concat(list(batches)).sort_values(["timestamp_ms", "event_id"]).itertuples(index=False):
-            wrong = m.prev_seq_id != -1 if m.action == "Snapshot" else last is None or m.prev_seq_id != last
-            if wrong:
-                out.append((key[0], m.timestamp_ms, m.event_id, last, m.prev_seq_id))
-            last = int(m.seq_id)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "timestamp_ms", "event_id", "expected_seq_id", "prev_seq_id"]).astype({"expected_seq_id": "Int64"})
+        last, held = state.get if state.exists else (None, None)
+        rows = [np.frombuffer(held or b"", np.int64).reshape(-1, 5)]
+        if not state.hasTimedOut:
+            rows += [b[["timestamp_ms", "event_id", "snapshot", "seq_id", "prev_seq_id"]].to_numpy(np.int64) for b in batches]
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        passed = int(np.searchsorted(rows[:, 0], state.getCurrentWatermarkMs()))
+        now, rest = rows[:passed], rows[passed:]
+        if passed:
+            wrong, expected, known = _broken(now[:, 2] == 1, now[:, 3], now[:, 4], last)
+            last = int(now[-1, 3])
+            found = pd.DataFrame({"symbol": key[0], "timestamp_ms": now[:, 0], "event_id": now[:, 1], "expected_seq_id": pd.array(expected, "Int64"), "prev_seq_id": now[:, 4]})
+            found.loc[~known, "expected_seq_id"] = pd.NA
+            if wrong.any():
+                yield found[wrong]
+        state.update((last, rest.tobytes()))
+        if len(rest):
+            state.setTimeoutTimestamp(int(rest[0, 0]))
+
+    timed = messages.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", late)
+    own = timed.select("symbol", "ts", "timestamp_ms", "event_id", (F.col("action") == "Snapshot").cast("bigint").alias("snapshot"), "seq_id", "prev_seq_id")
+    return own.groupBy("symbol").applyInPandasWithState(step, "symbol string, timestamp_ms bigint, event_id bigint, expected_seq_id bigint, prev_seq_id bigint", "last bigint, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def guard_of_batches(messages: DataFrame, path: str, checkpoint: str, late_ms: int = 600_000):
+    """Starts a query that writes the messages that break the chain, for micro-batches of any size: each is judged in chunks by the batch operator.
+
+    Kept under path for each batch: rows (what is broken), the messages that still wait, each symbol's last id, the time
+    up to which messages were judged. A batch that runs again reads what the one before left and overwrites its own.
+    Messages wait until one that is late_ms later was there; those of a time that was judged already go to late.
+    """
+    kept = ["symbol", "timestamp_ms", "event_id", "action", "seq_id", "prev_seq_id"]
 
-    own = messages.select("symbol", "timestamp_ms", "event_id", "action", "seq_id", "prev_seq_id")
-    return own.groupBy("symbol").applyInPandasWithState(step, "symbol string, timestamp_ms bigint, event_id bigint, expected_seq_id bigint, prev_seq_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, no: int) -> None:
+        spark, at = batch.sparkSession, lambda what, n: f"{path}/{what}/batch={n}"
+        fresh = scan.saved(batch.select(*kept))
+        top = fresh.agg(F.max("timestamp_ms")).first()[0]
+        waiting, last, judged = fresh, None, None
+        if no:
+            judged = spark.read.parquet(at("judged", no - 1)).first()[0]
+            last = spark.read.parquet(at("last", no - 1))
+            waiting = fresh.where(F.col("timestamp_ms") >= judged).unionByName(spark.read.schema(fresh.schema).parquet(at("waiting", no - 1)))
+        upto = max(x for x in (judged, None if top is None else top - late_ms, 0) if x is not None)
+        fresh.where(F.lit(False) if judged is None else F.col("timestamp_ms") < judged).write.mode("overwrite").parquet(at("late", no))
+        waiting.where(F.col("timestamp_ms") >= upto).write.mode("overwrite").parquet(at("waiting", no))
+        ready = scan.saved(waiting.where(F.col("timestamp_ms") < upto))
+        if last is not None:  # a message that leads to the first one
+            ready = ready.unionByName(last.select("symbol", F.lit(-1).cast("bigint").alias("timestamp_ms"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("Snapshot").alias("action"), "seq_id", F.lit(-1).cast("bigint").alias("prev_seq_id")))
+        book.sequence_check(ready).select("symbol", "timestamp_ms", "event_id", "expected_seq_id", "prev_seq_id").write.mode("overwrite").parquet(at("rows", no))
+        ready.groupBy("symbol").agg(F.max_by("seq_id", F.struct("timestamp_ms", "event_id")).alias("seq_id")).write.mode("overwrite").parquet(at("last", no))
+        spark.createDataFrame([(upto,)], "judged bigint").coalesce(1).write.mode("overwrite").parquet(at("judged", no))
+
+    return messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def run_bars_of_batches(trades: DataFrame, path: str, checkpoint: str):
@@ -110,6 +168,6 @@ def run_bars_of_batches(trades: DataFrame, path: str, checkpoint: str):
     return trades.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def stream_upsert(rows: DataFrame, write: Callable[[DataFrame], None], checkpoint: str):
-    """Starts a query that gives each micro-batch to write, for instance an upsert by key, so a batch that runs again changes nothing."""
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: write(df)).start()
+def stream_upsert(rows: DataFrame, table: UpsertTable, checkpoint: str):
+    """Starts a query that puts each micro-batch into a table by key; a batch that runs again, finished or not, changes nothing."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(table.put).start()

@@ -269,7 +269,7 @@ def test_queries_of_all_rows(spark):
 
     d = "/root/testdata/sf0.001"
     starts = sorted(tuple(r) for r in market.bars_of(spark, d).select("symbol", "start_trade_id").collect())
-    got = {(r.symbol, r.start_trade_id): r.bars for r in QUERIES["count_bars_since_all"](spark, d).collect()}
+    got = {(r.symbol, r.start_trade_id): r.bars for r in QUERIES["count_bars_since"](spark, d).collect()}
     newer = {}
     for key in reversed(starts):
         newer[key[0]] = newer.get(key[0], 0) + 1
@@ -285,7 +285,7 @@ def test_queries_of_all_rows(spark):
     for s, t in {(r.symbol, r.timestamp_ms) for r in book_rows}:
         own = snaps.get(s, ())
         want.add((s, t, max((x for x in own if x <= t), default=None), min((x for x in own if x >= t), default=None), min((x for x in own if x > t), default=None)))
-    found = QUERIES["latest_snapshot_before_all"](spark, d).select("symbol", "timestamp_ms", "last_at_or_before", "first_at_or_after", "next_after").collect()
+    found = QUERIES["latest_snapshot_before"](spark, d).select("symbol", "timestamp_ms", "last_at_or_before", "first_at_or_after", "next_after").collect()
     assert len(found) == len(want) and {tuple(r) for r in found} == want
 
     candles = sorted((r.symbol, r.bar_index, float(r.close_price)) for r in research.opened(spark, d)[1].collect())
@@ -293,17 +293,17 @@ def test_queries_of_all_rows(spark):
     gross = lambda s, i, j: (1, -1)[i % 2] * (price[s, j] - price[s, i]) / price[s, i]
     name = lambda s, i: f"{s}-{i:08d}"
     marks = {(name(s, i), j): (price[s, j], gross(s, i, j)) for s, i in price for j in range(i + 1, i + 9) if (s, j) in price}
-    rows = QUERIES["position_bars_all"](spark, d).collect()
+    rows = QUERIES["position_bars"](spark, d).collect()
     assert {(r.position_id, r.bar_index): r.mark_price for r in rows} == {k: pytest.approx(p, abs=1e-6) for k, (p, _) in marks.items()} and len(rows) == len(marks)
-    assert {(r.position_id, r.bar_index): r.gross for r in QUERIES["gross_net_return_all"](spark, d).collect()} == {k: pytest.approx(g, abs=2e-6) for k, (_, g) in marks.items()}
+    assert {(r.position_id, r.bar_index): r.gross for r in QUERIES["gross_net_return"](spark, d).collect()} == {k: pytest.approx(g, abs=2e-6) for k, (_, g) in marks.items()}
     best = {name(s, i): max([0.0, *(gross(s, i, j) for j in range(i + 1, i + 9) if (s, j) in price)]) for s, i in price}
-    assert {r.position_id: r.mfe_gross for r in QUERIES["position_excursions_all"](spark, d).collect()} == {k: pytest.approx(x, abs=2e-6) for k, x in best.items()}
-    assert QUERIES["position_metrics_all"](spark, d).count() == len(candles)
+    assert {r.position_id: r.mfe_gross for r in QUERIES["position_excursions"](spark, d).collect()} == {k: pytest.approx(x, abs=2e-6) for k, x in best.items()}
+    assert QUERIES["position_metrics"](spark, d).count() == len(candles)
     ended = [(s, i) for s, i in price if (s, i + 8) in price]
-    assert QUERIES["close_positions_all"](spark, d).count() == len(ended)
-    one = QUERIES["journal_summary_all"](spark, d).first()
+    assert QUERIES["close_positions"](spark, d).count() == len(ended)
+    one = QUERIES["journal_summary"](spark, d).first()
     assert one.n_trades == len(ended) and one.realized_pnl_usd == pytest.approx(sum(7 * (gross(s, i, i + 8) - 0.001) for s, i in ended), rel=1e-4, abs=1e-3)
-    assert QUERIES["journal_last_closed_all"](spark, d).count() == 20
+    assert QUERIES["journal_last_closed"](spark, d).count() == 20
 
 
 def test_queries_of_all_scales_and_intervals(spark):
@@ -314,9 +314,9 @@ def test_queries_of_all_scales_and_intervals(spark):
 
     d = "/root/testdata/sf0.001"
     trades = [(r.symbol, r.timestamp_ms) for r in market.trades_of(spark, d).select("symbol", "timestamp_ms").collect()]
-    found = QUERIES["multi_interval_candles_all"](spark, d).select("interval", "symbol", "start_timestamp_ms", "trades_count").collect()
+    found = QUERIES["multi_interval_candles"](spark, d).select("interval", "symbol", "start_timestamp_ms", "trades_count").collect()
     assert {tuple(r)[:3]: r.trades_count for r in found} == Counter((name, s, t - t % ms) for name, ms in bars.INTERVALS.items() for s, t in trades)
-    found = QUERIES["trade_velocity_all"](spark, d).select("symbol", "start_timestamp_ms", "trades_count").collect()
+    found = QUERIES["trade_velocity"](spark, d).select("symbol", "start_timestamp_ms", "trades_count").collect()
     assert {tuple(r)[:2]: r.trades_count for r in found} == Counter((s, t - t % 60_000) for s, t in trades)
     shown = ["symbol", "start_trade_id", "total_trades_count"]
 
@@ -329,6 +329,6 @@ def test_queries_of_all_scales_and_intervals(spark):
     grouped = lambda n, held: sorted((n, s, rows[i][0], sum(c for _, c in rows[i : i + n])) for s, rows in held.items() for i in range(0, len(rows), n))
     small, large = held(d), held("/root/testdata/sf0.01")
     assert max(map(len, large.values())) > 204
-    assert sorted((4, *r) for r in QUERIES["chart_fetch_limit_all"](spark, "/root/testdata/sf0.01").select(*shown).collect()) == grouped(4, large)
-    found = QUERIES["bar_pyramid_all"](spark, d).select("scale", *shown).collect()
+    assert sorted((4, *r) for r in QUERIES["chart_fetch_limit"](spark, "/root/testdata/sf0.01").select(*shown).collect()) == grouped(4, large)
+    found = QUERIES["bar_pyramid"](spark, d).select("scale", *shown).collect()
     assert sorted(map(tuple, found)) == [x for i in range(19) for x in grouped(2**i, small)]
