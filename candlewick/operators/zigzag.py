@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.operators import scan
 
@@ -71,22 +76,57 @@ def fold(lines: DataFrame, rows: int = scan.ROWS_PER_CHUNK) -> DataFrame:
     return made.withColumnRenamed("_line", "i")
 
 
+def _next_level(lines: pa.Table) -> pa.Table:
+    """The same for all lines of a symbol in order."""
+    n = len(lines)
+    start, end, way = (lines.column(c) for c in ("start_price", "end_price", "trading_direction"))
+    more = np.zeros(n, bool)
+    if n > 2:
+        at = lambda column, k: column.slice(k, n - 2)
+        up, up_end = pc.greater_equal(at(end, 1), at(start, 0)), pc.greater_equal(at(end, 2), at(end, 0))
+        down, down_end = pc.less_equal(at(end, 1), at(start, 0)), pc.less_equal(at(end, 2), at(end, 0))
+        bull, bear = pc.equal(at(way, 0), "Bull"), pc.equal(at(way, 0), "Bear")
+        kept = pc.or_(pc.and_(bull, pc.and_(up, up_end)), pc.and_(bear, pc.and_(down, down_end)))
+        more[: n - 2] = np.asarray(pc.and_(kept, pc.equal(at(way, 2), at(way, 0))))
+    stop = np.maximum.accumulate(np.append(-1, np.where(more, -1, np.arange(n))[:-1]))  # the last line before that can't be continued
+    skipped = (np.arange(n) - 1 - stop) % 2 == 1
+    first = np.flatnonzero(~skipped & ~np.append(False, skipped[:-1]))
+    last = np.append(first[1:], n) - 1
+    line = np.repeat(np.arange(len(first)), last - first + 1)
+    sums = pa.table([pa.array(line), lines.column("quantity"), lines.column("volume")], ["line", "quantity", "volume"]).group_by("line", use_threads=False).aggregate([("quantity", "sum"), ("volume", "sum")])
+    made = {c: lines.column(c).take(pa.array(last if c.startswith("end_") else first)) for c in lines.column_names}
+    made |= {c: sums.column(f"{c}_sum").cast(lines.schema.field(c).type) for c in ("quantity", "volume")}
+    return pa.table(made)
+
+
 def zigzag_levels(lines: DataFrame, levels: int = LEVELS, rows: int = scan.ROWS_PER_CHUNK) -> DataFrame:
     """The lines of the levels 2, 3, ... up to levels, from zigzag lines: those columns and level.
 
     Directions alternate, but for a first line without one, which takes nothing in; those of the result alternate again.
-    Quantities and volumes are those of all lines taken in, summed up each in its own unit. Where a level changes nothing
-    no later one does, so the rest are copies.
+    Quantities and volumes are those of all lines taken in, summed up each in its own unit.
+
+    Levels only get smaller: while a symbol has more lines than a block, a level is folded in blocks; all levels from there
+    on are made in one group for each symbol.
     """
-    now = scan.saved(scan.index(lines.select("symbol", *_LINE), SYMBOL, ["start_trade_id"], "i"))
-    found, n = None, now.count()
+    kinds = dict(lines.dtypes)
+    wide = {c: F.col(c).cast(re.sub(r"decimal\(\d+", "decimal(38", kinds[c])) for c in ("quantity", "volume")}
+    now = scan.saved(scan.index(lines.select("symbol", *_LINE).withColumns(wide), SYMBOL, ["start_trade_id"], "i"))
+    found = lines.select("symbol", F.lit(2).alias("level"), *_LINE).limit(0)
     for level in range(2, levels + 1):
-        now, before = scan.saved(fold(now, rows)), n
-        n = now.count()
-        same = n == before
-        numbers = F.array(*(F.lit(k) for k in range(level, (levels if same else level) + 1)))
-        made = now.select("symbol", F.explode(numbers).alias("level"), *_LINE)
-        found = made if found is None else found.unionByName(made)
-        if same:
+        most = now.groupBy("symbol").count().agg(F.max("count")).first()[0]
+        if most is None or most <= rows:
             break
-    return lines.select("symbol", F.lit(2).alias("level"), *_LINE).limit(0) if found is None else found
+        now = scan.saved(fold(now, rows).withColumns(wide))
+        found = found.unionByName(now.select("symbol", F.lit(level).alias("level"), *_LINE))
+    else:
+        return found
+    fields = [now.schema["symbol"], T.StructField("level", T.IntegerType()), *(now.schema[c] for c in _LINE)]
+
+    def rest(own: pa.Table) -> pa.Table:
+        symbol, own, made = own.column("symbol")[0].as_py(), own.combine_chunks().sort_by("i").select(list(_LINE)), []
+        for k in range(level, levels + 1):
+            own = _next_level(own)
+            made.append(pa.table([pa.array([symbol] * len(own), pa.string()), pa.array([k] * len(own), pa.int32()), *own.columns], ["symbol", "level", *_LINE]))
+        return pa.concat_tables(made)
+
+    return found.unionByName(now.groupBy("symbol").applyInArrow(rest, T.StructType(fields)))
