@@ -59,7 +59,7 @@ def _side_stats(side: str) -> str:
 #: Fragments by name, in an order in which each uses only earlier ones.
 PARTS = {
     "trades": "SELECT event_type AS symbol, event_id AS trade_id, user_id % 2 = 0 AS is_buy, CAST(value AS DECIMAL(30,8)) AS price, CAST(1 + CAST(regexp_extract(props, '\"k\": ?(\\d+)', 1) AS INTEGER) AS DECIMAL(30,8)) AS quantity, epoch_us(ts) // 1000 AS timestamp_ms FROM events",
-    "raw_lineitem": "SELECT l_returnflag AS symbol, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 10000000 + l_orderkey * 10 + l_linenumber AS trade_id, l_suppkey % 2 = 0 AS is_buy, CAST(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS DECIMAL(30,8)) AS price, CAST(l_quantity AS DECIMAL(30,8)) AS quantity, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 86400000 AS timestamp_ms, l_partkey, l_suppkey FROM lineitem",
+    "raw_lineitem": "SELECT l_returnflag AS symbol, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 100000000000 + l_orderkey * 10 + l_linenumber AS trade_id, l_suppkey % 2 = 0 AS is_buy, CAST(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS DECIMAL(30,8)) AS price, CAST(l_quantity AS DECIMAL(30,8)) AS quantity, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 86400000 AS timestamp_ms, l_partkey, l_suppkey FROM lineitem",
     "item_trades": "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_id ORDER BY l_partkey, l_suppkey, price, quantity) AS r FROM raw_lineitem) WHERE r = 1",
     "runs": "SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY trade_id) AS run_id FROM (SELECT *, CASE WHEN is_buy IS DISTINCT FROM lag(is_buy) OVER (PARTITION BY symbol ORDER BY trade_id) THEN 1 ELSE 0 END AS c FROM trades)",
     "all_bars": f"SELECT symbol, run_id, {_TRADE_BAR} FROM runs GROUP BY symbol, run_id",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,8)"
 DAY_MS = 86_400_000
+#: Ids of a day of lineitem: order keys below 10**10 stay apart and in order of time, and ids exact as doubles.
+ID_DAY = 10**11
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def raw_trades_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of three symbols of equal size; some ids occur more than once."""
     day = F.unix_date(F.col("l_shipdate").cast("date"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("symbol"), (day.cast("bigint") * 10_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
+        F.col("l_returnflag").alias("symbol"), (day.cast("bigint") * ID_DAY + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
         (F.col("l_suppkey") % 2 == 0).alias("is_buy"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10_000 + 0.5) / 10_000).cast(MONEY).alias("price"),
         F.col("l_quantity").cast(MONEY).alias("quantity"), (day.cast("bigint") * DAY_MS).alias("timestamp_ms"), "l_partkey", "l_suppkey",
     )
