@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import textops as X
-from candlewick.sources.shared import shared_folder, written
+from candlewick.sources.shared import shared_folder, shared_path, written
 
 __all__ = ["shared_folder", "written"]
 
@@ -108,7 +108,7 @@ def store(docs: DataFrame, text_col: str, bytes_a_token: float) -> tuple[DataFra
     chunk_bytes, buckets = layout(total, bytes_a_token)
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     n = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // STORED_BYTES)))
-    chunked(docs, text_col, chunk_bytes).repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    chunked(docs, text_col, chunk_bytes).repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", shared_path(spark, "chunks")).saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return stored, buckets

@@ -65,7 +65,7 @@ class Space:
     def vote(self, x: np.ndarray) -> np.ndarray:
         """The mean label of the nearest labelled vectors, weighted by the fourth power of their cosines.
 
-        Cosines count to five places; of equal ones the labelled row with the lesser id is nearer. Blocks have one shape,
+        Cosines count to five places; of equal ones the labelled row with the lesser features is nearer. Blocks have one shape,
         so a text's vote doesn't depend on those beside it.
         """
         if not len(self.labels):
@@ -109,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     sample = samples.labelled_sample(docs, labels, label, per_class, id_col, text_col).select("id", "text", "label")
     rows = sample.mapInArrow(run, "id string, label int, x binary").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: r["id"])
+    rows.sort(key=lambda r: (bytes(r["x"]), r["label"]))  # by what they are, not by their ids
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
     return fit(x, np.array([r["label"] for r in rows], np.float64))
 
@@ -118,7 +118,7 @@ def quality_knn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     """One row per row of docs: id, held_out, score (0 to 1, higher: label 1 is likelier).
 
     Every text is compared with every labelled vector; the vote is that of the 25 nearest, of equally near ones those with
-    the lesser ids. Only text is scored, whole and of any length: a null or empty one by its length and lack of words.
+    the lesser features. Only text is scored, whole and of any length: a null or empty one by its length and lack of words.
     Without any label the score is 0.5. Null ids count as not held out; repeated ids give a row each; a document labelled
     more than once has its largest label; other columns don't matter. The documents aren't shuffled.
     """

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.chunks import written
+from candlewick.llm.chunks import number_of, numbered, written
 from candlewick.llm.samples import FOLDS, HELD_OUT
 
 #: Symbols of a URL in lower case; any other character is one more, and so is the mark before its beginning.
@@ -93,15 +93,18 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame, weights: DataFrame) -> DataFrame:
-    """The rows of urls with score, the mean log ratio of their characters. Grams that many URLs have are joined by broadcast."""
+    """The rows of urls with score, the mean log ratio of their characters. Grams that many URLs have are joined by broadcast.
+
+    Column no numbers the URLs: it goes with each character in place of the URL.
+    """
     total = weights.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(weights.where(F.col("n") * HOT >= total).select("g", F.col("w").alias("hot_w")))
-    found = grams(urls, "url").join(hot, "g", "left")
-    here = found.where("hot_w is not null").select("url", F.col("hot_w").alias("w"))
-    there = found.where("hot_w is null").select("url", "g").join(weights.where(F.col("n") * HOT < total).select("g", "w"), "g").select("url", "w")
-    partial = lambda rows: rows.groupBy("url").agg(F.sum("w").alias("w"))
-    sums = partial(here).union(partial(there)).groupBy("url").agg(F.sum("w").alias("w"))
-    return urls.join(sums, "url", "left").withColumn("score", F.coalesce(F.col("w") / F.length("url") / _UNIT, F.lit(0.0))).drop("w")
+    found = grams(urls, "no").join(hot, "g", "left")
+    here = found.where("hot_w is not null").select("no", F.col("hot_w").alias("w"))
+    there = found.where("hot_w is null").select("no", "g").join(weights.where(F.col("n") * HOT < total).select("g", "w"), "g").select("no", "w")
+    partial = lambda rows: rows.groupBy("no").agg(F.sum("w").alias("w"))
+    sums = partial(here).union(partial(there)).groupBy("no").agg(F.sum("w").alias("w"))
+    return urls.join(sums, "no", "left").withColumn("score", F.coalesce(F.col("w") / F.length("url") / _UNIT, F.lit(0.0))).drop("w")
 
 
 def threshold_of(scored: DataFrame) -> float:
@@ -127,7 +130,7 @@ def threshold_of(scored: DataFrame) -> float:
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, url_col: str = "url") -> DataFrame:
-    """The rows of pages with host, path, rule, score, verdict (columns of these names and of given, scored_url, hot_score are replaced).
+    """The rows of pages with host, path, rule, score, verdict (columns of these names are replaced, all others stay).
 
     The longest rule that fits gives the verdict. URLs with one are accepted and rejected samples: four fifths of the
     different ones, by crc32, train the models, the rest calibrate the threshold. A URL without a rule is allowed if its
@@ -136,13 +139,13 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, url_col: str = "url") ->
     any length. Counts are gathered from all rows; distinct URLs are scored once and joined back, those that hold many
     rows by broadcast.
     """
-    pages = pages.drop("host", "path", "rule", "score", "verdict", "given", "scored_url", "hot_score")
-    url = F.col(url_col)
+    pages = pages.drop(*(n for n in pages.columns if n.lower() in ("host", "path", "rule", "score", "verdict") and n != url_col))
+    own, url = numbered(pages), F.col(number_of(pages, url_col))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "given": verdict})
+    ruled = own.withColumns({"host": host_of(url), "path": path_of(url)}).withColumns({"rule": rule, "given": verdict})
     trains = F.crc32(F.col("url").cast("binary")) % FOLDS != HELD_OUT
     urls = ruled.where(url.isNotNull()).groupBy(url.alias("url"), "given").agg(F.count("*").alias("rows")).withColumn("trains", trains)
-    urls = written(urls, "urls")
+    urls = written(urls.withColumn("no", F.monotonically_increasing_id()), "urls")  # numbers that are written stay as they are
     weights = written(model(written(gram_counts(urls), "url-grams")), "url-model")
     scores = written(url_scores(urls, weights), "url-scores")
     threshold, total = threshold_of(scores), scores.agg(F.sum("rows")).first()[0] or 0
@@ -154,4 +157,5 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, url_col: str = "url") ->
     others = near.where(missing).join(rest, url == F.col("scored_url"), "left").drop("scored_url")
     scored = near.where(~missing).withColumn("score", F.col("hot_score")).unionByName(others).withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("given", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return scored.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "score", "verdict")
+    made = ("host", "path", "rule", "score", "verdict")
+    return scored.withColumn("verdict", verdict).select(*own.columns, *made).toDF(*pages.columns, *made)

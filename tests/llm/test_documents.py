@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
 from candlewick.llm import byte_bpe, jaccard_join, mpeg_audio, packing, pretokens, quality_rules, secrets, substring_dedup
@@ -274,6 +275,59 @@ def test_redaction(docs):
     assert found[113] is None and found[116] == "one"
 
 
+def plain_random(text: str, base: list[tuple], weight: dict[int, float]) -> list[tuple]:
+    """The random strings of a text by a plain loop over candidates, base spans and transitions."""
+    found = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        if not any(m.start() < e and s < m.end() for s, _, e, _ in base):
+            codes = [secrets.LETTERS.index(c) + 1 for c in m[0]]
+            if sum(weight[a * secrets.CODES + b] for a, b in zip(codes, codes[1:], strict=False)) >= secrets.LEAST_EVIDENCE:
+                found.append((m.start(), 3, m.end(), "random"))
+    return found
+
+
+def long_texts(n: int, seed: int = 7) -> list[str]:
+    """Texts with n secrets, strings that overlap base spans at their ends, and words."""
+    r = random.Random(seed)
+    letters = secrets.LETTERS[:62]
+    string = lambda k: "".join(r.choices(letters, k=k))
+    parts = [lambda: f"é password = {string(12)}", lambda: f"{string(30)}token={string(r.randint(3, 30))}", lambda: string(76), lambda: "AKIA" + "A" * 20 + string(9), lambda: "0123456789abcdef" * 2 + "/" + string(40), lambda: "some_ordinary_identifier_of_code", lambda: f"api_key: {string(5)}-{string(30)}", lambda: "words 日 of prose"]
+    return ["\n".join(r.choice(parts)() for _ in range(n)), " ".join(string(76) for _ in range(n)), "x".join(f'é secret="{string(9)}"' for _ in range(n)), string(70_000 + n)]
+
+
+def test_secrets_of_long_texts(spark):
+    """Blocks and pieces of scans don't show: spans and redaction are those of plain loops."""
+    rows = list(enumerate(long_texts(900)))
+    frame = documents(spark, rows)
+    weight = {r["code"]: float(f"{r['weight']:.4f}") for r in secrets.model(frame).collect()}
+    redacted = {r.doc_id: r.text for r in secrets.redacted(frame).collect()}
+    for r in secrets.scan(frame).collect():
+        text = dict(rows)[r.doc_id]
+        base = sorted((m.start(), k, m.end(), name) for k, (name, p, f) in enumerate(BASE) for m in p.finditer(text) if f(m))
+        spans = sorted(base + plain_random(text, base, weight))
+        assert [tuple(s) for s in r.base_spans] == base and [tuple(s) for s in r.spans] == spans
+        out, at = [], 0
+        for s, _, e, _ in spans:
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert redacted[r.doc_id] == "".join(out) + text[at:]
+
+
+def test_time_of_secrets_is_in_proportion_to_the_text(spark):
+    import time
+
+    took = []
+    for n in (1_000, 4_000, 16_000):  # up to 1.2 MB of base64 lines
+        frame = documents(spark, list(enumerate(long_texts(n)[1:3])), 1).cache()
+        frame.count()
+        began = time.time()
+        assert secrets.redacted(frame).agg(F.sum(F.length("text"))).first()[0]
+        took.append(time.time() - began)
+    print("seconds of 1000, 4000, 16000 lines:", [round(x, 1) for x in took])
+    assert took[2] - took[0] < 10 * max(1, took[1] - took[0])
+
+
 def test_mpeg_audio(docs, none):
     stored = mpeg_audio.store_audio(docs)
     found = mpeg_audio.read_audio(stored).collect()

@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from candlewick.llm import quality_knn, samples, toxicity, url_filter
+from candlewick.llm import jaccard_join, quality_knn, samples, toxicity, url_filter
 from candlewick.llm import textops as X
-from tests.llm.fixtures import documents
+from tests.llm.fixtures import documents, texts
 
 
 def corpus(seed: int = 3):
@@ -208,8 +209,6 @@ PIPELINE_SCHEMA = "doc_id bigint, text string, lang string, source string, n_cha
 
 
 def test_pipeline(spark, tmp_path):
-    from tests.llm.fixtures import texts
-
     import corpus_pipeline
 
     rows = [(i, t, "en", "s", len(t or ""), *"ktabcdefgh") for i, t in texts()]
@@ -235,3 +234,48 @@ def test_pipeline_without_rows_and_with_few_columns(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_urls_and_any_columns(spark):
+    """A URL of 100,000 characters; columns of the names of helpers, with dots and of maps stay."""
+    urls = ["http://x.net/" + "abc/" * 25_000, "http://a.org/x", "http://b.com/de/y", None]
+    pages = spark.createDataFrame([(i, u, "g", "h", {"k": 1}, "d") for i, u in enumerate(urls)], "page_id bigint, url string, given string, hot_score string, m map<string,int>, `a.b` string")
+    found = url_filter.url_filter(pages)
+    assert found.columns == [*pages.columns, "host", "path", "rule", "score", "verdict"]
+    rows = {r.page_id: r for r in found.collect()}
+    assert len(rows) == 4 and all(r.given == "g" and r.hot_score == "h" and r.m == {"k": 1} and r["a.b"] == "d" for r in rows.values()) and rows[1].verdict == "allow" and rows[0].rule is None
+
+
+def test_pipeline_keeps_any_columns_and_one_row_of_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, {"k": i or 0}, "dot", "upper", len(t or "")) for i, t in texts()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, `a.b` string, COMPONENT_ID string, n_chars int")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns, name
+        assert {r["a.b"] for r in found.select("`a.b`").collect()} == {"dot"}
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    classes = jaccard_join.jaccard_join(docs.select("doc_id", "text")).collect()
+    firsts = {r.doc_id for r in classes if r.doc_id is not None and r.doc_id == r.component_id}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(firsts) and sum(r.doc_id is None for r in kept) == sum(i is None for i, _ in texts())
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(7), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+
+
+def test_a_run_leaves_nothing(spark, tmp_path):
+    import os
+
+    from candlewick.sources import shared
+
+    base = shared.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    docs = spark.createDataFrame([(i, t) for i, t in texts()], "doc_id bigint, text string")
+    with shared.run(spark) as folder:
+        jaccard_join.jaccard_join(docs).write.parquet(f"{tmp_path}/out")
+        assert folder.startswith(shared.shared_folder(spark)) and os.listdir(folder.removeprefix("file:"))
+    assert set(os.listdir(base)) == before and spark.read.parquet(f"{tmp_path}/out").count() == len(texts())
+    with pytest.raises(ZeroDivisionError), shared.run(spark):
+        shared.written(docs, "x")
+        raise ZeroDivisionError
+    assert set(os.listdir(base)) == before
