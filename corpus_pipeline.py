@@ -16,13 +16,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id; of rows with equal ids the least by text and then the other columns. Rows without an id stay."""
+    """Of each class of linked documents the one with the smallest id; of rows with equal ids the one with the least SHA-256 of the row as JSON. Rows without an id stay.
+
+    Texts meet the ids that stay in one join; only rows of ids that repeat are compared.
+    """
     own, i = chunks.numbered(docs), chunks.number_of(docs, "doc_id")
     classes = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
-    others = [chunks.number_of(docs, "text"), *(c for c in own.columns if c not in (i, chunks.number_of(docs, "text")))]
-    one_each = own.where(F.col(i).isNotNull()).groupBy(i).agg(F.min(F.struct(*others)).alias("row")).join(first, i, "left_semi").select(i, "row.*")
-    return chunks.restored(one_each.unionByName(own.where(F.col(i).isNull())), docs)
+    first = chunks.written(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("rows")), "first-ids")
+    kept = own.join(first.where("rows = 1").select(i), i, "left_semi").unionByName(own.where(F.col(i).isNull()))
+    again = first.where("rows > 1").select(i)
+    if not again.isEmpty():
+        whole = F.struct(*own.columns)
+        one_each = own.join(again, i, "left_semi").groupBy(i).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+        kept = kept.unionByName(one_each.select("row.*"))
+    return chunks.restored(kept.select(*own.columns), docs)
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
