@@ -250,3 +250,28 @@ def test_bars_are_resumed(spark):
 def test_decimal_prices_of_the_book_are_exact(spark):
     found = book.level_deltas(adapters.messages_from_book(adapters.book_from_events(spark, SMALL)))
     assert all(isinstance(r.price, Decimal) for r in found.limit(3).collect())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 40), st.integers(-9, 9)), max_size=40), st.integers(1, 41))
+def test_covering(lives, n):
+    lives = [(a, min(n, a + k), v) for a, k, v in lives if a < n]
+    start, end, value = (np.array([x[i] for x in lives], np.int64) for i in range(3))
+    got = book.covering(start, end, value, n, -99).tolist()
+    assert got == [max((v for a, b, v in lives if a <= i < b), default=-99) for i in range(n)]
+
+
+def test_book_statistics_are_exact():
+    """Volumes whose products pass 64 bits are summed without loss."""
+    r = random.Random(1)
+    n = 200
+    start = np.array([r.randint(0, n - 2) for _ in range(300)])
+    end = np.array([r.randint(a + 1, n) for a in start.tolist()])
+    price, quantity = (np.array([r.randint(1, 10**13) for _ in range(300)]) for _ in range(2))
+    found = [x.to_pylist() for x in book._side_stats(start, end, price, quantity, n)]
+    for i in range(n):
+        live = [(p, q) for a, b, p, q in zip(start.tolist(), end.tolist(), price.tolist(), quantity.tolist(), strict=True) if a <= i < b]
+        u = 10**8
+        want = [sum(q for _, q in live) / u, sum(p * q for p, q in live) / u**2]
+        want += [f(x) / s for x, s in (([p for p, _ in live], u), ([q for _, q in live], u), ([p * q for p, q in live], u * u)) for f in (max, min)] if live else [None] * 6
+        assert [x[i] for x in found] == pytest.approx(want, rel=1e-15)
