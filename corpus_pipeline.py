@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own, i = chunks.numbered(docs), chunks.number_of(docs, "doc_id")
     classes = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
     first = chunks.written(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("rows")), "first-ids")
-    kept = own.join(first.where("rows = 1").select(i), i, "left_semi").unionByName(own.where(F.col(i).isNull()))
+    once = first.where("rows = 1").select(i).hint("merge")  # at every size alike: as many ids as documents
+    kept = own.join(once, i, "left_semi").unionByName(own.where(F.col(i).isNull()))
     again = first.where("rows > 1").select(i)
     if not again.isEmpty():
         whole = F.struct(*own.columns)
