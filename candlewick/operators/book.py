@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import scan
@@ -95,7 +95,7 @@ def covering(start: np.ndarray, end: np.ndarray, value: np.ndarray, n: int, leas
     return held
 
 
-def _running(start: np.ndarray, end: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+def running(start: np.ndarray, end: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """For each of n places the sum over the intervals over it, of integers."""
     total = np.zeros(n + 1, np.int64)
     np.add.at(total, start, value)
@@ -108,21 +108,21 @@ UNIT = 10**8
 
 def _side_stats(start: np.ndarray, end: np.ndarray, price: np.ndarray, quantity: np.ndarray, n: int) -> list[pa.Array]:
     """STATS at n events from the lives of levels: quantity and price in units, exact; volumes as sums of three integers, in parts of 1, 1e-8, 1e-16."""
-    empty = _running(start, end, np.ones(len(start), np.int64), n) == 0
+    empty = running(start, end, np.ones(len(start), np.int64), n) == 0
     (p, p_rest), (q, q_rest) = (np.divmod(x, UNIT) for x in (price, quantity))
     low = p_rest * q_rest
     middle = p * q_rest + p_rest * q + low // UNIT
     parts = p * q + middle // UNIT, middle % UNIT, low % UNIT
     whole = lambda a, b, c: a + (b + c / UNIT) / UNIT
     volume = whole(*parts)
-    found = [_running(start, end, quantity, n) / UNIT, whole(*(_running(start, end, x, n) for x in parts))]
+    found = [running(start, end, quantity, n) / UNIT, whole(*(running(start, end, x, n) for x in parts))]
     for x, scale in ((price, UNIT), (quantity, UNIT), (volume, 1)):
         least = -np.inf if x.dtype == np.float64 else np.iinfo(np.int64).min + 1
         found += [covering(start, end, x, n, least) / scale, -covering(start, end, -x, n, least) / scale]
     return [pa.array(x, pa.float64(), mask=None if i < 2 else empty) for i, x in enumerate(found)]
 
 
-def _segments(changes: DataFrame, rows: int, chunks: int | None) -> DataFrame:
+def segments(changes: DataFrame, rows: int, chunks: int | None) -> DataFrame:
     """The changes with _segment: successive events of a data set, so many changes or fewer a segment, and one event whole; and
     before each segment but the first of a data set the levels that live at its beginning, as changes without an event.
     """
@@ -138,6 +138,31 @@ def _segments(changes: DataFrame, rows: int, chunks: int | None) -> DataFrame:
     return own.unionByName(seeds, allowMissingColumns=True)
 
 
+def _asks(rows: pa.Table) -> np.ndarray:
+    return np.asarray(pc.equal(rows.column("side"), "ask").combine_chunks())
+
+
+def lives(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """Of a segment a row for each event in order, all changes by side, price and event, and from which to which event each change holds.
+
+    A level that lives at the beginning does so from the first event on. A change that the same event overwrites holds nowhere.
+    """
+    rows = rows.combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, [("timestamp_ms", "ascending"), ("event_id", "ascending"), ("position", "ascending")], null_placement="at_start"))
+    seeds = rows.column("event_id").null_count
+    events = rows.slice(seeds)
+    ts, event = (events.column(c).to_numpy() for c in ORDER)
+    new = np.ones(len(ts), bool)
+    new[1:] = (ts[1:] != ts[:-1]) | (event[1:] != event[:-1])
+    at = np.append(np.zeros(seeds, np.int64), np.cumsum(new) - 1)
+    price, ask = rows.column("price").to_numpy(), _asks(rows)
+    order = np.lexsort((np.arange(len(at)), price, ask))
+    start, price, ask = at[order], price[order], ask[order]
+    end = np.append(start[1:], new.sum())
+    end[:-1][(price[1:] != price[:-1]) | (ask[1:] != ask[:-1])] = new.sum()
+    return events.filter(pa.array(new)), rows.take(pa.array(order)), start, end
+
+
 def state_stats(changes: DataFrame, rows: int = 200_000, chunks: int | None = None) -> DataFrame:
     """At each event the statistics of the live levels of both sides (ask_total_quantity, ... bid_min_volume).
 
@@ -147,29 +172,19 @@ def state_stats(changes: DataFrame, rows: int = 200_000, chunks: int | None = No
     names = [f"{s}_{x}" for s in ("ask", "bid") for x in STATS]
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        rows = rows.take(pc.sort_indices(rows, [("timestamp_ms", "ascending"), ("event_id", "ascending"), ("position", "ascending")], null_placement="at_start"))
-        seeds = rows.column("event_id").null_count
-        ts, event = (rows.column(c).slice(seeds).to_numpy() for c in ORDER)
-        new = np.ones(len(ts), bool)
-        new[1:] = (ts[1:] != ts[:-1]) | (event[1:] != event[:-1])
-        n = int(new.sum())
-        at = np.append(np.zeros(seeds, np.int64), np.cumsum(new) - 1)  # levels that live at the beginning do so from the first event on
-        price, quantity, ask = rows.column("price").to_numpy(), rows.column("quantity").to_numpy(), np.asarray(pc.equal(rows.column("side"), "ask").combine_chunks())
-        order = np.lexsort((np.arange(len(at)), price, ask))
-        start, price, quantity, ask = at[order], price[order], quantity[order], ask[order]
-        end = np.append(start[1:], n)
-        end[:-1][(price[1:] != price[:-1]) | (ask[1:] != ask[:-1])] = n
+        events, levels, start, end = lives(rows)
+        n, ask = len(events), _asks(levels)
+        price, quantity = (levels.column(c).to_numpy() for c in ("price", "quantity"))
         made = []
         for own in (ask, ~ask):
-            lives = own & (quantity != 0) & (end > start)
-            made += _side_stats(start[lives], end[lives], price[lives], quantity[lives], n)
+            live = own & (quantity != 0) & (end > start)
+            made += _side_stats(start[live], end[live], price[live], quantity[live], n)
         key = [rows.column(c)[0].as_py() for c in ("symbol", "data_set_idx")]
-        return pa.table([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(ts[new]), pa.array(event[new]), *made], ["symbol", "data_set_idx", *ORDER, *names])
+        return pa.table([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), *(events.column(c) for c in ORDER), *made], ["symbol", "data_set_idx", *ORDER, *names])
 
     own = changes if "position" in changes.columns else changes.withColumn("position", F.lit(0))
     units = lambda c: (F.col(c) * UNIT).cast("bigint").alias(c)
-    own = _segments(own.select("symbol", "data_set_idx", *ORDER, "side", "position", units("price"), units("quantity")), rows, chunks)
+    own = segments(own.select("symbol", "data_set_idx", *ORDER, "side", "position", units("price"), units("quantity")), rows, chunks)
     schema = "symbol string, data_set_idx bigint, timestamp_ms bigint, event_id bigint, " + ", ".join(f"{n} double" for n in names)
     return own.groupBy("symbol", "data_set_idx", "_segment").applyInArrow(run, schema)
 
@@ -211,21 +226,27 @@ def interval_records(trades: DataFrame, changes: DataFrame, carry_empty_interval
     """
     stats = scan.saved(state_stats(changes, chunks=chunks))
     as_of = lambda e: stats.select("symbol", "data_set_idx", F.col("event_id").alias(f"{e}_event_id"), *(F.col(f"{s}_{x}").alias(_record_name(e, s, x)) for s in ("ask", "bid") for x in STATS))
-    mine = interval_trade_stats(trades, changes, chunks).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
-    w = Window.partitionBy("symbol", "data_set_idx").orderBy("end_timestamp_ms", "end_event_id")
-    mine = mine.withColumn("record_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    mine = _numbered(scan.saved(interval_trade_stats(trades, changes, chunks)), F.lit(1), chunks).join(as_of("end"), ["symbol", "data_set_idx", "end_event_id"])
     if carry_empty_intervals:
-        starts = _carried_starts(mine, intervals(changes).join(as_of("start"), ["symbol", "data_set_idx", "start_event_id"]))
+        starts = _carried_starts(mine, intervals(changes, chunks), as_of("start"), chunks)
         return mine.drop("start_timestamp_ms", "start_event_id", "end_event_id").join(starts, ["symbol", "data_set_idx", "record_idx"])
     return mine.join(as_of("start"), ["symbol", "data_set_idx", "start_event_id"]).drop("start_event_id", "end_event_id")
 
 
-def _carried_starts(records: DataFrame, spans: DataFrame) -> DataFrame:
+def _numbered(spans: DataFrame, counted: Column, chunks: int | None) -> DataFrame:
+    """Adds record_idx: how many counted spans of the data set end before this one; summed over a whole symbol, in chunks, less the sum before the data set."""
+    own = scan.step(spans.withColumn("_one", counted.cast("bigint")), SYMBOL, ["end_timestamp_ms", "end_event_id"], sums={"_upto": F.col("_one")}, chunks=chunks)
+    before = F.col("_upto") - F.col("_one")
+    base = own.groupBy("symbol", "data_set_idx").agg(F.min(before).alias("_base"))
+    return own.join(base, ["symbol", "data_set_idx"]).withColumn("record_idx", before - F.col("_base")).drop("_one", "_upto", "_base")
+
+
+def _carried_starts(records: DataFrame, spans: DataFrame, stats: DataFrame, chunks: int | None) -> DataFrame:
     """For each record the start of the first interval after the record before, and of each side the first start statistics from there on with levels."""
     keys = ["symbol", "data_set_idx"]
-    made = records.select(*keys, "end_event_id", F.lit(1).alias("_made"))
-    w = Window.partitionBy(*keys).orderBy("end_timestamp_ms", "end_event_id").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = spans.join(made, [*keys, "end_event_id"], "left").withColumn("record_idx", F.count("_made").over(w))
+    made = records.select(*keys, "end_event_id", F.lit(True).alias("_made"))
+    marked = spans.join(made, [*keys, "end_event_id"], "left")
+    numbered = _numbered(marked, F.col("_made").isNotNull(), chunks).join(stats, [*keys, "start_event_id"])
     names = {s: [_record_name("start", s, x) for x in STATS] for s in ("ask", "bid")}
     with_levels = {s: F.when(F.col(_record_name("start", s, "total_volume")) > 0, F.struct("end_timestamp_ms", "end_event_id")) for s in names}
     first = numbered.groupBy(*keys, "record_idx").agg(F.min("start_timestamp_ms").alias("start_timestamp_ms"), *(F.min_by(F.struct(*names[s]), with_levels[s]).alias(f"_{s}") for s in names))

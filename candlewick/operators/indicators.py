@@ -45,7 +45,7 @@ def wilder_ma(df: DataFrame, order: str, value: str, n: int, chunks: int | None
 
 def rsi(df: DataFrame, order: str = "start_trade_id", value: str = "close_price", n: int = 14, chunks: int | None = None) -> DataFrame:
     """Adds rsi, null for the first n rows: averages of gains and losses, means of the first n changes, then Wilder's; 100 without losses."""
-    own = scan.step(scan.chunked(df, order, chunks), SYMBOL, [order], index="_i", previous={"_before": value})
+    own = scan.step(scan.chunked(df, SYMBOL, order, chunks), SYMBOL, [order], index="_i", previous={"_before": value})
     change = F.col(value).cast("double") - F.col("_before").cast("double")
     keep, step = F.when(F.col("_i") <= n, 1.0).otherwise((n - 1) / n), lambda x: F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0)) / n
     out = scan.affine(own, SYMBOL, [order], {"_gain": (keep, step(change)), "_loss": (keep, step(-change))})
@@ -55,7 +55,7 @@ def rsi(df: DataFrame, order: str = "start_trade_id", value: str = "close_price"
 
 def candle_velocity(candles: DataFrame, kinds: tuple[str, ...] = ("trades_count", "volume", "close_price"), alpha: float = 0.1, chunks: int | None = None) -> DataFrame:
     """Adds velocity, the mean of the kinds' differences to the candle before (0 for the first), and its ema, smoothed_velocity."""
-    own = scan.step(scan.chunked(candles, "start_timestamp_ms", chunks), SYMBOL, ["start_timestamp_ms"], previous={f"_{k}": k for k in kinds})
+    own = scan.step(scan.chunked(candles, SYMBOL, "start_timestamp_ms", chunks), SYMBOL, ["start_timestamp_ms"], previous={f"_{k}": k for k in kinds})
     total = sum((F.col(k).cast("double") - F.col(f"_{k}").cast("double") for k in kinds), F.lit(0.0)) / len(kinds)
     own = own.withColumn("velocity", F.coalesce(total, F.lit(0.0))).drop(*(f"_{k}" for k in kinds))
     return ema(own, "start_timestamp_ms", "velocity", alpha, "smoothed_velocity").drop(scan.CHUNK)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def extreme_lines(lines: DataFrame, last_ids: DataFrame, chunks: int | None = No
     chunk whose range has the price: lines join end to end, so one of that chunk's lines covers it.
     """
     narrow = lines.select("symbol", "start_trade_id", "end_trade_id", F.col("start_price").cast("double").alias("start_price"), F.col("end_price").cast("double").alias("end_price"))
-    own = scan.chunked(scan.saved(narrow), "start_trade_id", chunks)
+    own = scan.chunked(scan.saved(narrow), ["symbol"], "start_trade_id", chunks)
     schema = "symbol string, _chunk bigint, price double, start_trade_id bigint, end_trade_id bigint"
 
     def ordered(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -156,7 +157,7 @@ def winning_pieces(levels: DataFrame, extent: DataFrame, chunks: int | None = No
     own = own.select("symbol", _y(F.col("price")).alias("y"), _cell(F.col("start_trade_id"), "min_trade_id").alias("_a"), F.struct("end_trade_id", "start_trade_id", "price", _cell(F.col("end_trade_id"), "min_trade_id").alias("b")).alias("_rank"))
     best = own.where("_rank.b > _a").groupBy("symbol", "y", "_a").agg(F.max("_rank").alias("_rank"))
     keys = ["symbol", "y"]
-    best = scan.chunked(scan.saved(best), "_a", chunks)
+    best = scan.chunked(scan.saved(best), keys, "_a", chunks)
     w = scan.inside(keys, "_a")
     upto, earlier = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
     local = {"_upto": F.max("_rank").over(upto), "_earlier": F.max("_rank").over(earlier)}
@@ -180,30 +181,79 @@ def extreme_line_raster(levels: DataFrame, extent: DataFrame, range_cells: int =
     return ranges.select("symbol", F.explode(F.sequence("_from", "_to")).alias("x"), "y", "since").select("symbol", "x", "y", (F.col("x") - F.col("since")).alias("value"))
 
 
-def book_volume_heatmap(changes: DataFrame, bars: DataFrame, extent: DataFrame, add: bool = False, chunks: int | None = None) -> DataFrame:
-    """At each event the live levels' volumes: x from the bar at that time, y from the price; later events, then higher prices, overwrite, or add up.
+_FRACTION = 1 << 40
+
+
+def _heated(rows: pa.Table, add: bool) -> pa.Table:
+    """The cells of a segment of a data set, with the last event in each; see book_volume_heatmap.
 
-    Cells below 0 are dropped. Events are numbered in their data set, and so are the different x of a data set, which
-    rise with the events. A level's life becomes a row for each x that it covers.
+    In each row of cells the lives of levels are laid over the events between which something starts or ends there: of the
+    levels between two such events the highest holds, or their sum. What holds becomes cells only then, and two successive
+    pieces share one column of cells at most.
     """
-    e = book.asof(changes.select("symbol", "data_set_idx", "timestamp_ms", "event_id").distinct(), bars, "timestamp_ms", "start_timestamp_ms", "start_trade_id", "bar_id", chunks)
-    w = Window.partitionBy("symbol", "data_set_idx").orderBy("timestamp_ms", "event_id")
-    e = e.join(F.broadcast(extent), "symbol").withColumn("x", _cell(F.col("bar_id"), "min_trade_id"))  # extent: a row for each symbol
-    new = (~F.col("x").eqNullSafe(F.lag("x").over(w))).cast("bigint")
-    e = e.withColumns({"no": F.row_number().over(w), "_new": new}).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = scan.saved(e.select("symbol", "data_set_idx", "event_id", "no", "x", "column"))
-    columns = e.groupBy("symbol", "data_set_idx", "column").agg(F.any_value("x").alias("x"), F.min("no").alias("first_no"), F.max("no").alias("last_no"))
-    whole = e.groupBy("symbol", "data_set_idx").agg(F.max("column").alias("last_column"))
-    lives = book.level_lifetimes(changes).where("quantity > 0")
-    number = e.select("symbol", "data_set_idx", F.col("event_id").alias("from_id"), F.col("no").alias("from_no"), F.col("column").alias("from_column"))
-    until = e.select("symbol", "data_set_idx", F.col("event_id").alias("to_id"), F.col("no").alias("to_no"), F.col("column").alias("to_column"))
-    lives = lives.join(number, ["symbol", "data_set_idx", "from_id"]).join(until, ["symbol", "data_set_idx", "to_id"], "left").join(whole, ["symbol", "data_set_idx"])
-    lives = lives.withColumn("column", F.explode(F.sequence("from_column", F.coalesce("to_column", "last_column")))).join(F.broadcast(extent), "symbol").withColumn("y", _y(F.col("price").cast("double")))
-    # the x of the event that ends a life is covered only if an event before has it too
-    cells = lives.join(columns, ["symbol", "data_set_idx", "column"]).where("(to_no is null or to_no > first_no) and x >= 0 and y >= 0")
-    cells = cells.withColumn("_at", F.least("last_no", F.coalesce(F.col("to_no") - 1, F.col("last_no"))))
-    value = (F.col("price") * F.col("quantity")).cast("double")
+    key = [rows.column(c)[0].as_py() for c in ("symbol", "data_set_idx")]
+    events, levels, start, end = book.lives(rows)
+    n, x = len(events), events.column("x").to_numpy()
+    new = np.ones(n, bool)
+    new[1:] = x[1:] != x[:-1]
+    column, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    y, price, value = (levels.column(c).to_numpy() for c in ("y", "price", "value"))
+    live = (value > 0) & (end > start) & (y >= 0)
+    bid = np.asarray(pc.equal(levels.column("side"), "bid").combine_chunks())[live]
+    start, end, y, price, value = (v[live] for v in (start, end, y, price, value))
+    places = np.unique(np.concatenate([y * n + start, y * n + end]))
+    a, b = (np.searchsorted(places, y * n + v) for v in (start, end))
+    by_rank = np.lexsort((bid, price))
+    rank = np.empty(len(by_rank), np.int64)
+    rank[by_rank] = np.arange(len(by_rank))
+    top = book.covering(a, b, rank, len(places), -1)
+    held = np.flatnonzero(top >= 0)
+    if add:  # exact, as whole numbers and fractions
+        whole = np.floor(value)
+        parts = whole.astype(np.int64), np.rint((value - whole) * _FRACTION).astype(np.int64)
+        whole, rest = (book.running(a, b, v, len(places))[held] for v in parts)
+        piece = whole + rest / _FRACTION
+    else:
+        piece = value[by_rank][top[held]]
+    row, since = places[held] // max(n, 1), places[held] % max(n, 1)
+    until = since + places[np.minimum(held + 1, len(places) - 1)] - places[held] - 1
+    count = column[until] - column[since] + 1
+    i = np.repeat(np.arange(len(held)), count)
+    c = column[since][i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.minimum(last[c], until[i])
+    cell = row[i] * len(first) + c
+    ends = np.ones(len(cell), bool)
+    ends[:-1] = cell[1:] != cell[:-1]
     if add:
-        times = F.col("_at") - F.greatest("first_no", "from_no") + 1
-        return cells.groupBy("symbol", "x", "y").agg(F.sum(value * times).alias("value"))
-    return cells.groupBy("symbol", "x", "y").agg(F.max_by(value, F.struct("data_set_idx", "_at", "price", "side")).alias("value"))
+        each = piece[i] * (at - np.maximum(first[c], since[i]) + 1)
+        begins = np.append(0, np.flatnonzero(ends)[:-1] + 1) if len(cell) else np.zeros(0, np.int64)
+        made = np.add.reduceat(each, begins) if len(cell) else each
+    else:
+        made = piece[i][ends]
+    c, row, at = c[ends], row[i][ends], at[ends]
+    shown = x[first[c]] >= 0
+    c, row, at, made = (v[shown] for v in (c, row, at, made))
+    k = len(c)
+    columns = [pa.array([key[0]] * k, pa.string()), pa.array([key[1]] * k, pa.int64()), pa.array(x[first[c]]), pa.array(row), *(events.column(o).take(pa.array(at)) for o in book.ORDER), pa.array(made)]
+    return pa.table(columns, ["symbol", "data_set_idx", "x", "y", *book.ORDER, "value"])
+
+
+def book_volume_heatmap(changes: DataFrame, bars: DataFrame, extent: DataFrame, add: bool = False, rows: int = 200_000, chunks: int | None = None) -> DataFrame:
+    """At each event the live levels' volumes: x from the bar at that time, y from the price; later events, then higher prices, overwrite, or add up.
+
+    Cells below 0 are dropped. Data sets are cut into segments of about so many rows, as in book.state_stats; a segment gives
+    a row for each of its cells, and the last segment of a cell, or the sum, counts. The x of a data set rise with the events.
+    """
+    extent = scan.saved(extent)  # a row for each symbol: the planner knows its size
+    keys = ["symbol", "data_set_idx", *book.ORDER]
+    e = book.asof(changes.select(*keys).distinct(), bars, "timestamp_ms", "start_timestamp_ms", "start_trade_id", "bar_id", chunks)
+    e = e.join(extent, "symbol").select(*keys, _cell(F.col("bar_id"), "min_trade_id").alias("x")).where("x is not null")
+    own = changes if "position" in changes.columns else changes.withColumn("position", F.lit(0))
+    own = book.segments(own.select(*keys, "side", "position", "price", "quantity").join(e, keys), rows, chunks).join(extent, "symbol")
+    own = own.select(
+        *keys, "_segment", "side", "position", "x", (F.col("price") * book.UNIT).cast("bigint").alias("price"), _y(F.col("price").cast("double")).alias("y"), (F.col("price") * F.col("quantity")).cast("double").alias("value"),
+    )
+    schema = "symbol string, data_set_idx bigint, x bigint, y bigint, timestamp_ms bigint, event_id bigint, value double"
+    cells = own.groupBy("symbol", "data_set_idx", "_segment").applyInArrow(lambda t: _heated(t, add), schema).groupBy("symbol", "x", "y")
+    return cells.agg(F.sum("value").alias("value") if add else F.max_by("value", F.struct("data_set_idx", *book.ORDER)).alias("value"))

@@ -116,7 +116,7 @@ def zigzag_lines(trades: DataFrame, chunks: int | None = None) -> DataFrame:
     starts where the one before it ended; the trade it starts with counts in the earlier line's quantity and volume. A
     symbol with one trade has no line.
     """
-    own = scan.step(scan.chunked(trades, "trade_id", chunks), SYMBOL, ["trade_id"], index="_i", previous={"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"})
+    own = scan.step(scan.chunked(trades, SYMBOL, "trade_id", chunks), SYMBOL, ["trade_id"], index="_i", previous={"_price": "price", "_id": "trade_id", "_ts": "timestamp_ms"})
     steps = _ways(own.where("_i > 0").withColumn("_step", F.signum(F.col("price") - F.col("_price")).cast("int")))
     first = own.where("_i = 0").select("symbol", F.col("trade_id").alias("_first"), F.col("quantity").alias("_q"), trade_volume().alias("_v"))
     lines = steps.groupBy("symbol", "line").agg(

@@ -27,20 +27,56 @@ def saved(df: DataFrame) -> DataFrame:
     return written(df, "rows")
 
 
-def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
-    """Adds the chunk of each row: equal ranges of the order column, about a million rows each unless a number is given.
+def chunked(df: DataFrame, keys: Sequence[str], order: str, chunks: int | None = None) -> DataFrame:
+    """Adds the chunk of each row of a key, rising with the order column: about a million rows each, or as many as leave the largest key so many chunks.
+
+    A chunk ends at a quantile of its key, so ids may lie in clusters and keys may differ in size; rows of one value stay
+    together, and a key of one chunk costs a count alone. Larger ones are cut into up to 64 parts, and parts that are still
+    over twice as large again. All bounds together are a number for each chunk.
 
     A frame that has chunks keeps them, so steps in one order share the counts: the functions below leave chunks that they
     are given in place.
     """
     if CHUNK in df.columns:
         return df
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    if low is None:
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    chunks = chunks or max(1, -(-n // ROWS_PER_CHUNK))
-    width = max(1, -(-(high - low + 1) // chunks))
-    return df.withColumn(CHUNK, F.floor((F.col(order) - low) / width).cast("bigint"))
+    own = df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    if chunks == 1:
+        return own
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    limit = ROWS_PER_CHUNK if chunks is None else max(1, -(-most // chunks))
+    if most <= limit:
+        return own
+    narrow = saved(own.select(*keys, CHUNK, order))
+    for tier in range(_TIERS):
+        bounds = saved(_bounds(narrow, keys, order, limit, 2 if tier else 1))
+        if bounds.isEmpty():
+            break
+        own, narrow = (_parted(x, bounds, keys, order) for x in (own, narrow))
+    return own
+
+
+#: A chunk that is too large is cut into so many parts at most, a power of two, and so many times over.
+_PARTS = 64
+_TIERS = 4
+
+
+def _bounds(df: DataFrame, keys: Sequence[str], order: str, limit: int, times: int) -> DataFrame:
+    """For each chunk of more rows than so many times limit _bounds, where its second, third, ... part begins."""
+    v = F.col(order)
+    quantiles = F.percentile_approx(v, [i / _PARTS for i in range(1, _PARTS)], 20 * _PARTS)
+    whole = df.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"), quantiles.alias("_q"))
+    parts = F.least(F.lit(_PARTS), F.ceil(F.col("_n") / limit).cast("int"))
+    begins = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * _PARTS / parts).cast("int") - 1))
+    return whole.where((F.col("_n") > times * limit) & (F.col("_low") < F.col("_high"))).select(*keys, CHUNK, F.array_distinct(begins).alias("_bounds"))
+
+
+def _parted(df: DataFrame, bounds: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """df with each chunk's number times 64 plus the part of the row, found by halving the bounds."""
+    halves = F.array(*(F.lit(_PARTS >> i) for i in range(1, _PARTS.bit_length())))
+    right = lambda p, s: F.coalesce(F.get("_bounds", p + s - 1) <= F.col(order), F.lit(False))
+    part = F.aggregate(halves, F.lit(0), lambda p, s: F.when(right(p, s), p + s).otherwise(p))
+    number = F.col(CHUNK) * _PARTS + F.when(F.col("_bounds").isNull(), 0).otherwise(part)
+    return df.join(bounds, [*keys, CHUNK], "left").select(*(c for c in df.columns if c != CHUNK), number.cast("bigint").alias(CHUNK))
 
 
 def _unless_given(df: DataFrame) -> list[str]:
@@ -79,7 +115,7 @@ def step(
     the last value up to it that isn't null.
     """
     previous, sums, known = previous or {}, sums or {}, known or {}
-    own = chunked(df, order[0], chunks).withColumns({f"_x_{n}": c for n, c in (sums | known).items()})
+    own = chunked(df, keys, order[0], chunks).withColumns({f"_x_{n}": c for n, c in (sums | known).items()})
     w = inside(keys, *order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = {"_nth": F.row_number().over(w)}
@@ -104,7 +140,7 @@ def index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
 
 def run_ids(df: DataFrame, keys: Sequence[str], order: str, kind: Column, name: str, last: str | None = None, chunks: int | None = None) -> DataFrame:
     """Adds the number of the run of rows of equal kind, from 1 for each key, and if named the number of the key's last run."""
-    own = chunked(df.withColumn("_kind", kind), order, chunks)
+    own = chunked(df.withColumn("_kind", kind), keys, order, chunks)
     w = inside(keys, order)
     new = (F.row_number().over(w) > 1) & ~F.col("_kind").eqNullSafe(F.lag("_kind").over(w))
     own = own.withColumn("_new", new.cast("bigint"))
@@ -168,7 +204,7 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict
     is composed from the last rows of those before.
     """
     names = list(steps)
-    own = chunked(df, order[0], chunks).withColumn("_start", (F.lit(0.0) if start is None else start).cast("double"))
+    own = chunked(df, keys, order[0], chunks).withColumn("_start", (F.lit(0.0) if start is None else start).cast("double"))
     for n, (a, b) in steps.items():
         own = own.withColumns({f"_a_{n}": a.cast("double"), f"_b_{n}": b.cast("double")})
     kept = [c for c in own.columns if c != "_start" and c not in {f"_{x}_{n}" for n in names for x in "ab"}]

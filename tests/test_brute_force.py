@@ -176,7 +176,8 @@ def test_book_replay(spark, rows):
             assert float(t[f"{side}s_total_quantity"]) == pytest.approx(sum(live.values())) and float(t[f"{side}s_total_volume"]) == pytest.approx(sum(volumes))
 
 
-def test_heatmap(spark):
+@pytest.mark.parametrize(("rows", "chunks"), [(200_000, 1), (40, 7), (3, 64)])
+def test_heatmap(spark, rows, chunks):
     changes = random_book(5)
     t = frame(spark, TRADES, [("x", i, i % 2 == 0, 92 + i % 17, 1, 12 * i) for i in range(150)])
     own = runs.run_bars_side(t, emit_open=True)
@@ -197,8 +198,8 @@ def test_heatmap(spark):
                 total[x, y] = total.get((x, y), 0) + p * q
                 last[x, y] = max(last.get((x, y), ()), ((d, n, p, side), p * q))
     c = frame(spark, CHANGES, changes)
-    assert {(r.x, r.y): r.value for r in layers.book_volume_heatmap(c, own, extent).collect()} == {k: pytest.approx(v[1]) for k, v in last.items()}
-    assert {(r.x, r.y): r.value for r in layers.book_volume_heatmap(c, own, extent, add=True).collect()} == {k: pytest.approx(v) for k, v in total.items()}
+    assert {(r.x, r.y): r.value for r in layers.book_volume_heatmap(c, own, extent, rows=rows, chunks=chunks).collect()} == {k: pytest.approx(v[1]) for k, v in last.items()}
+    assert {(r.x, r.y): r.value for r in layers.book_volume_heatmap(c, own, extent, add=True, rows=rows, chunks=chunks).collect()} == {k: pytest.approx(v) for k, v in total.items()}
 
 
 @pytest.mark.parametrize("chunks", CHUNKS)

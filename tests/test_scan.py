@@ -1,5 +1,6 @@
 """Ordered operators give the same for one chunk and for many; hand-worked runs and segments."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from candlewick.operators import bars, indicators, runs, scan
@@ -43,3 +44,21 @@ def test_rsi_without_losses_is_100(spark):
 
 def test_fetch_limit():
     assert bars.chart_fetch_limit(4, 1_000_000, points=50) == 204 and bars.chart_fetch_limit(1, 0) == 1
+
+
+@pytest.mark.parametrize(("parts", "chunks"), [(64, 20), (4, 20), (64, 2), (4, 64)])
+def test_chunks_of_clustered_ids_are_alike(spark, monkeypatch, parts, chunks):
+    """Three clusters of ids far apart, one of many equal ids, and a symbol with few rows."""
+    monkeypatch.setattr(scan, "_PARTS", parts)
+    ids = [*range(2000), *range(10**12, 10**12 + 900), *range(10**15, 10**15 + 7000, 7), *([10**15 + 1] * 40)]
+    t = spark.createDataFrame([("a", i) for i in ids] + [("b", i) for i in range(30)], "symbol string, trade_id bigint").repartition(5)
+    own = scan.chunked(t, ["symbol"], "trade_id", chunks).groupBy("symbol", scan.CHUNK).agg(F.count("*").alias("n"), F.min("trade_id").alias("low"), F.max("trade_id").alias("high")).orderBy("symbol", scan.CHUNK).collect()
+    a, b = ([r for r in own if r.symbol == s] for s in "ab")
+    assert sum(r.n for r in a) == len(ids) and sum(r.n for r in b) == 30 and len(b) == 1
+    assert all(r.high < q.low for r, q in zip(a, a[1:], strict=False))
+    assert max(r.n for r in a) <= 2 * len(ids) / chunks + 40 and len(a) >= chunks / 2
+
+
+def test_small_keys_are_one_chunk(spark):
+    assert {r[scan.CHUNK] for r in scan.chunked(trades(spark), ["symbol"], "trade_id").collect()} == {0}
+    assert scan.chunked(trades(spark, 0), ["symbol"], "trade_id").count() == scan.chunked(trades(spark, 0), ["symbol"], "trade_id", 7).count() == 0
