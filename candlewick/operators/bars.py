@@ -17,7 +17,10 @@ def candle_start(ms: int, column: str = "timestamp_ms"):
 
 
 def time_candles(trades: DataFrame, interval: str = "1H") -> DataFrame:
-    ms = INTERVALS[interval]
+    return candles_of_width(trades, INTERVALS[interval])
+
+
+def candles_of_width(trades: DataFrame, ms: int) -> DataFrame:
     out = trades.groupBy("symbol", candle_start(ms).alias("start_timestamp_ms")).agg(
         F.min_by("price", "trade_id").alias("open_price"), F.max("price").alias("high_price"), F.min("price").alias("low_price"), F.max_by("price", "trade_id").alias("close_price"),
         F.sum(runs.trade_volume()).alias("volume"), F.count("*").alias("trades_count"), F.min("trade_id").alias("start_trade_id"), F.max("trade_id").alias("end_trade_id"),

@@ -116,6 +116,45 @@ def bad_book_rows(messages: DataFrame) -> DataFrame:
     return messages.where(~F.col("timestamp_ms").between(LEAST_MS, MOST_MS) | broken("asks") | broken("bids")).select("symbol", "timestamp_ms", "event_id")
 
 
+def _candle_rules(symbols: list[str], ms: int) -> dict[str, Column]:
+    h, low, o, c = (F.col(f"{x}_price") for x in ("high", "low", "open", "close"))
+    start = F.col("start_timestamp_ms")
+    return {
+        "symbol": ~F.col("symbol").isin(symbols),
+        "timestamp": ~start.between(LEAST_MS, MOST_MS) | (start % ms != 0) | (F.col("end_timestamp_ms") - start != ms),
+        "prices": (low < 0) | (h < low) | (h < o) | (h < c) | (low > o) | (low > c),
+        "volume": (F.col("volume") < 0) | (F.col("trades_count") < 1),
+        "trade_ids": (F.col("start_trade_id") < 0) | (F.col("start_trade_id") > F.col("end_trade_id")),
+    }
+
+
+def check_candles_integrity(candles: DataFrame, symbols: list[str], ms: int) -> DataFrame:
+    """Stored candles of ms milliseconds: rows of each violation; of a row the first rule it breaks. A null breaks the rules on its column."""
+    return candles.withColumn("violation", _first(_candle_rules(symbols, ms))).where("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
+
+
+def bad_candle_rows(candles: DataFrame, symbols: list[str], ms: int) -> DataFrame:
+    """Keys of the candles to delete: those that break a rule, and those of a key that several rows have, since none can be told to be right."""
+    keys = ["symbol", "start_timestamp_ms"]
+    marked = candles.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(_first(_candle_rules(symbols, ms)).isNotNull()).alias("bad"))
+    return marked.where("bad or n > 1").select(*keys)
+
+
+def cleaned_candles(candles: DataFrame, trades: DataFrame, symbols: list[str], ms: int) -> DataFrame:
+    """Candles without bad ones; what lies in an interval without a candle then, but with trades of known symbols, is made again from these."""
+    from candlewick.operators.bars import candle_start, candles_of_width
+
+    keys = ["symbol", "start_timestamp_ms"]
+    bad = bad_candle_rows(candles, symbols, ms)
+    kept = candles.join(bad, (candles.symbol.eqNullSafe(bad.symbol)) & candles.start_timestamp_ms.eqNullSafe(bad.start_timestamp_ms), "left_anti")
+    own = trades.where(F.col("symbol").isin(symbols)).withColumn("_start", candle_start(ms))
+    lost = own.join(kept.select("symbol", F.col("start_timestamp_ms").alias("_start")), ["symbol", "_start"], "left_anti").drop("_start")
+    return kept.select(*keys, *(c for c in CANDLE_COLUMNS if c not in keys)).unionByName(candles_of_width(lost, ms).select(*CANDLE_COLUMNS))
+
+
+CANDLE_COLUMNS = ("symbol", "start_timestamp_ms", "open_price", "high_price", "low_price", "close_price", "volume", "trades_count", "start_trade_id", "end_trade_id", "end_timestamp_ms")
+
+
 def duplicate_timestamps(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "start_timestamp_ms").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -855,6 +855,45 @@ def duplicate_timestamps(spark, d):
     return Q.duplicate_timestamps(bars_of(spark, d).withColumn("start_timestamp_ms", B.candle_start(600_000, "start_timestamp_ms")))
 
 
-@query(sql(f"SELECT symbol, start_trade_id, {num('total_volume')} FROM bars WHERE total_volume = 0"))
+@query(sql(f"SELECT symbol, start_trade_id, {num(total_volume='0')} FROM bars WHERE start_trade_id % 10 = 0 OR total_volume = 0"))
 def zero_volume_bars(spark, d):
-    return Q.zero_volume_bars(bars_of(spark, d)).select("symbol", "start_trade_id", "total_volume")
+    """Bars of each tenth first trade have lost their volume."""
+    lost = F.when(F.col("start_trade_id") % 10 == 0, 0).otherwise(F.col("total_volume"))
+    return Q.zero_volume_bars(bars_of(spark, d).withColumn("total_volume", lost)).select("symbol", "start_trade_id", "total_volume")
+
+
+HOUR = 3_600_000
+SPOILT_CANDLES = """SELECT CASE WHEN start_trade_id % 17 = 0 THEN symbol || '?' ELSE symbol END AS symbol, start_timestamp_ms + CASE WHEN start_trade_id % 13 = 0 THEN 1 ELSE 0 END AS start_timestamp_ms,
+  open_price, CASE WHEN start_trade_id % 7 = 0 THEN low_price - 1 ELSE high_price END AS high_price, low_price, close_price, CASE WHEN start_trade_id % 11 = 0 THEN -1 ELSE volume END AS volume,
+  trades_count, start_trade_id, CASE WHEN start_trade_id % 19 = 0 THEN start_trade_id - 1 ELSE end_trade_id END AS end_trade_id, end_timestamp_ms FROM candles"""
+STORED_CANDLES = "SELECT * FROM spoilt_candles UNION ALL SELECT * FROM spoilt_candles WHERE start_trade_id % 23 = 0"
+MARKED_CANDLES = f"""SELECT *, count(*) OVER (PARTITION BY symbol, start_timestamp_ms) AS copies, CASE WHEN symbol LIKE '%?' THEN 'symbol' WHEN start_timestamp_ms % {HOUR} <> 0 THEN 'timestamp'
+  WHEN high_price < low_price OR high_price < open_price OR high_price < close_price THEN 'prices' WHEN volume < 0 THEN 'volume' WHEN end_trade_id < start_trade_id THEN 'trade_ids' END AS violation FROM stored_candles"""
+BAD_CANDLES = {"spoilt_candles": SPOILT_CANDLES, "stored_candles": STORED_CANDLES, "marked_candles": MARKED_CANDLES}
+
+
+def stored_candles(spark, d) -> DataFrame:
+    """Hourly candles of which some are spoilt by their first trade's id, and some are there twice."""
+    every = lambda n, new, old: F.when(F.col("start_trade_id") % n == 0, new).otherwise(F.col(old))
+    own = candles_of(spark, d).withColumns({
+        "symbol": every(17, F.concat("symbol", F.lit("?")), "symbol"), "start_timestamp_ms": every(13, F.col("start_timestamp_ms") + 1, "start_timestamp_ms"),
+        "high_price": every(7, F.col("low_price") - 1, "high_price"), "volume": every(11, F.lit(-1), "volume"), "end_trade_id": every(19, F.col("start_trade_id") - 1, "end_trade_id"),
+    })
+    own = scan.saved(own)
+    return own.unionByName(own.where("start_trade_id % 23 = 0"))
+
+
+@query(sql("SELECT violation, count(*) AS n FROM marked_candles WHERE violation IS NOT NULL GROUP BY 1", **BAD_CANDLES))
+def check_candles_integrity(spark, d):
+    return Q.check_candles_integrity(stored_candles(spark, d), SYMBOLS, HOUR)
+
+
+@query(sql("SELECT DISTINCT symbol, start_timestamp_ms FROM marked_candles WHERE violation IS NOT NULL OR copies > 1", **BAD_CANDLES))
+def bad_candle_rows(spark, d):
+    return Q.bad_candle_rows(stored_candles(spark, d), SYMBOLS, HOUR)
+
+
+@query(sql(f"SELECT symbol, {big('start_timestamp_ms', 'end_timestamp_ms', 'start_trade_id', 'end_trade_id', 'trades_count')}, {num('open_price', 'high_price', 'low_price', 'close_price', 'volume')} FROM candles"))
+def cleaned_candles(spark, d):
+    """Bad candles deleted and made again from the trades: what the trades give, once more."""
+    return Q.cleaned_candles(stored_candles(spark, d), trades_of(spark, d), SYMBOLS, HOUR)

@@ -71,6 +71,28 @@ def test_candle_trade_consistency(spark):
     assert failures(quality.candle_trade_consistency(candles, t, candles.limit(2))) == {"start ids": 1, "end ids": 2, "bands rows": 1}
 
 
+def test_stored_candles(spark):
+    """Of each rule one candle that breaks it, nulls, two rows of one key; what is lost is made again from trades."""
+    good = ("x", 0, 2.0, 3.0, 1.0, 2.0, 5.0, 2, 1, 2, 60)
+    names = quality.CANDLE_COLUMNS
+
+    def but(**new):
+        return tuple(new.get(n, v) for n, v in zip(names, good, strict=True))
+
+    bad = {"symbol": [but(symbol="y"), but(symbol=None)], "timestamp": [but(start_timestamp_ms=1), but(end_timestamp_ms=70)], "prices": [but(high_price=1.5, start_timestamp_ms=240, end_timestamp_ms=300), but(open_price=None, start_timestamp_ms=300, end_timestamp_ms=360)], "volume": [but(volume=-1.0, start_timestamp_ms=360, end_timestamp_ms=420)], "trade_ids": [but(end_trade_id=0, start_timestamp_ms=420, end_timestamp_ms=480)]}
+    twice = [but(start_timestamp_ms=480, end_timestamp_ms=540)] * 2
+    fine = but(start_timestamp_ms=600, end_timestamp_ms=660)
+    schema = "symbol string, start_timestamp_ms bigint, open_price double, high_price double, low_price double, close_price double, volume double, trades_count bigint, start_trade_id bigint, end_trade_id bigint, end_timestamp_ms bigint"
+    c = spark.createDataFrame([r for rows in bad.values() for r in rows] + twice + [fine], schema)
+    assert {r.violation: r.n for r in quality.check_candles_integrity(c, ["x"], 60).collect()} == {k: len(v) for k, v in bad.items()}
+    keys = {(r.symbol, r.start_timestamp_ms) for r in quality.bad_candle_rows(c, ["x"], 60).collect()}
+    assert keys == {(r[0], r[1]) for rows in bad.values() for r in rows} | {("x", 480)}
+    t = spark.createDataFrame([("x", 5, True, 4.0, 2.0, 485), ("x", 6, True, 9.0, 1.0, 610), ("y", 7, True, 9.0, 1.0, 0)], "symbol string, trade_id bigint, is_buy boolean, price double, quantity double, timestamp_ms bigint")
+    got = sorted(tuple(r[n] for n in names) for r in quality.cleaned_candles(c, t, ["x"], 60).collect())
+    assert got == [("x", 480, 4.0, 4.0, 4.0, 4.0, 8.0, 1, 5, 5, 540), fine]
+    assert quality.check_candles_integrity(c.limit(0), ["x"], 60).count() == quality.bad_candle_rows(c.limit(0), ["x"], 60).count() == 0
+
+
 def test_minute_candles_from_seconds(spark):
     i = F.col("id")
     t = spark.range(300).select(F.lit("x").alias("symbol"), i.alias("trade_id"), (i % 2 == 0).alias("is_buy"), (50000 + i % 100).cast("decimal(18,8)").alias("price"), F.lit(0.1).cast("decimal(18,8)").alias("quantity"), (i * 1000).alias("timestamp_ms"))
