@@ -32,7 +32,7 @@ def _y(price):
 
 def trade_volume_profile(trades: DataFrame) -> DataFrame:
     """Volume of buys (side bid) and sells (side ask) in each cell of trade id and price, clamped at the edges."""
-    own = trades.join(F.broadcast(trade_extent(trades)), "symbol")  # a row for each symbol
+    own = trades.join(scan.saved(trade_extent(trades)), "symbol")  # a row for each symbol: the planner knows its size
     x = F.greatest(F.least(_cell(F.col("trade_id"), "min_trade_id"), F.col("width") - 1), F.lit(0))
     y = F.greatest(_y(F.col("price").cast("double")), F.lit(0))
     return own.groupBy("symbol", F.when(F.col("is_buy"), "bid").otherwise("ask").alias("side"), x.alias("x"), y.alias("y")).agg(F.sum(trade_volume()).alias("value"))
