@@ -20,6 +20,7 @@ WORDS, PERCENT = 5, 80
 BLOCK, PIVOTS = 256, 8
 
 _BYTES_A_TOKEN = 15.0  # of text, for each token that is exchanged
+_TASK_BYTES = 64 << 20  # of sets that a task searches
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -222,35 +223,79 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def _clusters(sets: DataFrame) -> DataFrame:
-    """Columns node, component: sets that have a rare shingle in common, directly or over others; linked sets always do."""
+def _each_rare(sets: DataFrame, *carried: str) -> DataFrame:
+    """A row for each rare shingle of each set: token, and the carried integer columns."""
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = [np.frombuffer(x, "<i8") for x in part.column(1).to_pylist()]
-                ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], ["token", "id"])
+                own = [np.frombuffer(x, "<i8") for x in part.column(0).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(c.take(of) for c in part.columns[1:])], ["token", *carried])
+
+    wide = [F.col(c).cast("bigint").alias(c) for c in carried]
+    return sets.select("rare", *wide).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", *carried)))
 
-    tokens = sets.select("id", "rare").mapInArrow(rare, "token bigint, id bigint")
+
+def _clusters(sets: DataFrame) -> DataFrame:
+    """Columns node, component: sets that have a rare shingle in common, directly or over others; linked sets always do."""
+    tokens = _each_rare(sets, "id")
     least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
     return components(tokens.join(least, "token").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
 
 
+def _placed(sets: DataFrame, block: int) -> DataFrame:
+    """Columns id, cluster, size, blocks, block: each set of a cluster in one of the cluster's blocks, of about the given size.
+
+    Sets with the same rarest shingle share a block, or as few as hold them, so that the shingles of a set lead to few.
+    """
+    clusters = _clusters(sets)
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    placed = placed.join(sets.select("id", F.xxhash64(F.substring("rare", 1, 8)).alias("rarest")), "id")
+    lists = placed.where("blocks > 1").groupBy("rarest").agg(F.ceil(F.count("*") / block).alias("pieces"))
+    piece = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1)))
+    return placed.join(lists, "rarest", "left").withColumn("block", F.pmod(F.xxhash64("rarest", piece), F.col("blocks")).cast("int")).drop("rarest", "pieces")
+
+
+def _asked(members: DataFrame, open_ones: DataFrame) -> DataFrame:
+    """Columns id, cluster, block: the other blocks where a set has a rare shingle in common with an open one.
+
+    Columns of members: id, cluster, block, rare. Shingles that lie in the same blocks, such as those of one passage, are
+    taken as one before sets meet blocks, so there is a row or few for each block and none for each shingle of it.
+    """
+    own = C.written(_each_rare(members.join(open_ones, "id", "left_semi"), "id", "block"), "open-rare")
+    lies = _each_rare(members, "cluster", "block").distinct().join(own.select("token").distinct(), "token", "left_semi")
+    lies = C.written(lies, "lies")
+    place = [F.xxhash64("cluster", "block"), F.xxhash64("block", "cluster")]
+    marks = lies.groupBy("token").agg(F.count("*").alias("places"), F.bit_xor(place[0]).alias("x"), F.sum(place[1].cast("decimal(20,0)")).alias("y")).where("places > 1")
+    marks = C.written(marks, "marks")
+    same = marks.groupBy("places", "x", "y").agg(F.min("token").alias("one"))
+    one_each = marks.join(same, ["places", "x", "y"]).select("token", "one")
+    wanted = own.join(one_each, "token").select("id", F.col("block").alias("home"), "one").distinct()
+    met = wanted.join(lies.withColumnRenamed("token", "one"), "one").where("block <> home")
+    return met.select("id", "cluster", F.col("block").cast("int").alias("block")).distinct()  # of the type that members have: groups of both meet by hash
+
+
 def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) -> DataFrame:
     """Columns a, b: links that join the same sets as all links do. Columns of sets: id, tokens, rare.
 
     Sets meet only inside a cluster. A cluster is dealt out in blocks, and some of its sets, the pivots, are in each: what
     is linked inside different blocks is in one component if a pivot is. The largest component of a cluster of several
-    blocks is settled; every other set, if there are any, is then searched in all blocks.
+    blocks is settled; every other set, if there are any, is then searched in the other blocks that hold one of its rare
+    shingles, since a linked set does.
     """
-    clusters = _clusters(sets)
-    total = clusters.count()
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = C.written(placed.join(sets.select("id", "tokens"), "id"), "members")
+    total, size = sets.agg(F.count("*"), F.sum(F.octet_length("tokens").cast("bigint"))).first()
+    each = (size or 0) / max(1, total)
+    least_tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def tasks(rows: int) -> int:
+        """A number, so that few bytes of much work aren't put into few tasks, which grows with the bytes."""
+        return max(least_tasks, int(rows * each / _TASK_BYTES))
+
+    members = _placed(sets, block).join(sets.select("id", "tokens", "rare"), "id")
+    members = C.written(members.withColumn("rare", F.when(F.col("blocks") > 1, F.col("rare"))), "members")
     is_pivot = (F.col("blocks") > 1) & ((F.col("id") == F.col("cluster")) | (F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < pivots))
     everywhere = members.where(is_pivot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # clusters of one block are handled some together
@@ -268,18 +313,20 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
             linked[own] = ids[own][_links_in([tokens[x] for x in own], percent)]
         return pa.table([rows.column("id"), pa.array(linked), pa.array(blocks > 1)], ["a", "b", "several"])
 
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few bytes of much work aren't put into few tasks
-    first = C.written(mine.repartition(n, "dealt").groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, several boolean"), "inside")
+    first = C.written(mine.repartition(tasks(total), "dealt").groupBy("dealt").applyInArrow(inside, "a bigint, b bigint, several boolean"), "inside")
     parts = components(first.where("several").select("a", "b")).select(F.col("node").alias("id"), "component")
-    placed = members.where("blocks > 1").select("id", "cluster", "size").join(parts, "id", "left").select("id", "cluster", "size", F.coalesce("component", "id").alias("component"))
-    placed = C.written(placed, "placed")
-    largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.any_value("size").alias("size"))
-    counts = largest.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("settled"), F.max("n").alias("most"), F.any_value("size").alias("size"))
-    counts = C.written(counts.where("size > most").select("cluster", "settled", F.col("size").alias("n"), F.ceil((F.col("size") - F.col("most")) / block).cast("int").alias("parts")), "open")
-    open_ones = placed.join(counts.select("cluster", "settled"), "cluster").where("component <> settled").select("id")
-    around = C.join_each(members.where("blocks > 1").select("id", "cluster", "blocks", "block", "tokens"), counts.drop("settled"), "cluster", total)
-    asked = around.join(open_ones, "id", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "tokens")
-    held = around.select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("tokens").alias("held_tokens"))
+    big = members.where("blocks > 1")
+    placed = C.written(big.select("id", "cluster").join(parts, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component")), "placed")
+    largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    settled = largest.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+    open_ones = C.written(placed.join(settled, ["cluster", "component"], "left_anti").select("id"), "open")
+    if open_ones.isEmpty():
+        return first.select("a", "b")
+    asked = C.written(_asked(big, open_ones), "asked")
+    loads = asked.groupBy("cluster", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    asks = asked.join(loads, ["cluster", "block"]).select("cluster", "block", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    asks = asks.join(big.select("id", "tokens"), "id")
+    held = big.join(loads, ["cluster", "block"]).select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("id").alias("held_id"), F.col("tokens").alias("held_tokens"))
 
     def across(queries: pa.Table, index: pa.Table) -> pa.Table:
         ids, sets_ = index.column("held_id").to_pylist(), _arrays(index.column("held_tokens"))
@@ -291,7 +338,8 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
                     b.append(ids[c])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    second = asked.repartition(n, "cluster", "block", "part").groupBy("cluster", "block", "part").cogroup(held.repartition(n, "c", "k", "p").groupBy("c", "k", "p")).applyInArrow(across, "a bigint, b bigint")
+    n = tasks(2 * asked.count())
+    second = asks.repartition(n, "cluster", "block", "part").groupBy("cluster", "block", "part").cogroup(held.repartition(n, "c", "k", "p").groupBy("c", "k", "p")).applyInArrow(across, "a bigint, b bigint")
     return first.select("a", "b").union(second)
 
 
@@ -305,8 +353,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id
     is held whole in a task. Shingles are compared by 64 bits.
 
     First an exchange of prefix shingles drops rows that can't link, then one of all shingles does among the different
-    sets that are left. The others fall into clusters with a prefix shingle in common; inside a cluster, blocks of bounded
-    size are searched by DivideSkip.
+    sets that are left. The others fall into clusters with a prefix shingle in common; inside a cluster, blocks of about
+    ``block`` sets are searched by DivideSkip, and what stays open in the blocks that hold one of its rare shingles.
     """
     sets = shingle_sets(docs, id_col, text_col, percent)
     candidates = sets.where("tokens is not null")
