@@ -245,18 +245,22 @@ def _clusters(sets: DataFrame) -> DataFrame:
     return components(tokens.join(least, "token").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
 
 
-def _placed(sets: DataFrame, block: int) -> DataFrame:
+def _placed(sets: DataFrame, block: int, total: int) -> DataFrame:
     """Columns id, cluster, size, blocks, block: each set of a cluster in one of the cluster's blocks, of about the given size.
 
-    Sets with the same rarest shingle share a block, or as few as hold them, so that the shingles of a set lead to few.
+    Sets with the same rarest shingle share a block, or a few, so that the shingles of a set lead to few. At most a quarter
+    of a block, about, goes to one place, so that blocks are of like size.
     """
     clusters = _clusters(sets)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    placed = placed.join(sets.select("id", F.xxhash64(F.substring("rare", 1, 8)).alias("rarest")), "id")
-    lists = placed.where("blocks > 1").groupBy("rarest").agg(F.ceil(F.count("*") / block).alias("pieces"))
+    placed = C.written(placed.join(sets.select("id", F.xxhash64(F.substring("rare", 1, 8)).alias("rarest")), "id"), "rarest")
+    lists = placed.where("blocks > 1").groupBy("rarest").agg(F.count("*").alias("n"), F.ceil(F.count("*") * 4 / block).alias("pieces")).where("pieces > 1")
+    hot = F.col("n") * C.HOT >= total  # at most so many, by broadcast: their sets stay spread
+    near = placed.join(F.broadcast(lists.where(hot).select("rarest", "pieces")), "rarest", "left")
+    far = near.where("pieces is null").drop("pieces").join(lists.where(~hot).select("rarest", "pieces"), "rarest", "left")
     piece = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1)))
-    return placed.join(lists, "rarest", "left").withColumn("block", F.pmod(F.xxhash64("rarest", piece), F.col("blocks")).cast("int")).drop("rarest", "pieces")
+    return near.where("pieces is not null").unionByName(far).withColumn("block", F.pmod(F.xxhash64("rarest", piece), F.col("blocks")).cast("int")).drop("rarest", "pieces")
 
 
 def _asked(members: DataFrame, open_ones: DataFrame) -> DataFrame:
@@ -294,7 +298,7 @@ def _linked(sets: DataFrame, percent: int, block: int, pivots: int = PIVOTS) ->
         """A number, so that few bytes of much work aren't put into few tasks, which grows with the bytes."""
         return max(least_tasks, int(rows * each / _TASK_BYTES))
 
-    members = _placed(sets, block).join(sets.select("id", "tokens", "rare"), "id")
+    members = _placed(sets, block, total).join(sets.select("id", "tokens", "rare"), "id")
     members = C.written(members.withColumn("rare", F.when(F.col("blocks") > 1, F.col("rare"))), "members")
     is_pivot = (F.col("blocks") > 1) & ((F.col("id") == F.col("cluster")) | (F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < pivots))
     everywhere = members.where(is_pivot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
