@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import textops as X
-from candlewick.sources.shared import shared_folder, shared_path, written
+from candlewick.sources.shared import shared_folder, shared_path, written, written_by
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["shared_folder", "written", "written_by"]
 
 #: The least bytes of text in a chunk, the least tokens that a bucket should have, and how many tokens a chunk should send
 #: to a bucket: chunks and buckets grow with the square root of the text, so that many cross the shuffle in one row.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +51,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_by(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """make(), written as by ``written``; the intermediate tables that it made on the way are deleted then."""
+    path = shared_path(spark, what)
+    with run(spark):
+        df = make()
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)

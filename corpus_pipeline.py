@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the smallest id; of rows with equal ids the one with the least SHA-256 of the row as JSON. Rows without an id stay.
 
-    Texts meet the ids that stay in one join; only rows of ids that repeat are compared.
+    Texts meet the ids that stay in one join; only rows of ids that repeat are compared. The tables by which the ids were
+    found are deleted before the texts are moved.
     """
     own, i = chunks.numbered(docs), chunks.number_of(docs, "doc_id")
-    classes = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
-    first = chunks.written(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("rows")), "first-ids")
+
+    def ids() -> DataFrame:
+        classes = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+        return classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("rows"))
+
+    first = chunks.written_by(spark, ids, "first-ids")
     once = first.where("rows = 1").select(i).hint("merge")  # at every size alike: as many ids as documents
     kept = own.join(once, i, "left_semi").unionByName(own.where(F.col(i).isNull()))
     again = first.where("rows > 1").select(i)
@@ -63,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = chunks.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = chunks.written_by(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -279,3 +279,24 @@ def test_a_run_leaves_nothing(spark, tmp_path):
         shared.written(docs, "x")
         raise ZeroDivisionError
     assert set(os.listdir(base)) == before
+
+
+def test_pipeline_deletes_what_later_steps_do_not_read(spark, tmp_path):
+    """Of the near duplicates only the ids that stay are left when the texts are joined, of a whole run only what the stages return."""
+    import os
+
+    import corpus_pipeline
+    from candlewick.sources import shared
+
+    def left(folder):
+        return sorted(x.rpartition("-")[0] for x in os.listdir(folder.removeprefix("file:")))
+
+    docs = spark.createDataFrame([(i, t) for i, t in texts()], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stay = jaccard_join.jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct().count() + docs.where("doc_id is null").count()
+    with shared.run(spark) as folder:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert left(folder) == ["first-ids"] and kept.count() == stay
+    with shared.run(spark) as folder:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        assert left(folder) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES[:-1])
