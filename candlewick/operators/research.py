@@ -14,10 +14,10 @@ KEY = ["symbol", "sample_index"]
 
 
 def forward_return(bars: DataFrame, steps: int) -> DataFrame:
-    """Entry and exit bar at + steps, with target, the base-2 logarithm of their closes' ratio; entries without an exit are dropped."""
+    """Entry and exit bar at + steps, with target, the base-2 logarithm of their closes' ratio, infinite where one is 0; entries without an exit are dropped."""
     exits = bars.select("symbol", (F.col("bar_index") - steps).alias("bar_index"), F.col("start_trade_id").alias("exit_trade_id"), F.col("start_timestamp_ms").alias("exit_timestamp_ms"), F.col("close_price").cast("double").alias("exit_close"))
     entries = bars.select("symbol", "bar_index", F.col("start_trade_id").alias("entry_trade_id"), F.col("start_timestamp_ms").alias("entry_timestamp_ms"), F.col("open_price").cast("double").alias("entry_open"), F.col("close_price").cast("double").alias("entry_close"))
-    return entries.join(exits, ["symbol", "bar_index"]).withColumn("target", F.log2("exit_close") - F.log2("entry_close"))
+    return entries.join(exits, ["symbol", "bar_index"]).withColumn("target", X.log2(F.col("exit_close")) - X.log2(F.col("entry_close")))
 
 
 def grid_samples(bars: DataFrame, step: int, steps: int) -> DataFrame:
