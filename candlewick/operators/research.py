@@ -45,7 +45,7 @@ def research_segments(samples: DataFrame, predictions: DataFrame, bars: DataFram
     rows = samples.join(predictions, KEY).join(forward_return(bars, steps).withColumnRenamed("bar_index", "sample_index"), KEY)
     rows = rows.withColumns({
         "target_price": X.pred_target_price(F.col("entry_close"), F.col("pred_log2")), "action": X.policy_direction(F.col("p_long"), F.col("p_short")),
-        "allowed": X.entry_allowed(F.col("hint_mode"), F.col("blocks"), F.col("blocks")), "linear": F.pow(F.lit(2.0), F.col("target")) - 1,
+        "allowed": X.entry_allowed(F.col("hint_mode"), F.col("blocks"), F.col("blocks")), "linear": X.power_of_two(F.col("target")) - 1,
     })
     return rows.withColumn("net_pnl", X.net_pnl(F.col("action"), F.col("linear")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,12 +13,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def places(x: Column) -> Column:
+    """A double of 6 places as the SQL's round makes it: the double itself is scaled and rounded, where Spark's round takes the decimal number that it is shown as. The two differ at halves of the last place."""
+    scaled = x * 1e6
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 1e6).otherwise(x)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Numbers as they are compared: integers as bigint, others as double of 6 places."""
     out = {}
     for name, kind in df.dtypes:
         if kind in ("double", "float") or kind.startswith("decimal"):
-            out[name] = F.round(F.col(name).cast("double"), 6) + F.lit(0.0)
+            out[name] = places(F.col(name).cast("double")) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             out[name] = F.col(name).cast("bigint")
     return df.withColumns(out)

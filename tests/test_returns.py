@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from candlewick.plans import registry
 
 #: Closes of 0, and ratios of two closes that are powers of two or lie at a half of the sixth place.
 PRICES = (0.0, 0.01, 3.2, 5.12, 6.4, 32.0, 32.01, 39.93, 59.93, 64.0, 84.28)
@@ -38,3 +39,16 @@ def test_forward_return_of_closes_of_zero(spark, events):
     assert list(map(repr, got)) == list(map(repr, want))
     targets = [r[-1] for r in got]
     assert math.inf in targets and -math.inf in targets and any(map(math.isnan, targets)) and 0.0 in targets
+
+
+def test_realized_return_at_halves_of_the_last_place(spark, events):
+    got, want = both(spark, events, "realized_return")
+    assert list(map(repr, got)) == list(map(repr, want)) and {-1.0, math.inf} <= {r[-1] for r in got}
+
+
+def test_places_of_halves(spark):
+    r = random.Random(8)
+    values = [s * x for s in (1, -1) for x in (*((10 * r.randint(0, 10**9) + 5) / 10**7 for _ in range(3000)), 0.5e-6, 0.49999999999999994e-6, 0.0, 12345678901.2345675, 1e22, 1e305, math.inf)] + [math.nan, None]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", (registry.places(F.col("x")) + F.lit(0.0)).alias("y")).collect()
+    want = duckdb.connect().execute("SELECT round(x, 6) + 0 FROM (SELECT unnest($1::DOUBLE[]) AS x)", [[x.x for x in got]]).fetchall()
+    assert [repr(x.y) for x in got] == [repr(y) for y, in want]
