@@ -52,3 +52,9 @@ def test_places_of_halves(spark):
     got = spark.createDataFrame([(x,) for x in values], "x double").select("x", (registry.places(F.col("x")) + F.lit(0.0)).alias("y")).collect()
     want = duckdb.connect().execute("SELECT round(x, 6) + 0 FROM (SELECT unnest($1::DOUBLE[]) AS x)", [[x.x for x in got]]).fetchall()
     assert [repr(x.y) for x in got] == [repr(y) for y, in want]
+
+
+@pytest.mark.parametrize("name", ["backtest_grid"])
+def test_segments_of_closes_of_zero(spark, events, name):
+    got, want = both(spark, events, name)
+    assert list(map(repr, got)) == list(map(repr, want)) and any(isinstance(x, float) and not math.isfinite(x) for r in got for x in r)
