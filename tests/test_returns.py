@@ -54,7 +54,7 @@ def test_places_of_halves(spark):
     assert [repr(x.y) for x in got] == [repr(y) for y, in want]
 
 
-@pytest.mark.parametrize("name", ["net_pnl", "backtest_grid", "backtest_grid_summary", "backtest_sequential"])
+@pytest.mark.parametrize("name", ["net_pnl", "research_segments", "backtest_grid", "backtest_grid_summary", "backtest_sequential"])
 def test_segments_of_closes_of_zero(spark, events, name):
     got, want = both(spark, events, name)
     assert list(map(repr, got)) == list(map(repr, want)) and any(isinstance(x, float) and not math.isfinite(x) for r in got for x in r)
